@@ -59,10 +59,6 @@ def put(uri: str, write: Callable[[pa.NativeFile], None]) -> None:
     fs.move(part, path)
 
 
-def estimate_rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
