@@ -20,23 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests on one machine), below the temp folder."""
+def work_folder(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset (tests on one machine), below the temp folder. release() leaves lasting ones."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/roadspark-work"
-    _FOLDERS.append(folder := f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not lasting:
+        _FOLDERS.append(folder)
     return folder
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all work folders made so far. Only for callers that have written every result derived from them."""
+    """Delete all work folders made so far, but for lasting ones. Only for callers that have written every result derived from them."""
     while _FOLDERS:
         path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """df written once to shared storage and read back: cuts the lineage and outlives lost executors."""
-    folder = work_folder(df.sparkSession, name)
+    folder = work_folder(df.sparkSession, name, lasting)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
