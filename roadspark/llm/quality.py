@@ -95,7 +95,7 @@ class Network:
         logit = sums / counts[:, None] @ self.p["out"] + self.p["out_bias"][0]
         return 1 / (1 + np.exp(-logit))
 
-    def fit(self, texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 48, per_document: int = 6, rate: float = 4e-3, seed: int = 1) -> Network:
+    def fit(self, texts: list[bytes], labels: list[int], epochs: int = 8, least_steps: int = 650, batch: int = 48, per_document: int = 6, rate: float = 4e-3, seed: int = 1) -> Network:
         y = np.array(labels, np.float32)
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
@@ -104,7 +104,9 @@ class Network:
         rows = [chunks_of(t) for t in texts]
         self.p["out_bias"][0] = np.log(y.mean() / (1 - y.mean()))
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        step, steps = 0, epochs * -(-len(y) // batch)
+        each = -(-len(y) // batch)
+        epochs = max(epochs, -(-least_steps // each))
+        step, steps = 0, epochs * each
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for at in range(0, len(y), batch):
