@@ -39,7 +39,7 @@ from roadspark.llm import common
 LENGTH = 50
 GRAM = 16
 #: Bytes of text in a stored block, and of text whose parse meets in one bucket.
-BLOCK_BYTES = BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = BUCKET_BYTES = 4 << 20
 #: Windows parsed at a time.
 PIECE = 1 << 20
 LOWEST = -(1 << 63)
@@ -135,7 +135,7 @@ class Parse:
             at += count
             if len(own):
                 data = self.data(segment)
-                number = np.repeat(own, self.windows[own])
+                number = np.repeat(own.astype(np.int32), self.windows[own])
                 begin = np.arange(len(number)) - np.repeat(np.cumsum(self.windows[own]) - self.windows[own], self.windows[own]) + self.first[number]
                 a, b = (_mix(Sums(data, base).of(begin, begin + self.length)) for base in BASES)
                 out.append((number, a, (b >> U(32)).astype(np.uint32)))
@@ -146,11 +146,23 @@ class Parse:
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts by keys, and where each group of equal ones begins in it."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    new = np.ones(len(order), bool)
-    new[1:] = False
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
+    order = np.argsort(keys[0])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    first = keys[0][order]
+    new[1:] = first[1:] != first[:-1]
+    for k in keys[1:]:
+        k = k[order]
+        differ = (k[1:] != k[:-1]) & ~new[1:]
+        if differ.any():
+            if k.dtype != U:  # equal first hashes with unequal second ones are rare
+                order = np.lexsort(keys[::-1])
+                return order, np.flatnonzero(np.append(True, np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])))
+            # Many phrases may share a trigger: order them within their group.
+            group = np.cumsum(new)
+            inner = np.lexsort((k, group))
+            order, k, group = order[inner], k[inner], group[inner]
+            new[1:] = (k[1:] != k[:-1]) | (group[1:] != group[:-1])
     return order, np.flatnonzero(new)
 
 
@@ -180,19 +192,19 @@ def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-TRIGGERS, WINDOWS = ["<u8", "<u4", "<u2", "<u4"], ["<u8", "<u4", "<u4"]
-MESSAGES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("path", pa.string()), ("base", pa.int64()), ("wide", pa.bool_()), ("data", pa.binary())])
-MESSAGE_SQL = "bucket long, block long, path string, base long, wide boolean, data binary"
+TRIGGERS, WINDOWS = ["<u8", "<u4", "<u2"], ["<u8", "<u4"]
+MESSAGES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("path", pa.string()), ("base", pa.int64()), ("width", pa.int32()), ("data", pa.binary())])
+MESSAGE_SQL = "bucket long, block long, path string, base long, width int, data binary"
 
 
 def _messages(block: int, path: str, key: np.ndarray, columns: list[np.ndarray], doc: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket: columns, sorted by key, and doc as its distance from the least one, in 4 bytes where that is enough (8 otherwise)."""
+    """One row for each bucket: columns, sorted by key, and doc as its distance from the least one, in 2, 4 or 8 bytes."""
     if not len(key):
         return
     base = int(doc.min())
     away = (doc.view(U) - U(base % (1 << 64)))
-    wide = bool(away.max() >= 1 << 32)
-    away = away if wide else away.astype(np.uint32)
+    width = 2 if away.max() < 1 << 16 else 4 if away.max() < 1 << 32 else 8
+    away = away.astype(f"<u{width}")
     bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
     ends = np.searchsorted(bucket, np.arange(buckets), side="right")
     begins = np.concatenate([[0], ends[:-1]])
@@ -201,17 +213,17 @@ def _messages(block: int, path: str, key: np.ndarray, columns: list[np.ndarray],
         part = full[at : at + 256]
         data = [_pack([*(c[b:e] for c in (key, *columns)), away[b:e]]) for b, e in zip(begins[part], ends[part], strict=True)]
         k = len(part)
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([block] * k), pa.array([path] * k), pa.array([base] * k), pa.array([wide] * k), pa.array(data, pa.binary())], schema=MESSAGES)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([block] * k), pa.array([path] * k), pa.array([base] * k), pa.array([width] * k, pa.int32()), pa.array(data, pa.binary())], schema=MESSAGES)
 
 
 def _gather(group: pa.Table, kinds: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The columns of all messages of a bucket, documents, and the number of each row's message."""
     parts, docs, message = [], [], []
-    for i, (base, wide, data) in enumerate(zip(*(group.column(c).to_pylist() for c in ("base", "wide", "data")), strict=True)):
-        *columns, away = _unpack(data, [*kinds[:-1], "<u8" if wide else kinds[-1]])
+    for i, (base, width, data) in enumerate(zip(*(group.column(c).to_pylist() for c in ("base", "width", "data")), strict=True)):
+        *columns, away = _unpack(data, [*kinds, f"<u{width}"])
         parts.append(columns)
         docs.append((away.astype(U) + U(base % (1 << 64))).view(np.int64))
-        message.append(np.full(len(away), i))
+        message.append(np.full(len(away), i, np.int32))
     return [np.concatenate(c) for c in zip(*parts, strict=True)], np.concatenate(docs), np.concatenate(message)
 
 
@@ -348,13 +360,14 @@ def _finish(length: int):
         out = docs > _least_of_group(order, begin, docs)
         answers = [_unpack(d, ["<u8", "<u4"]) for k, d in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True) if k == GONE_WINDOW]
         if answers and len(key):
-            pair = np.dtype([("key", "<u8"), ("check", "<u4")])
-            told, own = np.empty(sum(len(a) for a, _ in answers), pair), np.empty(len(key), pair)
-            told["key"], told["check"] = (np.concatenate(c) for c in zip(*answers, strict=True))
-            own["key"], own["check"] = key, check
-            both_order, both_begin = _groups(np.concatenate([told["key"], own["key"]]), np.concatenate([told["check"], own["check"]]))
-            is_own = np.concatenate([np.zeros(len(told), np.int8), np.ones(len(own), np.int8)])
-            out |= _least_of_group(both_order, both_begin, is_own)[len(told) :] == 0
+            told, told_check = (np.concatenate(c) for c in zip(*answers, strict=True))
+            order = np.argsort(told)
+            told, told_check = told[order], told_check[order]
+            at = np.searchsorted(told, key)
+            on = np.arange(len(key))
+            while len(on := on[at[on] < len(told)]) and len(on := on[told[at[on]] == key[on]]):
+                out[on] |= told_check[at[on]] == check[on]
+                at[on] += 1  # another answer with the same first hash
         spans = _spans(p, lost, compare, out)
         rows: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "spans", "kept")}
         for doc, text, cut in zip(ids, p.texts, spans, strict=True):
