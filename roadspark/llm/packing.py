@@ -74,8 +74,8 @@ def _encode(path: str):
         encode = tokens.encoder(path)
         end = np.array([tokens.END_ID], f"<u{encode.width}").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 ids = [x + end for x in encode.encode(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("bundle"), part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([encode.width] * len(ids), pa.int32())], ["bundle", "doc_id", "ids", "width"])
 

@@ -28,7 +28,7 @@ from roadspark.llm import common, tokens
 #: Bytes of text in one shard, on average.
 SHARD_BYTES = 32 << 20
 #: Texts encoded, or payload bytes read, at a time.
-BATCH_TEXTS, READ_BYTES = 256, 8 << 20
+BATCH_TEXTS, READ_BYTES = 1024, 8 << 20
 CASTAGNOLI = 0x82F63B78
 CHUNK = 256
 NULL_ID, WIDE = 1, 2

@@ -6,9 +6,15 @@ import json
 from functools import lru_cache
 
 import numpy as np
-
-#: Words (with their leading blank) whose ids a Python worker remembers before it forgets all of them.
-MEMORY_WORDS = 500_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words whose ids a Python worker remembers (some 30 bytes each) before it forgets all of them.
+MEMORY_WORDS = 1_000_000
+#: Words not yet known that are encoded as one text.
+TOGETHER = 4096
+#: Characters of text whose words are looked up together.
+GROUP_CHARS = 12 << 20
 END_ID = 0
 
 
@@ -22,8 +28,8 @@ class Encoder:
     """encode(texts) gives, for each text, its ids as little-endian unsigned integers of `width` bytes.
 
     For a byte-level tokenizer that splits with its usual pattern, no token spans the place before a single blank, so
-    each blank-led word is encoded once and remembered. Texts with two blanks in a row, and every other kind of
-    tokenizer, are encoded whole. Strings of special tokens in a text are ordinary text.
+    each blank-led word is encoded once and remembered: unknown words are encoded many at a time as one text, whose tokens fall
+    apart by their bytes. Texts with two blanks in a row, and every other kind of tokenizer, are encoded whole. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -36,12 +42,62 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.known: dict[str, bytes] = {}
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.heads: dict[str, bytes] = {"": b""}
+        if self.by_word:
+            # In a byte-level vocabulary each character of a token stands for one byte.
+            self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.token_bytes[i] = len(token)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a blank before it, from one text of all of them."""
+        raw = self._plain([" " + " ".join(words)])[0]
+        ends = np.cumsum(self.token_bytes[np.frombuffer(raw, f"<u{self.width}")])
+        want = np.cumsum([len(w.encode()) + 1 for w in words])
+        cut = np.searchsorted(ends, want)
+        if len(ends) == 0 or cut[-1] != len(ends) - 1 or (ends[cut] != want).any():
+            return self._plain([" " + w for w in words])
+        cut = ((cut + 1) * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+
+    def _places(self, words: pa.Array) -> pa.Array:
+        """Where the ids of each of the distinct words are in self.ids; unknown words are encoded first."""
+        if len(self.known) > MEMORY_WORDS:
+            self.known, self.ids = self.known[:0], self.ids[:0]
+        at = pc.index_in(words, value_set=self.known)
+        if not at.null_count:
+            return at
+        unknown = words.filter(pc.is_null(at))
+        new = unknown.to_pylist()
+        ids: list[bytes] = []
+        for k in range(0, len(new), TOGETHER):
+            part = new[k : k + TOGETHER]
+            ids += self._plain([" " + w for w in part]) if "" in part else self._words(part)
+        fresh = pa.array(range(len(self.known), len(self.known) + len(new)), at.type)
+        self.known, self.ids = pa.concat_arrays([self.known, unknown]), pa.concat_arrays([self.ids, pa.array(ids, pa.binary())])
+        return pc.replace_with_mask(at, pc.is_null(at), fresh)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _group(self, texts: list[str]) -> list[bytes]:
+        cut = [t.partition(" ") for t in texts]
+        words = pc.split_pattern(pa.array([rest if blank else None for _, blank, rest in cut], pa.string()), " ")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+        coded = words.flatten().dictionary_encode()
+        places = self._places(coded.dictionary)
+        ids = self.ids.take(places.take(coded.indices))
+        at = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[np.concatenate([[0], ends])].tolist() if len(ids) else [0] * (len(texts) + 1)
+        data = (ids.buffers()[2] or b"") if len(ids) else b""
+        whole = memoryview(data)
+        if len(self.heads) > MEMORY_WORDS:
+            self.heads.clear()
+        new = list({head for head, _, _ in cut} - self.heads.keys())
+        self.heads.update(zip(new, self._plain(new), strict=True))
+        return [b"".join((self.heads[head], whole[a:b])) for (head, _, _), a, b in zip(cut, at[:-1], at[1:], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._plain(texts)
@@ -50,20 +106,15 @@ class Encoder:
         for at in range(0, len(whole), 64):
             for i, ids in zip(whole[at : at + 64], self._plain([texts[i] for i in whole[at : at + 64]]), strict=True):
                 out[i] = ids
-        known = self.known
-        for i, text in enumerate(texts):
-            if out[i] is not None:
-                continue
-            head, *words = text.split(" ")
-            new = [w for w in set(words) if w not in known]
-            if new:
-                if len(known) > MEMORY_WORDS:
-                    known.clear()
-                    new = list(set(words))
-                for at in range(0, len(new), 2048):
-                    part = new[at : at + 2048]
-                    known.update(zip(part, self._plain([" " + w for w in part]), strict=True))
-            out[i] = (self._plain([head])[0] if head else b"") + b"".join(map(known.__getitem__, words))
+        plain = [i for i, done in enumerate(out) if done is None]
+        while plain:
+            size, end = 0, 0
+            while end < len(plain) and size < GROUP_CHARS:
+                size += len(texts[plain[end]])
+                end += 1
+            for i, ids in zip(plain[:end], self._group([texts[i] for i in plain[:end]]), strict=True):
+                out[i] = ids
+            plain = plain[end:]
         return out
 
 
