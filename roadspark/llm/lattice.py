@@ -29,6 +29,8 @@ COSINE = 0.98
 TABLES, POINTS, SCALE = 5, 2, 0.45
 SEED = 17
 SMALL_BLOCK = 12
+#: Entries of one cell that are compared in one block.
+PART_ROWS = 256
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -181,7 +183,7 @@ def link(vectors: DataFrame, least: float = COSINE, tables: int = TABLES, points
     element = reps.schema["vector"].dataType.simpleString()
     coded = common.keep(reps.mapInArrow(_code(tables, points, scale), f"rep long, weight long, vector {element}, size int, label long, {lists}"), "cells")
     posted = coded.select("rep", F.posexplode(F.concat("own", "probes")).alias("at", "key")).select("rep", "key", (F.col("at") < tables).alias("home"))
-    met = blocks.dealt(posted, "key", "rep").join(coded, "rep")
+    met = blocks.dealt(posted, "key", "rep", part_rows=PART_ROWS).join(coded, "rep")
     met = met.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
     found = common.keep(met.mapInArrow(_match(least, tables), "u long, v long, links long"), "links")
 
