@@ -9,8 +9,12 @@ A byte goes if it lies in a string of `length` bytes that also starts in a docum
    (trigger, phrase) pairs the dictionary.
 3. Dictionary: phrases are brought together by trigger. A trigger in one document alone settles its windows: they
    are unique. A trigger with one phrase settles them too: all but the smallest document lose them all.
-4. Dictionary suffixes: only for triggers that lead more than one phrase are the windows (the suffixes of the phrases, as
-   far as `length` bytes) brought together and sorted, to find the smallest document of each.
+4. Where a trigger leads more than one phrase, equal phrases are brought together: all but the smallest document with a
+   phrase lose its windows.
+5. Of the phrases that are left, one of each kind, the strings of length - STEP + 1 bytes at a few fixed distances from the
+   trigger are brought together. Every window holds one of them, so a window whose string is in one document only is unique.
+6. Dictionary suffixes: the remaining windows (the suffixes of the phrases, as far as `length` bytes) are brought together
+   and sorted, to find the smallest document of each.
 
 Suffixes are sorted by a hash of their first `length` bytes (96 bits), not by their bytes: only equality of that
 prefix matters here, so the order in which a suffix array would list unequal ones is not computed.
@@ -38,6 +42,8 @@ from roadspark.llm import common
 
 LENGTH = 50
 GRAM = 16
+#: Windows of a phrase that are judged by one string of length - STEP + 1 bytes.
+STEP = 10
 #: Bytes of text in a stored block, and of text whose parse meets in one bucket.
 BLOCK_BYTES = BUCKET_BYTES = 4 << 20
 #: Windows parsed at a time.
@@ -78,7 +84,7 @@ class Sums:
 
 
 class Parse:
-    """The phrases of a block: trigger, phrase hash, first window, number of windows, rank of the document."""
+    """The phrases of a block: trigger, phrase hash, first window, place of the trigger, number of windows, document."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], length: int) -> None:
         self.ids, self.texts, self.length = ids, texts, length
@@ -93,8 +99,8 @@ class Parse:
             held += p[2] - p[1]
         parts = [self._segment(s) for s in self.segments]
         self.counts = [len(p[0]) for p in parts]
-        trigger, phrase, first, windows, doc = (np.concatenate(c) if parts else np.zeros(0, kind) for c, kind in zip(zip(*parts, strict=True) if parts else [()] * 5, (U, U, np.int64, np.int64, np.int64), strict=True))
-        self.trigger, self.phrase, self.first, self.windows, self.doc = trigger, phrase, first, windows, doc
+        columns = zip(zip(*parts, strict=True) if parts else [()] * 6, (U, U, np.int64, np.int64, np.int64, np.int64), strict=True)
+        self.trigger, self.phrase, self.first, self.at, self.windows, doc = (np.concatenate(c) if parts else np.zeros(0, kind) for c, kind in columns)
         self.doc_id = ids[doc] if len(doc) else np.zeros(0, np.int64)
 
     def data(self, segment: list[tuple[int, int, int]]) -> np.ndarray:
@@ -125,23 +131,52 @@ class Parse:
         windows = np.diff(np.append(first, len(start)))
         begin, trigger_at, owner = start[first], at[first], owner[first]
         phrase = _mix(sums.of(begin, begin + windows + length - 1) ^ U(0xA5A5A5A5) * (windows.astype(U) * U(64) + (trigger_at - begin).astype(U)))
-        return grams[trigger_at], phrase, begin, windows, np.array([d for d, _, _ in segment])[owner]
+        return grams[trigger_at], phrase, begin, trigger_at, windows, np.array([d for d, _, _ in segment])[owner]
 
-    def windows_of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the windows of the chosen phrases: number of the phrase, and two hashes."""
-        out, at = [], 0
+    def _chosen(self, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[Sums, Sums] | None]]:
+        """For each segment the chosen phrases, with the sums over its bytes where there are any."""
+        at = 0
         for segment, count in zip(self.segments, self.counts, strict=True):
             own = np.flatnonzero(chosen[at : at + count]) + at
             at += count
-            if len(own):
-                data = self.data(segment)
-                number = np.repeat(own.astype(np.int32), self.windows[own])
-                begin = np.arange(len(number)) - np.repeat(np.cumsum(self.windows[own]) - self.windows[own], self.windows[own]) + self.first[number]
-                a, b = (_mix(Sums(data, base).of(begin, begin + self.length)) for base in BASES)
-                out.append((number, a, (b >> U(32)).astype(np.uint32)))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.uint32)
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            data = self.data(segment) if len(own) else None
+            yield own, None if data is None else tuple(Sums(data, base) for base in BASES)
+
+    @property
+    def slots(self) -> int:
+        return -(-(self.length - GRAM + 1) // STEP)
+
+    def strings_of(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each string that judges windows of the chosen phrases: number of the phrase, slot, and two hashes (the second of 31 bits)."""
+        out, size = [], self.length - STEP + 1
+        for own, sums in self._chosen(chosen):
+            if sums is None:
+                continue
+            first = self.first[own] - self.at[own]
+            for slot in range(self.slots):
+                low = slot * STEP - (self.length - GRAM)
+                has = (first <= low + STEP - 1) & (first + self.windows[own] > low)
+                begin = self.at[own[has]] + low + STEP - 1
+                a, b = (_mix(s.of(begin, begin + size) ^ U(slot + 1)) for s in sums)
+                out.append((own[has], np.full(len(begin), slot), a, (b >> U(33)).astype(np.uint32)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.uint32))
+
+    def windows_of(self, chosen: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For the windows of the chosen phrases whose string is shared (phrase, slot): number of the phrase, first byte, two hashes; and how many there are in each segment."""
+        out, counts = [], []
+        for own, sums in self._chosen(chosen & shared.any(axis=1)):
+            counts.append(0)
+            if sums is None:
+                continue
+            number = np.repeat(own.astype(np.int32), self.windows[own])
+            begin = np.arange(len(number)) - np.repeat(np.cumsum(self.windows[own]) - self.windows[own], self.windows[own]) + self.first[number]
+            on = shared[number, (begin - self.at[number] + self.length - GRAM) // STEP]
+            number, begin = number[on], begin[on]
+            a, b = (_mix(s.of(begin, begin + self.length)) for s in sums)
+            out.append((number, begin, a, (b >> U(32)).astype(np.uint32)))
+            counts[-1] = len(number)
+        parts = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.uint32))
+        return *parts, np.array(counts, np.int64)
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +264,7 @@ def _gather(group: pa.Table, kinds: list[str]) -> tuple[list[np.ndarray], np.nda
 
 ANSWERS = pa.schema([("block", pa.int64()), ("path", pa.string()), ("kind", pa.int32()), ("data", pa.binary())])
 ANSWER_SQL = "block long, path string, kind int, data binary"
-GONE, SPLIT, GONE_WINDOW = 1, 2, 3
+GONE, SPLIT, GONE_PHRASE, SHARED, GONE_WINDOW = 1, 2, 3, 4, 5
 
 
 def _answers(group: pa.Table, message: np.ndarray, marks: list[tuple[int, np.ndarray, list[np.ndarray]]]) -> pa.Table:
@@ -313,11 +348,35 @@ def _meet_triggers(group: pa.Table) -> pa.Table:
     return _answers(group, message, [(GONE, gone, [trigger]), (SPLIT, split, [trigger])])
 
 
-def _settle(p: Parse, gone: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which phrases lose all windows, and which of the others have windows to compare."""
+def _phrase_keys(p: Parse, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _mix(p.trigger[rows] * U(BASES[1]) ^ p.phrase[rows]), (p.phrase[rows] >> U(32)).astype(np.uint32)
+
+
+def _settle(p: Parse, group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which phrases lose all windows by what is known, and which of the others are still to be compared."""
     order, begin = _groups(p.trigger, p.phrase)
-    lost = _within(p.trigger, gone) | (p.doc_id > _least_of_group(order, begin, p.doc_id))
-    return lost, _within(p.trigger, split) & ~lost
+    lost = _within(p.trigger, _known(group, GONE)) | (p.doc_id > _least_of_group(order, begin, p.doc_id))
+    rows = np.flatnonzero(_within(p.trigger, _known(group, SPLIT)) & ~lost)
+    lost[rows] = _told(group, GONE_PHRASE, *_phrase_keys(p, rows))
+    compare = np.zeros(len(lost), bool)
+    compare[rows] = ~lost[rows]
+    return lost, compare
+
+
+def _told(group: pa.Table, kind: int, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Which (key, check) are among the answers of a kind."""
+    out = np.zeros(len(key), bool)
+    answers = [_unpack(d, ["<u8", "<u4"]) for k, d in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True) if k == kind]
+    if answers and len(key):
+        told, told_check = (np.concatenate(c) for c in zip(*answers, strict=True))
+        order = np.argsort(told)
+        told, told_check = told[order], told_check[order]
+        at = np.searchsorted(told, key)
+        on = np.arange(len(key))
+        while len(on := on[at[on] < len(told)]) and len(on := on[told[at[on]] == key[on]]):
+            out[on] |= told_check[at[on]] == check[on]
+            at[on] += 1  # another answer with the same first hash
+    return out
 
 
 def _known(group: pa.Table, kind: int) -> np.ndarray:
@@ -325,50 +384,78 @@ def _known(group: pa.Table, kind: int) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, U)
 
 
-def _send_windows(buckets: int, length: int):
+def _send(buckets: int, length: int, what):
+    """Messages with the two hashes, and the least document in the block, of what(parse, answers) gives: (key, check, document)."""
+
     def run(group: pa.Table) -> pa.Table:
         block, path = group.column("block")[0].as_py(), group.column("path")[0].as_py()
-        split = _known(group, SPLIT)
-        if not len(split):
+        if SPLIT not in group.column("kind").to_pylist():
             return MESSAGES.empty_table()
         _, p = _load(path, length)
-        _, compare = _settle(p, _known(group, GONE), split)
-        number, key, check = p.windows_of(compare)
-        if not len(key):
-            return MESSAGES.empty_table()
-        order, begin = _groups(key, check)
-        first = order[begin]
-        least = np.minimum.reduceat(p.doc_id[number][order], begin)
-        return pa.Table.from_batches(_messages(block, path, key[first], [check[first]], least, buckets), MESSAGES)
+        key, check, docs = what(p, group)
+        return pa.Table.from_batches(_messages(block, path, key, [check], docs, buckets), MESSAGES)
 
     return run
 
 
-def _meet_windows(group: pa.Table) -> pa.Table:
-    (key, check), docs, message = _gather(group, WINDOWS)
+def _folded(key: np.ndarray, check: np.ndarray, docs: np.ndarray, flagged: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each (key, check), with its least document; flagged puts into the lowest bit of check whether it has several."""
+    if not len(key):
+        return key, check, docs
     order, begin = _groups(key, check)
-    return _answers(group, message, [(GONE_WINDOW, docs > _least_of_group(order, begin, docs), [key, check])])
+    first, docs = order[begin], docs[order]
+    least, key, check = np.minimum.reduceat(docs, begin), key[first], check[first]
+    if flagged:
+        check = check << np.uint32(1) | (np.maximum.reduceat(docs, begin) > least).astype(np.uint32)
+    order = np.argsort(key)
+    return key[order], check[order], least[order]
+
+
+def _phrases_sent(p: Parse, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.flatnonzero(_settle(p, group)[1])
+    return _folded(*_phrase_keys(p, rows), p.doc_id[rows])
+
+
+def _strings_sent(p: Parse, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    number, _, key, check = p.strings_of(_settle(p, group)[1])
+    return _folded(key, check, p.doc_id[number], flagged=True)
+
+
+def _windows(p: Parse, group: pa.Table, compare: np.ndarray) -> tuple[np.ndarray, ...]:
+    number, slot, key, check = p.strings_of(compare)
+    shared = np.zeros((len(compare), p.slots), bool)
+    shared[number, slot] = _told(group, SHARED, key, check)
+    return p.windows_of(compare, shared)
+
+
+def _windows_sent(p: Parse, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    number, _, key, check, _ = _windows(p, group, _settle(p, group)[1])
+    return _folded(key, check, p.doc_id[number])
+
+
+def _meet(kind: int):
+    def run(group: pa.Table) -> pa.Table:
+        (key, check), docs, message = _gather(group, WINDOWS)
+        several = check & np.uint32(1) if kind == SHARED else None
+        check = check >> np.uint32(1) if kind == SHARED else check
+        order, begin = _groups(key, check)
+        marked = docs > _least_of_group(order, begin, docs)
+        if kind == SHARED:
+            marked = _least_of_group(order, begin, (~(marked | several.astype(bool))).astype(np.int8)) == 0
+        return _answers(group, message, [(kind, marked, [key, check])])
+
+    return run
 
 
 def _finish(length: int):
     def run(group: pa.Table) -> pa.Table:
         ids, p = _load(group.column("path")[0].as_py(), length)
-        lost, compare = _settle(p, _known(group, GONE), _known(group, SPLIT))
-        number, key, check = p.windows_of(compare)
-        order, begin = _groups(key, check) if len(key) else (np.zeros(0, int), np.zeros(0, int))
+        lost, compare = _settle(p, group)
+        number, at, key, check, counts = _windows(p, group, compare)
         docs = p.doc_id[number]
-        out = docs > _least_of_group(order, begin, docs)
-        answers = [_unpack(d, ["<u8", "<u4"]) for k, d in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True) if k == GONE_WINDOW]
-        if answers and len(key):
-            told, told_check = (np.concatenate(c) for c in zip(*answers, strict=True))
-            order = np.argsort(told)
-            told, told_check = told[order], told_check[order]
-            at = np.searchsorted(told, key)
-            on = np.arange(len(key))
-            while len(on := on[at[on] < len(told)]) and len(on := on[told[at[on]] == key[on]]):
-                out[on] |= told_check[at[on]] == check[on]
-                at[on] += 1  # another answer with the same first hash
-        spans = _spans(p, lost, compare, out)
+        out = docs > _least_of_group(*_groups(key, check), docs)
+        out |= _told(group, GONE_WINDOW, key, check)
+        spans = _spans(p, lost, at, out, counts)
         rows: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "spans", "kept")}
         for doc, text, cut in zip(ids, p.texts, spans, strict=True):
             at, kept = 0, []
@@ -383,17 +470,16 @@ def _finish(length: int):
     return run
 
 
-def _spans(p: Parse, lost: np.ndarray, compare: np.ndarray, out: np.ndarray) -> list[list[tuple[int, int]]]:
-    """The removed runs of each document, as begin and end."""
+def _spans(p: Parse, lost: np.ndarray, begin: np.ndarray, out: np.ndarray, counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The removed runs of each document, as begin and end: those of lost phrases, and of windows that are out."""
     spans: list[list[tuple[int, int]]] = [[] for _ in p.texts]
     at, window = 0, 0
-    for segment, count in zip(p.segments, p.counts, strict=True):
+    for segment, count, n in zip(p.segments, p.counts, counts.tolist(), strict=True):
         own = slice(at, at + count)
         at += count
-        n = int((p.windows[own] * compare[own]).sum())
-        some = out[window : window + n]
+        some = begin[window : window + n][out[window : window + n]]
         window += n
-        if not lost[own].any() and not some.any():
+        if not lost[own].any() and not len(some):
             continue
         sizes = np.array([e - b for _, b, e in segment])
         base = np.cumsum(sizes) - sizes
@@ -401,11 +487,8 @@ def _spans(p: Parse, lost: np.ndarray, compare: np.ndarray, out: np.ndarray) ->
         first, windows = p.first[own], p.windows[own]
         np.add.at(covered, first[lost[own]], 1)
         np.add.at(covered, (first + windows + p.length - 1)[lost[own]], -1)
-        open_ = compare[own]
-        count_ = windows[open_]
-        begin = np.arange(n) - np.repeat(np.cumsum(count_) - count_, count_) + np.repeat(first[open_], count_)
-        np.add.at(covered, begin[some], 1)
-        np.add.at(covered, begin[some] + p.length, -1)
+        np.add.at(covered, some, 1)
+        np.add.at(covered, some + p.length, -1)
         on = (np.cumsum(covered)[:-1] > 0).astype(np.int8)
         for (doc, offset, _), b, size in zip(segment, base.tolist(), sizes.tolist(), strict=True):
             edge = np.flatnonzero(np.diff(on[b : b + size], prepend=0, append=0))
@@ -424,8 +507,8 @@ RESULT_SQL = "doc_id long, n_bytes long, n_removed long, spans array<struct<begi
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of each row: the removed runs of bytes, and the bytes that are left."""
-    if length < GRAM + 2:
-        raise ValueError(f"length must be at least {GRAM + 2}")
+    if length < GRAM + STEP:
+        raise ValueError(f"length must be at least {GRAM + STEP}")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_or_empty(text).cast("binary").alias("text"))
     rows = rows.withColumn("size", F.length("text"))
@@ -435,11 +518,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
 
     sent = stored.repartition(n).mapInArrow(_send_triggers(buckets, length), MESSAGE_SQL)
     told = common.keep(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet_triggers, ANSWER_SQL), "trigger-answers")
-    sent = told.repartition(n, "block").groupBy("block").applyInArrow(_send_windows(buckets, length), MESSAGE_SQL)
-    told_windows = common.keep(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet_windows, ANSWER_SQL), "window-answers")
+    for kind, what in ((GONE_PHRASE, _phrases_sent), (SHARED, _strings_sent), (GONE_WINDOW, _windows_sent)):
+        sent = told.repartition(n, "block").groupBy("block").applyInArrow(_send(buckets, length, what), MESSAGE_SQL)
+        found = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(kind), ANSWER_SQL)
+        told = told.unionByName(common.keep(found, "answers"))
     each = stored.select("block", "path", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("data"))
-    every = each.unionByName(told).unionByName(told_windows)
-    return every.repartition(n, "block").groupBy("block").applyInArrow(_finish(length), RESULT_SQL)
+    return each.unionByName(told).repartition(n, "block").groupBy("block").applyInArrow(_finish(length), RESULT_SQL)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
