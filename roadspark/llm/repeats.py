@@ -11,9 +11,9 @@ A byte goes if it lies in a string of `length` bytes that also starts in a docum
    are unique. A trigger with one phrase settles them too: all but the smallest document lose them all.
 4. Where a trigger leads more than one phrase, equal phrases are brought together: all but the smallest document with a
    phrase lose its windows.
-5. Of the phrases that are left, one of each kind, the strings of length - STEP + 1 bytes at a few fixed distances from the
+5. Along with them, of all phrases led by such triggers the strings of length - STEP + 1 bytes at a few fixed distances from the
    trigger are brought together. Every window holds one of them, so a window whose string is in one document only is unique.
-6. Dictionary suffixes: the remaining windows (the suffixes of the phrases, as far as `length` bytes) are brought together
+6. Dictionary suffixes: the windows that are left, of one phrase of each kind (the suffixes of the phrases, as far as `length` bytes), are brought together
    and sorted, to find the smallest document of each.
 
 Suffixes are sorted by a hash of their first `length` bytes (96 bits), not by their bytes: only equality of that
@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +46,9 @@ GRAM = 16
 #: Windows of a phrase that are judged by one string of length - STEP + 1 bytes.
 STEP = 10
 #: Bytes of text in a stored block, and of text whose parse meets in one bucket.
-BLOCK_BYTES = BUCKET_BYTES = 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 #: Windows parsed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 LOWEST = -(1 << 63)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 U = np.uint64
@@ -70,8 +71,7 @@ class Sums:
     """Prefix sums of bytes times powers of a base: the hash of any stretch of them in two steps."""
 
     def __init__(self, data: np.ndarray, base: int) -> None:
-        size = 1 << (len(data) + 1).bit_length()
-        up, self.down = _powers(base, size)
+        up, self.down = _powers(base, max(4 * PIECE, len(data) + 1))
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=self.sums[1:])
 
@@ -212,7 +212,10 @@ def _least_of_group(order: np.ndarray, begin: np.ndarray, value: np.ndarray) ->
 def _within(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
         return np.zeros(len(values), bool)
-    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+    order = np.argsort(values)  # searching in order is several times faster
+    out, values = np.empty(len(values), bool), values[order]
+    out[order] = sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+    return out
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -228,11 +231,11 @@ def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 TRIGGERS, WINDOWS = ["<u8", "<u4", "<u2"], ["<u8", "<u4"]
-MESSAGES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("path", pa.string()), ("base", pa.int64()), ("width", pa.int32()), ("data", pa.binary())])
-MESSAGE_SQL = "bucket long, block long, path string, base long, width int, data binary"
+MESSAGES = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("path", pa.string()), ("base", pa.int64()), ("width", pa.int32()), ("data", pa.binary())])
+MESSAGE_SQL = "kind int, bucket long, block long, path string, base long, width int, data binary"
 
 
-def _messages(block: int, path: str, key: np.ndarray, columns: list[np.ndarray], doc: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _messages(kind: int, block: int, path: str, key: np.ndarray, columns: list[np.ndarray], doc: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """One row for each bucket: columns, sorted by key, and doc as its distance from the least one, in 2, 4 or 8 bytes."""
     if not len(key):
         return
@@ -248,7 +251,7 @@ def _messages(block: int, path: str, key: np.ndarray, columns: list[np.ndarray],
         part = full[at : at + 256]
         data = [_pack([*(c[b:e] for c in (key, *columns)), away[b:e]]) for b, e in zip(begins[part], ends[part], strict=True)]
         k = len(part)
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([block] * k), pa.array([path] * k), pa.array([base] * k), pa.array([width] * k, pa.int32()), pa.array(data, pa.binary())], schema=MESSAGES)
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.int32()), pa.array(part), pa.array([block] * k), pa.array([path] * k), pa.array([base] * k), pa.array([width] * k, pa.int32()), pa.array(data, pa.binary())], schema=MESSAGES)
 
 
 def _gather(group: pa.Table, kinds: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -326,7 +329,7 @@ def _send_triggers(buckets: int, length: int):
                 least, most = np.minimum.reduceat(docs, begin), np.maximum.reduceat(docs, begin)
                 one = np.minimum.reduceat(phrase, begin) == np.maximum.reduceat(phrase, begin)
                 code = np.where(one, phrase[begin] >> U(17) << U(1) | U(1) << U(47), U(0)) & U((1 << 48) - 2) | (most > least).astype(U)
-                yield from _messages(block, path, p.trigger[order][begin], [(code & U(0xFFFFFFFF)).astype(np.uint32), (code >> U(32)).astype(np.uint16)], least, buckets)
+                yield from _messages(SPLIT, block, path, p.trigger[order][begin], [(code & U(0xFFFFFFFF)).astype(np.uint32), (code >> U(32)).astype(np.uint16)], least, buckets)
 
     return run
 
@@ -348,13 +351,13 @@ def _meet_triggers(group: pa.Table) -> pa.Table:
     return _answers(group, message, [(GONE, gone, [trigger]), (SPLIT, split, [trigger])])
 
 
-def _phrase_keys(p: Parse, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _phrase_keys(p: Parse, rows: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
     return _mix(p.trigger[rows] * U(BASES[1]) ^ p.phrase[rows]), (p.phrase[rows] >> U(32)).astype(np.uint32)
 
 
 def _settle(p: Parse, group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Which phrases lose all windows by what is known, and which of the others are still to be compared."""
-    order, begin = _groups(p.trigger, p.phrase)
+    order, begin = _groups(*_phrase_keys(p, slice(None)))
     lost = _within(p.trigger, _known(group, GONE)) | (p.doc_id > _least_of_group(order, begin, p.doc_id))
     rows = np.flatnonzero(_within(p.trigger, _known(group, SPLIT)) & ~lost)
     lost[rows] = _told(group, GONE_PHRASE, *_phrase_keys(p, rows))
@@ -384,16 +387,20 @@ def _known(group: pa.Table, kind: int) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, U)
 
 
-def _send(buckets: int, length: int, what):
-    """Messages with the two hashes, and the least document in the block, of what(parse, answers) gives: (key, check, document)."""
+def _send(buckets: int, length: int, kinds: list[int]):
+    """Messages of some kinds: two hashes, and the least document in the block."""
 
     def run(group: pa.Table) -> pa.Table:
         block, path = group.column("block")[0].as_py(), group.column("path")[0].as_py()
         if SPLIT not in group.column("kind").to_pylist():
             return MESSAGES.empty_table()
         _, p = _load(path, length)
-        key, check, docs = what(p, group)
-        return pa.Table.from_batches(_messages(block, path, key, [check], docs, buckets), MESSAGES)
+        compare = _settle(p, group)[1]
+        out: list[pa.RecordBatch] = []
+        for kind in kinds:
+            key, check, docs = SENT[kind](p, group, compare)
+            out += _messages(kind, block, path, key, [check], docs, buckets)
+        return pa.Table.from_batches(out, MESSAGES)
 
     return run
 
@@ -411,13 +418,13 @@ def _folded(key: np.ndarray, check: np.ndarray, docs: np.ndarray, flagged: bool
     return key[order], check[order], least[order]
 
 
-def _phrases_sent(p: Parse, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = np.flatnonzero(_settle(p, group)[1])
+def _phrases_sent(p: Parse, group: pa.Table, compare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.flatnonzero(compare)
     return _folded(*_phrase_keys(p, rows), p.doc_id[rows])
 
 
-def _strings_sent(p: Parse, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    number, _, key, check = p.strings_of(_settle(p, group)[1])
+def _strings_sent(p: Parse, group: pa.Table, compare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    number, _, key, check = p.strings_of(compare)
     return _folded(key, check, p.doc_id[number], flagged=True)
 
 
@@ -428,23 +435,27 @@ def _windows(p: Parse, group: pa.Table, compare: np.ndarray) -> tuple[np.ndarray
     return p.windows_of(compare, shared)
 
 
-def _windows_sent(p: Parse, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    number, _, key, check, _ = _windows(p, group, _settle(p, group)[1])
+def _windows_sent(p: Parse, group: pa.Table, compare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    number, _, key, check, _ = _windows(p, group, compare)
     return _folded(key, check, p.doc_id[number])
 
 
-def _meet(kind: int):
-    def run(group: pa.Table) -> pa.Table:
-        (key, check), docs, message = _gather(group, WINDOWS)
-        several = check & np.uint32(1) if kind == SHARED else None
-        check = check >> np.uint32(1) if kind == SHARED else check
-        order, begin = _groups(key, check)
-        marked = docs > _least_of_group(order, begin, docs)
-        if kind == SHARED:
-            marked = _least_of_group(order, begin, (~(marked | several.astype(bool))).astype(np.int8)) == 0
-        return _answers(group, message, [(kind, marked, [key, check])])
+SENT = {GONE_PHRASE: _phrases_sent, SHARED: _strings_sent, GONE_WINDOW: _windows_sent}
 
-    return run
+
+def _meet(group: pa.Table) -> pa.Table:
+    return pa.concat_tables([_meet_kind(k, group.filter(pc.equal(group.column("kind"), k))) for k in set(group.column("kind").to_pylist())])
+
+
+def _meet_kind(kind: int, group: pa.Table) -> pa.Table:
+    (key, check), docs, message = _gather(group, WINDOWS)
+    several = check & np.uint32(1) if kind == SHARED else None
+    check = check >> np.uint32(1) if kind == SHARED else check
+    order, begin = _groups(key, check)
+    marked = docs > _least_of_group(order, begin, docs)
+    if kind == SHARED:
+        marked = _least_of_group(order, begin, (~(marked | several.astype(bool))).astype(np.int8)) == 0
+    return _answers(group, message, [(kind, marked, [key, check])])
 
 
 def _finish(length: int):
@@ -518,9 +529,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
 
     sent = stored.repartition(n).mapInArrow(_send_triggers(buckets, length), MESSAGE_SQL)
     told = common.keep(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet_triggers, ANSWER_SQL), "trigger-answers")
-    for kind, what in ((GONE_PHRASE, _phrases_sent), (SHARED, _strings_sent), (GONE_WINDOW, _windows_sent)):
-        sent = told.repartition(n, "block").groupBy("block").applyInArrow(_send(buckets, length, what), MESSAGE_SQL)
-        found = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(kind), ANSWER_SQL)
+    for kinds in ([GONE_PHRASE, SHARED], [GONE_WINDOW]):
+        sent = told.repartition(n, "block").groupBy("block").applyInArrow(_send(buckets, length, kinds), MESSAGE_SQL)
+        found = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, ANSWER_SQL)
         told = told.unionByName(common.keep(found, "answers"))
     each = stored.select("block", "path", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("data"))
     return each.unionByName(told).repartition(n, "block").groupBy("block").applyInArrow(_finish(length), RESULT_SQL)
