@@ -1,4 +1,323 @@
 """Registered queries over the road network, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadspark.functions import expr
+from roadspark.operators import build, overlay, paths, tiles, tours
+from roadspark.sources import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+CLASSES = ", ".join(f"'{k}'" for k in expr.DEFAULT_KPH)
+DEFAULTS = "CASE highway " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in expr.DEFAULT_KPH.items()) + f" ELSE {expr.OTHER_KPH} END"
+DIGITS = "TRY_CAST(nullif(regexp_extract(maxspeed, '([0-9]+)', 1), '') AS BIGINT)"
+POSTED = f"CASE WHEN maxspeed LIKE '%mph%' THEN CAST(trunc(CAST({DIGITS} AS DOUBLE) * 1.60934::DOUBLE) AS BIGINT) ELSE {DIGITS} END"
+SPEED = f"CAST(CAST(CASE WHEN {POSTED} > 0 THEN {POSTED} ELSE {DEFAULTS} END AS DOUBLE) / 3.6::DOUBLE AS FLOAT)"
+HAVERSINE = "2 * 6371000::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))"
+GRAPH = f"""{fixtures.SQL.strip()},
+sizes AS (SELECT way_id, count(*) AS n FROM way_nodes GROUP BY way_id),
+drivable AS (SELECT way_id, highway, {SPEED} AS speed_mps, CASE WHEN oneway IN ('yes', '1', 'true') THEN 1 WHEN oneway = '-1' THEN -1 ELSE 0 END AS direction FROM way_tags JOIN sizes USING (way_id) WHERE n >= 2 AND highway IN ({CLASSES})),
+segs AS (SELECT way_id, pos::INT AS pos, a, b, speed_mps, direction FROM (SELECT way_id, pos, lag(osm_id) OVER (PARTITION BY way_id ORDER BY pos) AS a, osm_id AS b FROM way_nodes) JOIN drivable USING (way_id) WHERE a IS NOT NULL),
+arcs AS (SELECT a AS from_osm, b AS to_osm, speed_mps FROM segs WHERE direction >= 0 UNION ALL SELECT b, a, speed_mps FROM segs WHERE direction <= 0),
+used AS (SELECT DISTINCT osm_id FROM way_nodes JOIN drivable USING (way_id)),
+vertices AS MATERIALIZED (SELECT row_number() OVER (ORDER BY osm_id) - 1 AS vid, osm_id, lat, lon FROM used JOIN osm_nodes USING (osm_id)),
+edges AS MATERIALIZED (SELECT a.vid AS src, b.vid AS dst, max(speed_mps) AS speed_mps FROM arcs JOIN vertices a ON a.osm_id = from_osm JOIN vertices b ON b.osm_id = to_osm GROUP BY 1, 2),
+costs AS MATERIALIZED (SELECT src, dst, speed_mps, {HAVERSINE} AS dist_m, ({HAVERSINE}) / greatest(speed_mps, 0.1::FLOAT)::DOUBLE AS time_s FROM edges JOIN vertices a ON a.vid = src JOIN vertices b ON b.vid = dst)"""
+WITH = f"WITH {GRAPH} "
+MERCATOR = f"{GRAPH}, pts AS (SELECT vid, lon * (pi() / 180) AS x, -ln(tan(pi() / 4 + lat * (pi() / 360))) AS y FROM vertices), box AS (SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM pts)"
+ROADS = f"""{MERCATOR}, pairs AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, arg_min(speed_mps, (src, dst)) AS speed_mps FROM edges WHERE src <> dst GROUP BY 1, 2),
+roads AS (SELECT lo, hi, speed_mps, CASE WHEN speed_mps <= 0 THEN 0 WHEN speed_mps * 3.6::FLOAT >= 90 THEN 4 WHEN speed_mps * 3.6::FLOAT >= 70 THEN 3 WHEN speed_mps * 3.6::FLOAT >= 50 THEN 2 WHEN speed_mps * 3.6::FLOAT >= 30 THEN 1 ELSE 0 END AS tier, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
+FROM pairs JOIN pts a ON a.vid = lo JOIN pts b ON b.vid = hi)"""
+#: The middle of the map in Mercator coordinates, as a view.
+VIEW = (0.6458, -1.1555, 0.6460, -1.1548)
+SEEN = "NOT ((x1 < {0} AND x2 < {0}) OR (x1 > {2} AND x2 > {2}) OR (y1 < {1} AND y2 < {1}) OR (y1 > {3} AND y2 > {3}))".format(*(f"{v}::DOUBLE" for v in VIEW))
+
+
+def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return build.build_graph(fixtures.ways(spark, d), fixtures.nodes(spark, d), strict=False)
+
+
+def costed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vertex, edges = graph(spark, d)
+    return vertex, build.with_costs(edges, vertex)
+
+
+@query(f"WITH {fixtures.SQL} SELECT way_id, highway, maxspeed, {SPEED} AS speed_mps FROM way_tags")
+def way_speed(spark, d):
+    return fixtures.ways(spark, d).select("way_id", "highway", "maxspeed", expr.way_speed(F.col("highway"), F.col("maxspeed")).alias("speed_mps"))
+
+
+@query(f"WITH {fixtures.SQL} SELECT way_id, CASE WHEN oneway IN ('yes', '1', 'true') THEN 1 WHEN oneway = '-1' THEN -1 ELSE 0 END AS direction FROM way_tags")
+def way_direction(spark, d):
+    return fixtures.ways(spark, d).select("way_id", expr.direction(F.col("oneway")).alias("direction"))
+
+
+@query(WITH + "SELECT way_id, highway, speed_mps, direction FROM drivable")
+def drivable_ways(spark, d):
+    return build.drivable_ways(fixtures.ways(spark, d)).drop("nodes")
+
+
+@query(WITH + "SELECT * FROM segs")
+def segments(spark, d):
+    return build.segments(build.drivable_ways(fixtures.ways(spark, d)))
+
+
+@query(WITH + "SELECT * FROM arcs")
+def directed_edges(spark, d):
+    return build.directed(segments(spark, d))
+
+
+@query(WITH + "SELECT * FROM vertices")
+def vertices_dense(spark, d):
+    return graph(spark, d)[0]
+
+
+@query(WITH + "SELECT osm_id FROM (SELECT DISTINCT osm_id FROM way_nodes) WHERE osm_id NOT IN (SELECT osm_id FROM osm_nodes WHERE osm_id % 2 = 1)")
+def missing_coords(spark, d):
+    odd = fixtures.nodes(spark, d).filter("osm_id % 2 = 1")
+    return build.missing_coordinates(build.used_nodes(fixtures.ways(spark, d)), odd)
+
+
+@query(WITH + "SELECT * FROM edges")
+def edges_fastest(spark, d):
+    return graph(spark, d)[1]
+
+
+@query(WITH + ", deg AS (SELECT vid, count(src) AS degree FROM vertices LEFT JOIN edges ON src = vid GROUP BY vid) SELECT vid, degree, CAST(sum(degree) OVER (ORDER BY vid) AS BIGINT) AS end_offset FROM deg")
+def degree_offsets(spark, d):
+    return build.offsets(*graph(spark, d))
+
+
+@query(WITH + "SELECT dst AS src, src AS dst, speed_mps FROM edges")
+def reverse_edges(spark, d):
+    return build.reverse(graph(spark, d)[1])
+
+
+@query(WITH + "SELECT dst AS vid, list_sort(list(src)) AS sources FROM edges GROUP BY dst")
+def in_lists(spark, d):
+    return build.in_lists(graph(spark, d)[1])
+
+
+@query(WITH + "SELECT src, dst, speed_mps, round(dist_m, 3) AS dist_m, round(time_s, 3) AS time_s FROM costs")
+def edge_costs(spark, d):
+    return costed(spark, d)[1].withColumns({c: F.round(c, 3) for c in ("dist_m", "time_s")})
+
+
+def _sssp_sql(cost: str, sources: str = "SELECT 0::BIGINT AS src", last: str = "SELECT src, v, round(g, 3) AS cost FROM d") -> str:
+    return f"""WITH RECURSIVE {GRAPH}, starts AS ({sources}),
+d(src, v, g) USING KEY (src, v) AS (SELECT src, src, 0::DOUBLE FROM starts UNION SELECT d.src, e.dst, min(d.g + e.{cost}) FROM d JOIN costs e ON e.src = d.v LEFT JOIN recurring.d r ON r.v = e.dst AND r.src = d.src
+WHERE r.g IS NULL OR d.g + e.{cost} < r.g GROUP BY d.src, e.dst) {last}"""
+
+
+def _sssp(spark, d, metric, method="auto"):
+    vertex, cost = costed(spark, d)
+    start = spark.range(1).select(F.col("id").alias("src"))
+    return paths.from_sources(cost, start, metric, method).select("src", "v", F.round("cost", 3).alias("cost"))
+
+
+@query(_sssp_sql("dist_m"))
+def sssp_distance(spark, d):
+    return _sssp(spark, d, "distance")
+
+
+@query(_sssp_sql("time_s"))
+def sssp_time(spark, d):
+    return _sssp(spark, d, "time")
+
+
+@query(_sssp_sql("time_s"))
+def sssp_fixpoint(spark, d):
+    return _sssp(spark, d, "time", "fixpoint")
+
+
+ROUTED = "SELECT s_suppkey AS qid, CASE WHEN s_suppkey % 11 = 10 THEN -1 ELSE (s_suppkey * 13) % 97 END AS src, (s_suppkey * 31) % 89 AS dst FROM supplier"
+
+
+def _queries(spark, d):
+    k = F.col("s_suppkey")
+    return spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("qid"), F.when(k % 11 == 10, -1).otherwise(k * 13 % 97).cast("long").alias("src"), (k * 31 % 89).alias("dst"))
+
+
+@query(_sssp_sql("dist_m", f"SELECT DISTINCT q.src FROM ({ROUTED}) q JOIN vertices ON vid = q.src", f"SELECT q.qid, q.src, q.dst, round(g, 3) AS dist_m FROM ({ROUTED}) q LEFT JOIN d ON d.src = q.src AND d.v = q.dst"))
+def route_batch(spark, d):
+    vertex, cost = costed(spark, d)
+    return paths.routes(cost, vertex, _queries(spark, d), "distance", full=False).select("qid", "src", "dst", F.round("dist_m", 3).alias("dist_m"))
+
+
+@query(_sssp_sql("time_s", f"SELECT DISTINCT q.src FROM ({ROUTED}) q JOIN vertices ON vid = q.src", f"SELECT q.qid, round(g, 3) AS time_s FROM ({ROUTED}) q JOIN d ON d.src = q.src AND d.v = q.dst"))
+def route_totals(spark, d):
+    """Paths by time, their totals added up from the edges again."""
+    vertex, cost = costed(spark, d)
+    found = paths.routes(cost, vertex, _queries(spark, d), "time")
+    return paths.path_totals(found, cost).select("qid", F.round("time_s", 3).alias("time_s"))
+
+
+@query(WITH + ", e AS (SELECT src, dst FROM edges WHERE src <> dst), h AS (SELECT 0 AS v, 0 AS hops UNION ALL SELECT dst, 1 FROM e WHERE src = 0 UNION ALL SELECT b.dst, 2 FROM e a JOIN e b ON b.src = a.dst WHERE a.src = 0) SELECT 0::BIGINT AS src, v, min(hops)::INT AS hops FROM h GROUP BY v")
+def k_hop_neighbours(spark, d):
+    return paths.k_hops(graph(spark, d)[1], spark.range(1).select(F.col("id").alias("src")), 2)
+
+
+NEAREST = "(SELECT p.id, arg_min(vid, ((v.lon - p.lon) * (v.lon - p.lon) + (v.lat - p.lat) * (v.lat - p.lat), vid)) AS vid FROM {} p, vertices v GROUP BY p.id)"
+
+
+@query(WITH + "SELECT * FROM " + NEAREST.format("points"))
+def nearest_vertex(spark, d):
+    return paths.nearest(fixtures.points(spark, d), graph(spark, d)[0]).select("id", "vid")
+
+
+def _stops(spark, d):
+    vertex, cost = costed(spark, d)
+    return cost, paths.nearest(fixtures.stops(spark, d), vertex).select(F.col("id").alias("i"), "vid")
+
+
+MILLI = "CASE WHEN a.id = b.id THEN 0 ELSE CAST(trunc(round(g, 6) * 1000) AS BIGINT) END"
+
+
+@query(_sssp_sql("time_s", "SELECT DISTINCT vid AS src FROM " + NEAREST.format("stops"), f"SELECT a.id AS i, b.id AS j, CAST(round(({MILLI}) / 10.0) AS BIGINT) AS time_cs FROM {NEAREST.format('stops')} a, {NEAREST.format('stops')} b, d WHERE d.src = a.vid AND d.v = b.vid"))
+def od_matrix(spark, d):
+    """Between a stop for each nation, in hundredths of a second: thousandths differ with the last bit of a sum."""
+    cost, stops = _stops(spark, d)
+    return paths.matrix(cost, stops).filter("time_ms is not null").select("i", "j", F.round(F.col("time_ms") / 10.0).cast("long").alias("time_cs"))
+
+
+@query()
+def tsp_heuristic(spark, d):
+    cost, stops = _stops(spark, d)
+    return tours.tours(paths.matrix(cost, stops).withColumn("problem", F.lit(0).cast("long")))
+
+
+FIVE = "SELECT r_regionkey AS i, r_regionkey * 17 % 7 AS x, r_regionkey * 11 % 5 AS y FROM region"
+
+
+@query(f"""WITH p AS ({FIVE}), c AS (SELECT a.i, b.i AS j, CAST(1000 * (abs(a.x - b.x) + abs(a.y - b.y)) AS BIGINT) AS c FROM p a, p b)
+SELECT CAST(min(c1.c + c2.c + c3.c + c4.c + c5.c) AS BIGINT) AS total FROM c c1 JOIN c c2 ON c2.i = c1.j JOIN c c3 ON c3.i = c2.j JOIN c c4 ON c4.i = c3.j JOIN c c5 ON c5.i = c4.j
+WHERE c1.i = 0 AND c5.j = 0 AND len(list_distinct([c1.i, c2.i, c3.i, c4.i, c5.i])) = 5""")
+def tsp_exact(spark, d):
+    """A tour of five places, one for each region, by city blocks."""
+    k = F.col("r_regionkey").cast("long")
+    p = spark.read.parquet(f"{d}/region.parquet").select(k.alias("i"), (k * 17 % 7).alias("x"), (k * 11 % 5).alias("y"))
+    q = p.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
+    block = (1000 * (F.abs(F.col("x") - F.col("xj")) + F.abs(F.col("y") - F.col("yj")))).cast("long")
+    cells = p.join(q, F.lit(True)).select(F.lit(0).cast("long").alias("problem"), "i", "j", block.alias("time_ms"), block.alias("dist_mm"))
+    return tours.tours(cells).select("total").distinct()
+
+
+@query()
+def vrp_plan(spark, d):
+    cost, stops = _stops(spark, d)
+    tagged = lambda df: df.withColumn("problem", F.lit(0).cast("long"))
+    orders = fixtures.vrp_orders(spark, d).withColumnRenamed("id", "i")
+    return tours.plans(tagged(paths.matrix(cost, stops)), tagged(orders), tagged(fixtures.fleet(spark, d)))
+
+
+@query("SELECT r_regionkey::BIGINT AS vehicle_id, CAST(sum(CASE WHEN n_nationkey = 0 THEN 0 ELSE 1 + n_nationkey % 40 END) AS BIGINT) AS load, (150 + 25 * (r_regionkey % 3))::BIGINT AS capacity, sum(CASE WHEN n_nationkey = 0 THEN 0 ELSE 1 + n_nationkey % 40 END) <= 150 + 25 * (r_regionkey % 3) AS fits FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+def vrp_load(spark, d):
+    """The load of a fixed assignment: each nation's order to its region's vehicle."""
+    of = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("vehicle_id"))
+    loads = fixtures.vrp_orders(spark, d).join(of, "id").groupBy("vehicle_id").agg(F.sum("demand").alias("load"))
+    return loads.join(fixtures.fleet(spark, d), "vehicle_id").select("vehicle_id", "load", "capacity", (F.col("load") <= F.col("capacity")).alias("fits"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT n_regionkey AS v, n_nationkey::BIGINT AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS pos, CASE WHEN n_nationkey = 0 THEN 0 ELSE n_nationkey % 4 * 3600 END AS tw_start FROM nation),
+s AS (SELECT v, pos, id, greatest(600, tw_start) AS arrive FROM o WHERE pos = 1 UNION ALL SELECT o.v, o.pos, o.id, greatest(s.arrive + 600, o.tw_start) FROM s JOIN o ON o.v = s.v AND o.pos = s.pos + 1) SELECT v::BIGINT AS vehicle_id, id, arrive::BIGINT AS arrive_s FROM s""")
+def vrp_schedule_check(spark, d):
+    """Arrivals of the same assignment with ten minutes for each leg: a fold over each vehicle's ordered stops."""
+    of = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("vehicle_id"))
+    lists = fixtures.vrp_orders(spark, d).join(of, "id").groupBy("vehicle_id").agg(F.sort_array(F.collect_list(F.struct("id", "tw_start"))).alias("s"))
+    empty = F.array().cast("array<struct<id: bigint, arrive: bigint>>")
+    last = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)["arrive"]).otherwise(0)
+    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["id"].alias("id"), F.greatest(F.when(F.size(acc) > 0, last(acc)).otherwise(0) + 600, x["tw_start"].cast("long")).alias("arrive"))))
+    return lists.select("vehicle_id", F.explode(F.aggregate("s", empty, step)).alias("r")).select("vehicle_id", "r.id", F.col("r.arrive").alias("arrive_s"))
+
+
+@query(f"WITH {MERCATOR} SELECT round(min_x, 9) AS min_x, round(max_x, 9) AS max_x, round(min_y, 9) AS min_y, round(max_y, 9) AS max_y FROM box")
+def mercator_bounds(spark, d):
+    return tiles.bounds(tiles.projected(graph(spark, d)[0])).select(*[F.round(c, 9).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
+
+
+@query(f"WITH {MERCATOR}, c AS (SELECT *, greatest(greatest(max_x - min_x, max_y - min_y) / 350, 2e-5::DOUBLE) AS cell FROM box) SELECT vid, CAST(greatest(0, least(ceil((max_x - min_x) / cell), floor((x - min_x) / cell))) AS INT) AS cell_x, CAST(greatest(0, least(ceil((max_y - min_y) / cell), floor((y - min_y) / cell))) AS INT) AS cell_y FROM pts, c")
+def vertex_grid(spark, d):
+    return tiles.grid(tiles.projected(graph(spark, d)[0]))
+
+
+def _roads(spark, d):
+    vertex, edges = graph(spark, d)
+    points = tiles.projected(vertex)
+    return tiles.roads(edges, points), points
+
+
+@query(f"WITH {ROADS} SELECT lo, hi, speed_mps FROM pairs")
+def roads_undirected(spark, d):
+    return tiles.undirected(graph(spark, d)[1])
+
+
+@query(f"WITH {ROADS}, c AS (SELECT tier, count(*) AS roads FROM roads GROUP BY tier) SELECT tier, roads, CAST(sum(roads) OVER (ORDER BY tier DESC) AS BIGINT) AS from_tier FROM c")
+def road_tiers(spark, d):
+    return tiles.tier_counts(_roads(spark, d)[0])
+
+
+@query(f"""WITH {ROADS}, levels AS (SELECT * FROM (VALUES (0, 16, 4), (1, 32, 3), (2, 64, 2), (3, 128, 1), (4, 256, 0)) t(level, tiles, least_tier)),
+s AS (SELECT roads.*, level, greatest(greatest(max_x - min_x, max_y - min_y) / tiles, 1e-12::DOUBLE) AS size, min_x, max_x, min_y, max_y FROM roads, box, levels WHERE tier >= least_tier),
+i AS (SELECT level, lo, hi, tier, CAST(greatest(0, least(greatest(1, ceil((max_x - min_x) / size)) - 1, floor((least(x1, x2) - min_x) / size))) AS INT) AS xa, CAST(greatest(0, least(greatest(1, ceil((max_x - min_x) / size)) - 1, floor((greatest(x1, x2) - min_x) / size))) AS INT) AS xb,
+CAST(greatest(0, least(greatest(1, ceil((max_y - min_y) / size)) - 1, floor((least(y1, y2) - min_y) / size))) AS INT) AS ya, CAST(greatest(0, least(greatest(1, ceil((max_y - min_y) / size)) - 1, floor((greatest(y1, y2) - min_y) / size))) AS INT) AS yb FROM s)
+SELECT level, tier, count(*) AS roads, CAST(sum((xb - xa + 1) * (yb - ya + 1)) AS BIGINT) AS entries FROM i GROUP BY level, tier""")
+def tile_index(spark, d):
+    road, points = _roads(spark, d)
+    return tiles.tile_index(road, points).groupBy("level", "tier", "lo", "hi").agg(F.count("*").alias("n")).groupBy("level", "tier").agg(F.count("*").alias("roads"), F.sum("n").alias("entries"))
+
+
+@query(f"WITH {ROADS} SELECT tier, lo, hi FROM roads WHERE {SEEN} AND tier >= 2")
+def roads_in_view(spark, d):
+    return tiles.roads_in_view(_roads(spark, d)[0], VIEW, 20_000.0).select("tier", "lo", "hi")
+
+
+@query(f"WITH {ROADS} SELECT count(*) AS from_0, " + ", ".join(f"count(*) FILTER (speed_mps * 3.6::FLOAT >= {k}) AS from_{k}" for k in (30, 50, 70, 90)) + f" FROM roads WHERE {SEEN}")
+def visible_counts(spark, d):
+    return tiles.visible_counts(_roads(spark, d)[0], VIEW)
+
+
+def _drawn(spark, d):
+    """Ways as routes over the map: the way's nodes are its path."""
+    return fixtures.ways(spark, d).select(F.col("way_id").alias("route"), F.col("nodes").alias("path"))
+
+
+DRAWN = f"WITH {fixtures.SQL}, hops AS (SELECT way_id AS route, lag(osm_id) OVER (PARTITION BY way_id ORDER BY pos) AS u, osm_id AS v FROM way_nodes), e AS (SELECT DISTINCT route, least(u, v) AS lo, greatest(u, v) AS hi FROM hops WHERE u <> v)"
+
+
+@query(f"{DRAWN} SELECT lo, hi, list_sort(list(route)) AS routes FROM e GROUP BY lo, hi")
+def shared_edges(spark, d):
+    return overlay.shared_edges(_drawn(spark, d))
+
+
+@query(f"{DRAWN} SELECT route, lo, hi, round(4.4::DOUBLE + (count(*) OVER w - row_number() OVER (PARTITION BY lo, hi ORDER BY route)) * 5.8::DOUBLE, 6) AS band, round(4.4::DOUBLE + (count(*) OVER w - 1) * 5.8::DOUBLE + 2.8::DOUBLE, 6) AS casing FROM e WINDOW w AS (PARTITION BY lo, hi)")
+def band_widths(spark, d):
+    return overlay.bands(_drawn(spark, d)).withColumns({c: F.round(c, 6) for c in ("band", "casing")})
+
+
+@query(f"WITH {fixtures.SQL}, r AS (SELECT way_id AS route, count(*) AS n FROM way_nodes GROUP BY way_id ORDER BY way_id LIMIT 12) SELECT route, format('Route {{}}: {{}} nodes, {{:.1f}} m, {{:02d}}:{{:02d}}:{{:02d}}', route + 1, n, n * 100::DOUBLE, n * 1111 // 3600, n * 1111 % 3600 // 60, n * 1111 % 60) AS label FROM r")
+def route_legend(spark, d):
+    """The first twelve ways, each node counting for 100 m and 1,111 s."""
+    rows = _drawn(spark, d).select("route", F.size("path").alias("n_nodes"))
+    return overlay.legend(rows.withColumn("dist_m", F.col("n_nodes") * 100.0).withColumn("time_s", F.col("n_nodes") * 1111.0))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr((65 + p_partkey)::INT) WHEN p_partkey < 702 THEN chr((65 + p_partkey // 26 - 1)::INT) || chr((65 + p_partkey % 26)::INT) ELSE chr((65 + (p_partkey - 702) // 676 )::INT) || chr((65 + (p_partkey - 702) // 26 % 26)::INT) || chr((65 + p_partkey % 26)::INT) END AS label FROM part")
+def marker_labels(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", expr.marker_label(F.col("p_partkey")).alias("label"))
