@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import tempfile
 import uuid
 
 import numpy as np
@@ -94,21 +95,24 @@ def from_sources(costed: DataFrame, sources: DataFrame, metric: str = "time", me
     return spread.repartition(max(1, min(spread.count(), 4096)), "src").mapInPandas(run, "src long, v long, cost double")
 
 
+def _lasting(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that the session names, or one of its own where it names none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadspark-"))
+    return df.checkpoint()
+
+
 def fixpoint(costed: DataFrame, sources: DataFrame, metric: str = "time", bound: DataFrame | None = None) -> DataFrame:
     """The same by rounds of relaxation of the improved rows alone, each round a checkpoint."""
     edges = costed.filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("w"), F.col(COST[metric]).alias("c"))
     edges = edges.persist()
-    context = costed.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(costed.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadspark-"))
-    state = sources.select("src", F.col("src").alias("v"), F.lit(0.0).alias("cost"), F.lit(True).alias("new")).distinct().checkpoint()
+    state = _lasting(sources.select("src", F.col("src").alias("v"), F.lit(0.0).alias("cost"), F.lit(True).alias("new")).distinct())
     while not state.filter("new").isEmpty():
         offers = state.filter("new").join(edges, F.col("v") == F.col("u")).groupBy("src", F.col("w").alias("v")).agg(F.min(F.col("cost") + F.col("c")).alias("offer"))
         joined = state.join(offers, ["src", "v"], "full")
         better = F.col("offer").isNotNull() & (F.col("cost").isNull() | (F.col("offer") < F.col("cost")))
-        state = joined.select("src", "v", F.when(better, F.col("offer")).otherwise(F.col("cost")).alias("cost"), better.alias("new")).checkpoint()
+        state = _lasting(joined.select("src", "v", F.when(better, F.col("offer")).otherwise(F.col("cost")).alias("cost"), better.alias("new")))
     edges.unpersist()
     return state.select("src", "v", "cost")
 
@@ -170,7 +174,7 @@ def nearest(points: DataFrame, vertex: DataFrame, cell: float = 0.002) -> DataFr
     """(id, vid, d2): the vertex nearest to each point in squared degrees, the smallest vid on ties.
 
     Vertices are bucketed in a grid, and each point looks at the ring of cells around it; points for which the ring holds no
-    vertex closer than its own edge look again with cells twice as wide, until all are found.
+    vertex closer than its own edge look again with cells sixteen times as wide, until all are found. Points without coordinates have no row.
     """
     spark, found = points.sparkSession, None
     if vertex.isEmpty():
@@ -183,12 +187,12 @@ def nearest(points: DataFrame, vertex: DataFrame, cell: float = 0.002) -> DataFr
         probe = left.withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)).withColumn("gy", at("lat") + F.col("dy")).withColumn("gx", at("lon") + F.col("dx"))
         d2 = (F.col("v_lon") - F.col("lon")) * (F.col("v_lon") - F.col("lon")) + (F.col("v_lat") - F.col("lat")) * (F.col("v_lat") - F.col("lat"))
         best = probe.join(grid, ["gy", "gx"]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), F.col("vid"))).alias("m")).select("id", "m.vid", "m.d2")
-        sure = best.filter(F.sqrt("d2") <= width)
+        sure = _lasting(best.filter(F.sqrt("d2") <= width))
         found = sure if found is None else found.unionByName(sure)
-        left = left.join(sure.select("id"), "id", "left_anti")
-        if left.isEmpty() or width > 720:
+        left = _lasting(left.join(sure.select("id"), "id", "left_anti"))
+        if width > 720 or left.isEmpty():
             return found
-        width *= 4
+        width *= 16
 
 
 def edge_lag(found: DataFrame) -> DataFrame:
