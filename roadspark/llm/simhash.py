@@ -123,7 +123,7 @@ def link_prints(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def group_near(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, text: str = "text", doc_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
-    """(row, print, component_id): every row of docs (or some of its columns) as a struct, with its group of near-duplicates."""
+    """(row, print, root, component_id): every row of docs (or some of its columns) as a struct, with its group of near-duplicates: a fingerprint that stands for it, and its smallest doc_id."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), common.text_or_empty(f"`{text}`").alias("text"))
     kind = T.StructType([rows.schema["row"], T.StructField("print", T.LongType())])
     rows = common.keep(rows.mapInArrow(_print(shingle), kind), "prints")
@@ -131,14 +131,14 @@ def group_near(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, text:
     label = common.components(link_prints(entries))
     entries = entries.join(label, F.col("print") == F.col("node"), "left").withColumn("root", F.coalesce("component", "print"))
     low = entries.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = entries.select("print", "root").join(low, "root").select("print", "component_id")
-    return rows.join(found, "print").select("row", "print", "component_id")
+    found = entries.select("print", "root").join(low, "root").select("print", "root", "component_id")
+    return rows.join(found, "print").select("row", "print", "root", "component_id")
 
 
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with the row of smallest doc_id of each group; of rows that share that id, one. Groups without any id keep one row."""
     grouped = group_near(docs, shingle, bits, text, doc_id).filter(F.col("row")[doc_id].eqNullSafe(F.col("component_id")))
-    first = Window.partitionBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("print"))).orderBy(F.col("row")[text])
+    first = Window.partitionBy("root").orderBy(F.col("row")[text])
     return grouped.withColumn("place", F.row_number().over(first)).filter("place = 1").select("row.*")
 
 

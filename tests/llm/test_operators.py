@@ -1,0 +1,361 @@
+"""Each operator against a brute-force version on a small table with nulls, empty and long texts, ties, repeated rows and clashing column names; and on an empty one."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from roadspark.llm import blocks, common, exact_dedup, language, lattice, mixing, packing, privacy, quality, records, repeats, simhash, tokens
+
+SMALL = "/root/testdata/sf0.001"
+COLUMNS = "doc_id long, text string, source string, lang string, sha string, rep long, key double, score double, row string, component_id long"
+PASSAGE = "this passage of well over fifty bytes stands in several of the documents of this little table. "
+
+
+def rows():
+    rng = np.random.default_rng(5)
+    words = "road bridge river stone lamp green walk quiet harbour seven".split()
+    prose = [" ".join(rng.choice(words, n)) for n in (3, 40, 200, 900)]
+    texts = [None, "", "   ", "a", "a", "A", prose[0], prose[1], prose[1] + " end", prose[2], PASSAGE + prose[2], prose[0] + PASSAGE * 2, "x " * 4000, "é日本 ñ" * 30, prose[3], PASSAGE, prose[1], None]
+    ids = [*range(len(texts) - 2), 3, None]
+    sources = ["s1", None, "s2", "s3", "s1", "s1"]
+    out = [(i, t, sources[k % 6], "en") + ("x", 1, 0.5, 0.5, "r", 9) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return out + [out[7]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), COLUMNS).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def plain(value):
+    return (value is not None, value if value is not None else 0)
+
+
+def test_exact_groups(docs, none):
+    got = exact_dedup.group_copies(docs).select("row.doc_id", "row.text", "keep_id", "group_size", "kept", "sha").collect()
+    groups = collections.defaultdict(list)
+    for r in rows():
+        groups[r[1] or ""].append(r[0])
+    assert len(got) == len(rows())
+    for r in got:
+        own = groups[r.text or ""]
+        assert r.group_size == len(own) and r.keep_id == max((i for i in own if i is not None), default=None)
+        assert r.sha == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert sum(r.kept for r in got) == len(groups)
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert exact_dedup.group_copies(none).count() == 0
+
+
+def test_extendible_index_splits_and_chains():
+    index = exact_dedup.ExtendibleIndex(capacity=2)
+    key = lambda i: hashlib.sha256(str(i % 100).encode()).digest()
+    for i in range(300):
+        index.add(key(i), str(i % 100).encode(), (i, i), 1, i)
+    index.add(key(7), b"other bytes, same hash", (1, 1), 1, 1000)
+    assert index.depth > 4 and len(index.directory) == 1 << index.depth
+    assert index.find(key(7), b"7")[1:] == [(207, 207), 3, [7, 107, 207]] and index.find(key(7), b"other bytes, same hash")[2] == 1
+    assert all(len(b["chains"]) <= 2 for _, b in index.buckets())
+
+
+def test_index_pages_are_written(spark, docs, tmp_path):
+    exact_dedup.group_copies(docs, index_folder=f"file://{tmp_path}/index").count()
+    pages = exact_dedup.read_index(spark, f"file://{tmp_path}/index")
+    assert pages.count() == len({r[1] or "" for r in rows()}) and pages.agg(F.sum("group_size")).first()[0] == len(rows())
+
+
+def test_records(spark, docs, none, tmp_path):
+    encoder = tokens.Encoder(tokens.default_path())
+    want, start = [], 0
+    for i, t in sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (plain(r[0]), r[1])):
+        ids = np.array([*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    manifest = records.write(docs, f"file://{tmp_path}/out")
+    assert sorted(map(tuple, records.read(spark, manifest).collect()), key=repr) == sorted(want, key=repr)
+    path = next(r.path for r in manifest.collect() if r.n_docs)
+    index = records.read_index(path)
+    first = next(records.read_shard(path, int(index["offset"][-1])))
+    assert len(first[1]) == index["n"][-1]
+    file = path.removeprefix("file://")
+    data = bytearray(open(file, "rb").read())
+    data[20] ^= 1
+    open(file, "wb").write(data)
+    with pytest.raises(ValueError, match="checksum"):
+        list(records.read_shard(path))
+    assert records.read(spark, records.write(none, f"file://{tmp_path}/none")).count() == 0
+
+
+def test_checksum():
+    assert records.crc32c(np.frombuffer(b"123456789", np.uint8), [9]).tolist() == [0xE3069283]
+    data = np.random.default_rng(1).integers(0, 256, 3000, dtype=np.uint8)
+    assert records.crc32c(data, [0, 1, 257, 2999, 3000])[2] == records.crc32c(data[1:257], [256])[0]
+
+
+def test_encoder_equals_the_library():
+    e = tokens.Encoder(tokens.default_path())
+    texts = ["a  b", " a", "a ", "\n x\ny, z.", "it's <|endoftext|> 日本 x  y", "", " ", "don't.\n\n go  "]
+    assert e.encode(texts) == [np.array(x.ids, "<u2").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing(docs, none):
+    encoder = tokens.Encoder(tokens.default_path())
+    whole = collections.Counter((r[0], np.array([*encoder.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for r in rows())
+    got = packing.pack(docs, length=64, group_documents=5).collect()
+    by_sequence, by_doc = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length
+        by_sequence[r.sequence_id].append(r)
+        by_doc[r.doc_id, r.start, r.doc_tokens].append(r)
+    for parts in by_sequence.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 64
+    assert sum(r.length for r in got) == sum(n * len(ids) // 4 for (_, ids), n in whole.items())
+    for (doc, ids), n in whole.items():
+        assert sum(bytes(r.ids) == ids[:256] for r in by_doc[doc, 0, len(ids) // 4]) == n
+    assert packing.pack(none).count() == 0
+
+
+def test_first_fit():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 60, 300).tolist()
+    bins: list[int] = []
+    want = {}
+    for size, i in sorted((-s, i) for i, s in enumerate(sizes)):
+        at = next((b for b, room in enumerate(bins) if room >= -size), len(bins))
+        if at == len(bins):
+            bins.append(64)
+        want[i] = (at, 64 - bins[at])
+        bins[at] += size
+    assert {d: (s, o) for d, _, _, s, o in packing.cut_and_place(sizes, 64)} == want
+
+
+def test_mixing(docs, none):
+    got = mixing.mix(docs).select("row.doc_id", "row.source", "row.text", "size", "source_size", "target", "taken").collect()
+    assert len(got) == len(rows())
+    for r in got:
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) and 0 <= r.taken <= 3 * r.size
+    total = sum(r.size for r in got)
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        assert own[0].source_size == sum(r.size for r in own) and sum(r.taken for r in own) == int(own[0].target) and own[0].target <= 3 * own[0].source_size
+    assert sum({r.source: r.target for r in got}.values()) == pytest.approx(total)
+    assert sorted(map(repr, mixing.mix(docs).drop("row").collect())) == sorted(map(repr, mixing.mix(docs).drop("row").collect()))
+    assert mixing.materialise(docs).columns == docs.columns
+    assert mixing.mix(none).count() == 0 and mixing.materialise(none).count() == 0
+
+
+def test_pseudonyms(spark, docs, none):
+    text = "+1 (988) 555-2485, 4041894974608795 not 4041894974608796; 42.144.35.254 not 300.1.1.1; a.b@c.com 1980-02-29 not 1981-02-29; GB82WEST12345698765432 123-45-6789 not 000-11-2222 4041-8949-7460-8795"
+    df = spark.createDataFrame([(1, text), (2, "again 4041894974608795."), (3, None), (4, ""), (5, "plain. 12 words")], "doc_id long, text string")
+    got = {r.doc_id: r for r in privacy.pseudonymise(df).select("row.doc_id", "text", "n_replaced").collect()}
+    out = got[1].text
+    assert got[1].n_replaced == 8 and got[3].text is None and got[4].text == "" and got[5].text == "plain. 12 words" and got[5].n_replaced == 0
+    assert re.sub(r"[0-9]", "9", re.sub("[a-z](?=[.@])", "a", out))[:20] == re.sub(r"[0-9]", "9", text)[:20]
+    for bad in ("4041894974608796", "300.1.1.1", "1981-02-29", "000-11-2222"):
+        assert bad in out
+    for gone in ("555-2485", "4041894974608795", "42.144.35.254", "a.b@", "1980-02-29", "GB82WEST", "123-45-6789", "4041-8949"):
+        assert gone not in out
+    card = re.search(r"4\d{15}(?= not)", out)[0]
+    assert card in got[2].text
+    digits = [int(c) for c in card][::-1]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    account = re.search(r"GB\d\d\w{18}", out)[0]
+    assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+    assert privacy.pseudonymise(docs).count() == len(rows()) and privacy.pseudonymise(none).count() == 0
+
+
+def test_permutations_are_one_to_one(spark):
+    n = 35
+    df = spark.range(n).select(privacy.permute_number(F.col("id"), (5, 7), "t", "k").alias("x"))
+    assert sorted(r.x for r in df.collect()) == list(range(n))
+    df = spark.range(1000).select(privacy.permute_text(F.format_string("%03d", "id"), "t", "k").alias("x"))
+    assert sorted(r.x for r in df.collect()) == [f"{i:03d}" for i in range(1000)]
+
+
+def find(parent, x):
+    while parent[x] != x:
+        x = parent[x]
+    return x
+
+
+def test_simhash(docs, none):
+    def one(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()))
+        if not words:
+            return 0
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    data = rows()
+    prints = [one(r[1] or "") for r in data]
+    parent = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                parent[find(parent, i)] = find(parent, j)
+    least = {root: min((data[k][0] for k in range(len(data)) if find(parent, k) == root and data[k][0] is not None), default=None) for root in {find(parent, k) for k in range(len(data))}}
+    want = sorted(((data[k][0], prints[k], least[find(parent, k)]) for k in range(len(data))), key=repr)
+    got = sorted(((r.doc_id, r.print % (1 << 64), r.component_id) for r in simhash.group_near(docs).select("row.doc_id", "print", "component_id").collect()), key=repr)
+    assert got == want
+    kept = simhash.drop_near(docs)
+    assert kept.columns == docs.columns and kept.count() == len(least)
+    assert simhash.group_near(none).count() == 0
+
+
+def test_links_of_crowded_lists(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PART_ROWS", 16)
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 1 << 63, 6)
+    values = sorted({int(c) ^ 1 << int(a) ^ 1 << int(b) for c in centre for a, b in rng.integers(0, 62, (40, 2))})
+    edges = common.components(simhash.link_prints(spark.createDataFrame([(v,) for v in values], "print long"))).collect()
+    parent = {v: v for v in values}
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= 2:
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    assert {v: find(parent, v) for v in values} == {v: v for v in values} | {r.node: r.component for r in edges}
+
+
+@pytest.mark.parametrize("part_rows", [256, 8])
+def test_lattice(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(lattice, "PART_ROWS", part_rows)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 32))
+    vectors = [v.tolist() for v in base] + [(base[k % 3] + rng.normal(scale=0.03, size=32)).tolist() for k in range(60)] + [base[0].tolist()] * 3
+    data = [(i, v, i % 5 if i < 30 else 0, "x") for i, v in enumerate(vectors)]
+    data += [(200, None, 0, "x"), (201, [0.0] * 32, 0, "x"), (202, [float("nan")] * 32, 0, "x"), (203, vectors[0], None, "x"), (None, vectors[0], 0, "x"), (204, [1.0, None], 0, "x"), (205, [], 0, "x"), (206, [float("inf"), 1.0], 0, "x")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, rep string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.link(df).select("row.vec_id", "n_links", "component_id").collect()}
+    x = np.array(vectors)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = np.array([d[2] for d in data[: len(x)]])
+    near = (x @ x.T >= 0.98) & (labels[:, None] == labels)
+    np.fill_diagonal(near, False)
+    found = sum(got[i][0] for i in range(len(x)))
+    assert 0.9 * near.sum() <= found <= near.sum()
+    assert all(got[i][0] <= near[i].sum() for i in range(len(x)))
+    for i in (200, 201, 202, 203, 204, 205, 206):
+        assert got[i] == (0, i)
+    assert got[None] == (0, None)
+
+
+def test_lattice_decoding():
+    x = np.random.default_rng(0).normal(0, 2, (4000, 8))
+    near, _ = lattice.decode_e8(x)
+    assert ((x - near / 2) ** 2).sum(1).max() <= 1.0 + 1e-9
+    assert ((near % 2 == 0).all(1) | (near % 2 == 1).all(1)).all() and (near.sum(1) % 4 == 0).all()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_repeats(docs, none, monkeypatch, small):
+    if small:
+        for name, value in (("BLOCK_BYTES", 3000), ("BUCKET_BYTES", 2000), ("PIECE", 700)):
+            monkeypatch.setattr(repeats, name, value)
+    data = [(-(10**18) if r[0] is None else r[0], (r[1] or "").encode()) for r in rows()]
+    first: dict = {}
+    for i, t in sorted(data, key=lambda r: r[0]):
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    want = []
+    for i, t in data:
+        on = bytearray(len(t))
+        for k in range(len(t) - 49):
+            if first[t[k : k + 50]] < i:
+                on[k : k + 50] = b"\1" * 50
+        want.append((i, len(t), sum(on), bytes(c for c, o in zip(t, on, strict=True) if not o), sum(1 for k in range(len(t)) if on[k] and not (k and on[k - 1]))))
+    got = [(-(10**18) if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept), len(r.spans)) for r in repeats.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 500
+    if not small:
+        assert repeats.remove_repeats(none).count() == 0
+
+
+def test_quality(spark, docs, none):
+    rng = np.random.default_rng(3)
+    words = "road bridge river stone lamp green walk quiet".split()
+    good = [" ".join(rng.choice(words, 60)) for _ in range(160)]
+    texts = [(g if i % 4 else g.upper().replace(" ", "!! ")) for i, g in enumerate(good)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(160)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    network = quality.train(table, labels)
+    got = {r.doc_id: r.score for r in quality.score(table, network).select("row.doc_id", "score").collect()}
+    held = [i for i in range(160) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.3) == (i % 4 > 0) for i in held]) > 0.9
+    scored = quality.score(docs, network)
+    assert scored.count() == len(rows()) and scored.filter("score is null or score < 0 or score > 1").count() == 0
+    assert quality.keep_good(docs, network).columns == docs.columns and quality.score(none, network).count() == 0
+    assert quality.train(none, labels.limit(0)).constant == 0.5
+
+
+def test_chunks_cover_every_byte():
+    text = bytes(range(256)) * 5
+    for n in (0, 1, 255, 256, 257, 480, 481, 1280):
+        chunks = quality.chunks_of(text[:n])
+        at = {int(k * quality.STEP + j) for k, c in enumerate(chunks) for j in np.flatnonzero(c != quality.PAD)}
+        assert at == set(range(n)) and len(chunks) >= 1
+
+
+def test_language(spark, docs, none):
+    en, de, ru = "the road and the river was quiet ", "der weg und die brücke nicht schön ", "дорога и мост через реку "
+    table = spark.createDataFrame([(i, (en, de, ru)[i % 3] * 5, ("en", "de", "ru")[i % 3]) for i in range(60)] + [(None, en, "en"), (99, en, None)], "doc_id long, text string, lang string")
+    model = language.train(table)
+    assert model.predict([en, de, ru, None, "", "12 !?"])[:3] == [("en", 1.0), ("de", 1.0), ("ru", 1.0)]
+    assert model.predict([None, "", "12 !?"]) == [("und", 0.0)] * 3
+    mixed = en * 3 + de * 3
+    spans = model.spans([mixed])[0]
+    assert [s[2] for s in spans] == ["en", "de"] and abs(spans[1][0] - len(en * 3)) <= 5
+    assert language.identify(docs, model).count() == len(rows()) and language.identify(none, model).count() == 0
+    assert language.label_spans(docs, model).count() == len(rows())
+    empty = language.train(none)
+    assert empty.predict(["abc"]) == [("und", 0.0)]
+
+
+def test_viterbi_is_exact():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 130, 400):
+        s = rng.normal(0, 3, (n, 3)).astype(np.float32)
+        p = np.where(rng.random(n) < 0.05, 0, 4).astype(np.float32)
+        v = s[0].copy()
+        for i in range(1, n):
+            v = np.maximum(v, v.max() - p[i]) + s[i]
+        labels = language.viterbi(s, p)
+        value = s[np.arange(n), labels].sum() - (p[1:] * (labels[1:] != labels[:-1])).sum()
+        assert value == pytest.approx(v.max(), abs=1e-2)
+
+
+@pytest.mark.parametrize("module", [exact_dedup, mixing])
+def test_query_equals_sql(spark, module):
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    df = module.query(spark, SMALL)
+    columns = sorted(df.columns)
+    tidy = lambda v: round(v, 6) if isinstance(v, float) else v
+    want = db.sql(module.SQL).select(*columns).fetchall()
+    assert sorted(tuple(map(tidy, r)) for r in df.select(*columns).collect()) == sorted(tuple(map(tidy, r)) for r in want)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    n, columns = docs.count(), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.keep(stage(spark, docs, SMALL), name, lasting=True)
+        assert docs.columns == columns and 0.5 * n < docs.count() <= 1.5 * n
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
