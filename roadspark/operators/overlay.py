@@ -79,3 +79,9 @@ def clusters(ends: DataFrame) -> DataFrame:
 
     kind = T.StructType([*ends.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("cluster_depot", T.BooleanType())])
     return ends.groupBy("plan").applyInPandas(run, kind)
+
+
+def initial_view(routes: DataFrame, points: DataFrame, zoom: float = 180_000.0) -> DataFrame:
+    """(x, y, zoom): the first known node of the first route; no row where no route has one."""
+    rows = routes.select("route", F.posexplode("path").alias("pos", "vid")).join(points, "vid")
+    return rows.agg(F.min_by(F.struct("x", "y"), F.struct("route", "pos")).alias("p")).filter("p is not null").select("p.x", "p.y", F.lit(zoom).alias("zoom"))

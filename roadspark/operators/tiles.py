@@ -89,3 +89,25 @@ def adaptive_min_kph(counts: DataFrame) -> DataFrame:
 def tier_counts(road: DataFrame) -> DataFrame:
     """(tier, roads, from_tier): roads of each tier, and of it and all above."""
     return road.groupBy("tier").agg(F.count("*").alias("roads")).withColumn("from_tier", F.sum("roads").over(Window.orderBy(F.desc("tier"))))
+
+
+def range_of_view(box: DataFrame, view: tuple[float, float, float, float], cell: float) -> DataFrame:
+    """(x_from, x_to, y_from, y_to): the cells or tiles of size cell that a view covers, clamped to the bounds; box is one row of bounds()."""
+    span = lambda a: F.greatest(F.lit(1), F.ceil((F.col(f"max_{a}") - F.col(f"min_{a}")) / cell))
+    at = lambda v, a: _index(F.lit(v), F.col(f"min_{a}"), F.lit(cell), span(a))
+    return box.select(at(view[0], "x").alias("x_from"), at(view[2], "x").alias("x_to"), at(view[1], "y").alias("y_from"), at(view[3], "y").alias("y_to"))
+
+
+def roads_by_tiles(index: DataFrame, road: DataFrame, tile_range: DataFrame, level: int, view: tuple[float, float, float, float]) -> DataFrame:
+    """Roads of a view through the index: the tiles of the range at one level, each road once, weak tiers first."""
+    r = F.broadcast(tile_range)  # one row
+    hits = index.filter(F.col("level") == level).join(r, F.col("tile_x").between(F.col("x_from"), F.col("x_to")) & F.col("tile_y").between(F.col("y_from"), F.col("y_to")))
+    return hits.select("lo", "hi").distinct().join(road, ["lo", "hi"]).filter(in_view(*view)).orderBy("tier", "lo", "hi")
+
+
+def raster_range(view: tuple[float, float, float, float], zoom: float, pixels: int = 512) -> tuple[int, int, int, int]:
+    """The raster tiles (x_from, y_from, x_to, y_to) that a view touches at a zoom."""
+    import math
+
+    size = pixels / zoom
+    return tuple(math.floor(v / size) for v in view)

@@ -218,6 +218,19 @@ def test_adaptive_speed(spark):
     assert tiles.adaptive_min_kph(rows).first().min_kph == 50
 
 
+def test_view_through_tiles(spark, graph):
+    road, points = graph.roads(), tiles.projected(graph.vertices)
+    view, box = registry.VIEW, tiles.bounds(tiles.projected(graph.vertices))
+    b = box.first()
+    size = max(b.max_x - b.min_x, b.max_y - b.min_y) / 256
+    found = tiles.roads_by_tiles(tiles.tile_index(road, points), road, tiles.range_of_view(box, view, size), 4, view)
+    assert sorted((r.lo, r.hi) for r in found.collect()) == sorted((r.lo, r.hi) for r in road.filter(tiles.in_view(*view)).collect())
+    assert tiles.raster_range((0.0, 0.0, 1.0, 2.0), 1024.0) == (0, 0, 2, 4)
+    routes = spark.createDataFrame([(1, [5, 6]), (0, [10**9, 7])], "route int, path array<long>")
+    first = overlay.initial_view(routes, points).first()
+    assert (first.x, first.y) == tuple(points.filter("vid = 7").select("x", "y").first())
+
+
 def test_fixture_tables(spark):
     assert fixtures.ways(spark, DATA).count() == 1473 and fixtures.nodes(spark, DATA).count() == 200
 
