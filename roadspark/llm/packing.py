@@ -78,6 +78,7 @@ def _encode(path: str):
                 part = batch.slice(at, 2048)
                 ids = [x + end for x in encode.encode(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("bundle"), part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([encode.width] * len(ids), pa.int32())], ["bundle", "doc_id", "ids", "width"])
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
     return run
 

@@ -29,7 +29,7 @@ CHUNK, STEP = 256, 224
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 12, 4, 8, 32, 16
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
 #: Chunks scored at a time.
-BLOCK = 2048
+BLOCK = 512
 PAD = 256
 
 

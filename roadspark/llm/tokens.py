@@ -14,7 +14,7 @@ MEMORY_WORDS = 1_000_000
 #: Words not yet known that are encoded as one text.
 TOGETHER = 4096
 #: Characters of text whose words are looked up together.
-GROUP_CHARS = 12 << 20
+GROUP_CHARS = 6 << 20
 END_ID = 0
 
 
@@ -92,8 +92,8 @@ class Encoder:
         at = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[np.concatenate([[0], ends])].tolist() if len(ids) else [0] * (len(texts) + 1)
         data = (ids.buffers()[2] or b"") if len(ids) else b""
         whole = memoryview(data)
-        if len(self.heads) > MEMORY_WORDS:
-            self.heads.clear()
+        if len(self.heads) > MEMORY_WORDS // 16:
+            self.heads = {"": b""}
         new = list({head for head, _, _ in cut} - self.heads.keys())
         self.heads.update(zip(new, self._plain(new), strict=True))
         return [b"".join((self.heads[head], whole[a:b])) for (head, _, _), a, b in zip(cut, at[:-1], at[1:], strict=True)]
