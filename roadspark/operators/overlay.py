@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadspark.functions import expr
+from roadspark.operators import tiles
 
 BAND, STEP, CASING = 4.4, 5.8, 2.8
 LEGEND_ROWS = 12
@@ -38,9 +39,34 @@ def draw_order(routes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def legend(routes: DataFrame) -> DataFrame:
-    """The first twelve of routes(route, n_nodes, dist_m, time_s), as text."""
-    text = F.format_string("Route %d: %d nodes, %.1f m, %s", F.col("route") + 1, F.col("n_nodes"), F.col("dist_m"), expr.hms(F.col("time_s")))
-    return routes.orderBy("route").limit(LEGEND_ROWS).select("route", text.alias("label"))
+    """The first twelve of routes(route, n_nodes, dist_m, time_s), as text.
+
+    Where the routes carry first_s and last_s, the arrivals at their first and last target, and these differ, both are shown.
+    """
+    span = F.lit("")
+    if {"first_s", "last_s"} <= set(routes.columns):
+        text = F.concat(F.lit(" ["), expr.hms(F.col("first_s")), F.lit(" \u2192 "), expr.hms(F.col("last_s")), F.lit("]"))
+        span = F.when(F.col("last_s") - F.col("first_s") > 1e-12, text).otherwise("")
+    line = F.concat(F.format_string("Route %d: %d nodes | %.1f m | %s", F.col("route") + 1, F.col("n_nodes"), F.col("dist_m"), expr.hms(F.col("time_s"))), span)
+    return routes.orderBy("route").limit(LEGEND_ROWS).select("route", line.alias("label"))
+
+
+def legend_rest(routes: DataFrame) -> DataFrame:
+    """(label): a line for the routes that the legend doesn't list; no row where it lists all."""
+    more = routes.agg((F.count("*") - LEGEND_ROWS).alias("k")).filter("k > 0")
+    return more.select(F.format_string("... and %d more routes", "k").alias("label"))
+
+
+def visible_segments(routes: DataFrame, points: DataFrame, view: tuple[float, float, float, float]) -> DataFrame:
+    """(route, lo, hi) of the distinct edges of routes that lie in a view."""
+    at = lambda end, n: points.select(F.col("vid").alias(end), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    return route_edges(routes).join(at("lo", 1), "lo").join(at("hi", 2), "hi").filter(tiles.in_view(*view)).select("route", "lo", "hi")
+
+
+def numbered_waypoints(waypoints: DataFrame, first: int = 1) -> DataFrame:
+    """waypoints(plan, seq, ...) with their number in the plan's order and its letter; the number counts from first."""
+    place = F.row_number().over(Window.partitionBy("plan").orderBy("seq"))
+    return waypoints.withColumn("number", place + (first - 1)).withColumn("letter", expr.marker_label(place - 1))
 
 
 def bounds(routes: DataFrame, points: DataFrame) -> DataFrame:
@@ -81,7 +107,16 @@ def clusters(ends: DataFrame) -> DataFrame:
     return ends.groupBy("plan").applyInPandas(run, kind)
 
 
-def initial_view(routes: DataFrame, points: DataFrame, zoom: float = 180_000.0) -> DataFrame:
-    """(x, y, zoom): the first known node of the first route; no row where no route has one."""
+def initial_view(routes: DataFrame, points: DataFrame, zoom: float = 180_000.0, width: int = 1280, height: int = 800) -> DataFrame:
+    """(x, y, zoom), one row: the first known node of the first route; where no route has one, all points fit into width x height pixels.
+
+    Where the points have no extent either, the centre is (0, 0) at zoom 18,000.
+    """
     rows = routes.select("route", F.posexplode("path").alias("pos", "vid")).join(points, "vid")
-    return rows.agg(F.min_by(F.struct("x", "y"), F.struct("route", "pos")).alias("p")).filter("p is not null").select("p.x", "p.y", F.lit(zoom).alias("zoom"))
+    start = rows.agg(F.min_by(F.struct("x", "y"), F.struct("route", "pos")).alias("p"))
+    wide, high = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+    fit = F.struct(((F.col("min_x") + F.col("max_x")) / 2).alias("x"), ((F.col("min_y") + F.col("max_y")) / 2).alias("y"), (F.least(F.try_divide(F.lit(float(width)), wide), F.try_divide(F.lit(float(height)), high)) * 0.82).alias("zoom"))
+    none = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(18_000.0).alias("zoom"))
+    first = F.struct(F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.lit(float(zoom)).alias("zoom"))
+    both = start.join(F.broadcast(tiles.bounds(points)), F.lit(True))  # a row each
+    return both.select(F.when(F.col("p").isNotNull(), first).when((wide > 0) & (high > 0), fit).otherwise(none).alias("v")).select("v.*")

@@ -26,11 +26,16 @@ def _index(value: Column, least: Column, cell: Column, count: Column) -> Column:
     return F.greatest(F.lit(0), F.least(count - 1, F.floor((value - least) / cell))).cast("int")
 
 
+def _grid_box(points: DataFrame) -> DataFrame:
+    """One row: the bounds, the cell size and the cells on each axis."""
+    b = bounds(points).withColumn("cell", F.greatest(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")) / GRID_CELLS, F.lit(LEAST_CELL)))
+    count = lambda a: F.ceil((F.col(f"max_{a}") - F.col(f"min_{a}")) / F.col("cell")) + 1
+    return b.withColumn("cols", count("x")).withColumn("rows", count("y"))
+
+
 def grid(points: DataFrame) -> DataFrame:
     """(vid, cell_x, cell_y). The bounds are one row, so they are broadcast."""
-    b = bounds(points).withColumn("cell", F.greatest(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")) / GRID_CELLS, F.lit(LEAST_CELL)))
-    b = b.withColumn("cols", F.ceil((F.col("max_x") - F.col("min_x")) / F.col("cell")) + 1).withColumn("rows", F.ceil((F.col("max_y") - F.col("min_y")) / F.col("cell")) + 1)
-    both = points.join(F.broadcast(b), F.lit(True))
+    both = points.join(F.broadcast(_grid_box(points)), F.lit(True))
     return both.select("vid", _index(F.col("x"), F.col("min_x"), F.col("cell"), F.col("cols")).alias("cell_x"), _index(F.col("y"), F.col("min_y"), F.col("cell"), F.col("rows")).alias("cell_y"))
 
 
@@ -105,9 +110,45 @@ def roads_by_tiles(index: DataFrame, road: DataFrame, tile_range: DataFrame, lev
     return hits.select("lo", "hi").distinct().join(road, ["lo", "hi"]).filter(in_view(*view)).orderBy("tier", "lo", "hi")
 
 
-def raster_range(view: tuple[float, float, float, float], zoom: float, pixels: int = 512) -> tuple[int, int, int, int]:
-    """The raster tiles (x_from, y_from, x_to, y_to) that a view touches at a zoom."""
-    import math
+def raster_range(box: DataFrame, view: tuple[float, float, float, float], zoom: float, pixels: int = 512) -> DataFrame:
+    """(x_from, x_to, y_from, y_to): the raster tiles that a view touches at a zoom, counted from the bounds and clamped to them; no row outside. box is one row of bounds()."""
+    size = pixels / zoom
+    sides = [("x", view[0], view[2]), ("y", view[1], view[3])]
+    touched = [(F.col(f"max_{a}") > F.col(f"min_{a}")) & (F.col(f"max_{a}") >= low) & (F.col(f"min_{a}") <= high) for a, low, high in sides]
+    tiles = lambda a: F.greatest(F.lit(1), F.ceil((F.col(f"max_{a}") - F.col(f"min_{a}")) / size))
+    at = lambda v, a: _index(F.lit(v), F.col(f"min_{a}"), F.lit(size), tiles(a))
+    return box.filter(touched[0] & touched[1]).select(*[at(v, a).alias(f"{a}_{n}") for a, low, high in sides for n, v in (("from", low), ("to", high))])
+
 
+def raster_extent(box: DataFrame, tile_x: int, tile_y: int, zoom: float, pixels: int = 512) -> DataFrame:
+    """(x1, y1, x2, y2) of a raster tile in Mercator coordinates; box is one row of bounds()."""
     size = pixels / zoom
-    return tuple(math.floor(v / size) for v in view)
+    return box.select(*[(F.col(f"min_{a}") + (k + e) * size).alias(f"{a}{e + 1}") for e in (0, 1) for a, k in (("x", tile_x), ("y", tile_y))])
+
+
+def cell_index(road: DataFrame, points: DataFrame) -> DataFrame:
+    """(cell_x, cell_y, tier, lo, hi): every cell of the vertex grid that a road's bounding box touches."""
+    both = road.join(F.broadcast(_grid_box(points)), F.lit(True))
+    place = lambda f, a, count: _index(f(F.col(f"{a}1"), F.col(f"{a}2")), F.col(f"min_{a}"), F.col("cell"), F.col(count))
+    span = lambda a, count: F.explode(F.sequence(place(F.least, a, count), place(F.greatest, a, count)))
+    return both.withColumn("cell_x", span("x", "cols")).withColumn("cell_y", span("y", "rows")).select("cell_x", "cell_y", "tier", "lo", "hi")
+
+
+def view_tier(index: DataFrame, cell_range: DataFrame, zoom: float) -> DataFrame:
+    """(tier, candidates): the least tier from the zoom's on whose cells in view, of it and all tiers above, hold at most MOST_ROADS entries, else the highest.
+
+    index is cell_index(), where a road counts once for each cell; cell_range is one row of range_of_view().
+    """
+    r = F.broadcast(cell_range)  # one row
+    seen = index.join(r, F.col("cell_x").between(F.col("x_from"), F.col("x_to")) & F.col("cell_y").between(F.col("y_from"), F.col("y_to")))
+    counts = seen.agg(*[F.count_if(F.col("tier") >= k).alias(f"from_{k}") for k in range(5)])
+    levels = F.array(*[F.struct(F.lit(k).alias("tier"), F.col(f"from_{k}").alias("candidates")) for k in range(5)])
+    light = F.filter(levels, lambda k: (k["tier"] >= expr.tier_of_zoom(F.lit(zoom))) & ((k["candidates"] <= MOST_ROADS) | (k["tier"] == 4)))
+    return counts.select(F.get(light, F.lit(0)).alias("k")).select("k.*")
+
+
+def drawn_roads(road: DataFrame, view: tuple[float, float, float, float], zoom: float, least_kph: float = 0.0, least_pixels: float = 0.0) -> DataFrame:
+    """Roads of a view that pass a minimum speed and aren't shorter on screen than a minimum length."""
+    along = lambda a: (F.col(f"{a}1") - F.col(f"{a}2")) * zoom
+    long = along("x") * along("x") + along("y") * along("y") >= least_pixels * least_pixels
+    return road.filter(in_view(*view) & expr.passes_min_speed(F.col("speed_mps"), least_kph) & long).orderBy("tier", "lo", "hi")

@@ -293,6 +293,40 @@ def visible_counts(spark, d):
     return tiles.visible_counts(_roads(spark, d)[0], VIEW)
 
 
+CELLS = f"""WITH {ROADS}, g AS (SELECT *, greatest(greatest(max_x - min_x, max_y - min_y) / 350, 2e-5::DOUBLE) AS cell FROM box),
+cells AS (SELECT lo, hi, tier, """ + ", ".join(f"greatest(0, least(ceil((max_{a} - min_{a}) / cell), floor(({f}({a}1, {a}2) - min_{a}) / cell))) AS {a}_{n}" for a in "xy" for n, f in (("from", "least"), ("to", "greatest"))) + " FROM roads, g)"
+CLAMPED = "greatest(0, least(greatest(1, ceil((max_{0} - min_{0}) / {2})) - 1, floor(({1}::DOUBLE - min_{0}) / {2})))"
+COVERED = ", ".join(f"{CLAMPED.format(a, VIEW[i], 'cell')} AS {a}{n}" for i, (a, n) in enumerate((a, n) for n in (1, 2) for a in "xy"))
+
+
+@query(f"{CELLS} SELECT tier, count(*) AS roads, CAST(sum((x_to - x_from + 1) * (y_to - y_from + 1)) AS BIGINT) AS entries FROM cells GROUP BY tier")
+def cell_index(spark, d):
+    """Roads and index entries of each tier over the vertex grid."""
+    return tiles.cell_index(*_roads(spark, d)).groupBy("tier", "lo", "hi").agg(F.count("*").alias("n")).groupBy("tier").agg(F.count("*").alias("roads"), F.sum("n").alias("entries"))
+
+
+@query(f"""{CELLS}, v AS (SELECT {COVERED} FROM g), n AS (SELECT tier, (least(x_to, x2) - greatest(x_from, x1) + 1) * (least(y_to, y2) - greatest(y_from, y1) + 1) AS k FROM cells, v WHERE x_to >= x1 AND x_from <= x2 AND y_to >= y1 AND y_from <= y2),
+t AS (SELECT t.tier, CAST(coalesce(sum(k), 0) AS BIGINT) AS candidates FROM range(5) t(tier) LEFT JOIN n ON n.tier >= t.tier GROUP BY t.tier)
+SELECT CAST(tier AS INT) AS tier, candidates FROM t WHERE tier >= 2 AND (candidates <= 500000 OR tier = 4) ORDER BY tier LIMIT 1""")
+def view_tier(spark, d):
+    """The tier that keeps the middle of the map light enough, at a zoom that begins with tier 2."""
+    road, points = _roads(spark, d)
+    b = tiles.bounds(points).first()
+    size = max(max(b.max_x - b.min_x, b.max_y - b.min_y) / tiles.GRID_CELLS, tiles.LEAST_CELL)
+    return tiles.view_tier(tiles.cell_index(road, points), tiles.range_of_view(tiles.bounds(points), VIEW, size), 20_000.0)
+
+
+@query(f"WITH {ROADS} SELECT tier, lo, hi FROM roads WHERE {SEEN} AND speed_mps * 3.6::FLOAT >= 50 AND pow((x1 - x2) * 200000, 2) + pow((y1 - y2) * 200000, 2) >= 400")
+def drawn_roads(spark, d):
+    """Roads in view from 50 km/h and from 20 pixels on."""
+    return tiles.drawn_roads(_roads(spark, d)[0], VIEW, 200_000.0, 50, 20).select("tier", "lo", "hi")
+
+
+@query(f"WITH {MERCATOR} SELECT " + ", ".join(f"CAST({CLAMPED.format(a, VIEW[i], '(512 / 2000000::DOUBLE)')} AS INT) AS {a}_{n}" for i, (a, n) in enumerate((a, n) for n in ("from", "to") for a in "xy")) + f" FROM box WHERE max_x > min_x AND max_y > min_y AND max_x >= {VIEW[0]} AND min_x <= {VIEW[2]} AND max_y >= {VIEW[1]} AND min_y <= {VIEW[3]}")
+def raster_tiles(spark, d):
+    return tiles.raster_range(tiles.bounds(tiles.projected(graph(spark, d)[0])), VIEW, 2_000_000.0)
+
+
 def _drawn(spark, d):
     """Ways as routes over the map: the way's nodes are its path."""
     return fixtures.ways(spark, d).select(F.col("way_id").alias("route"), F.col("nodes").alias("path"))
@@ -311,7 +345,7 @@ def band_widths(spark, d):
     return overlay.bands(_drawn(spark, d)).withColumns({c: F.round(c, 6) for c in ("band", "casing")})
 
 
-@query(f"WITH {fixtures.SQL}, r AS (SELECT way_id AS route, count(*) AS n FROM way_nodes GROUP BY way_id ORDER BY way_id LIMIT 12) SELECT route, format('Route {{}}: {{}} nodes, {{:.1f}} m, {{:02d}}:{{:02d}}:{{:02d}}', route + 1, n, n * 100::DOUBLE, n * 1111 // 3600, n * 1111 % 3600 // 60, n * 1111 % 60) AS label FROM r")
+@query(f"WITH {fixtures.SQL}, r AS (SELECT way_id AS route, count(*) AS n FROM way_nodes GROUP BY way_id ORDER BY way_id LIMIT 12) SELECT route, format('Route {{}}: {{}} nodes | {{:.1f}} m | {{:02d}}:{{:02d}}:{{:02d}}', route + 1, n, n * 100::DOUBLE, n * 1111 // 3600, n * 1111 % 3600 // 60, n * 1111 % 60) AS label FROM r")
 def route_legend(spark, d):
     """The first twelve ways, each node counting for 100 m and 1,111 s."""
     rows = _drawn(spark, d).select("route", F.size("path").alias("n_nodes"))
@@ -321,3 +355,32 @@ def route_legend(spark, d):
 @query("SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr((65 + p_partkey)::INT) WHEN p_partkey < 702 THEN chr((65 + p_partkey // 26 - 1)::INT) || chr((65 + p_partkey % 26)::INT) ELSE chr((65 + (p_partkey - 702) // 676 )::INT) || chr((65 + (p_partkey - 702) // 26 % 26)::INT) || chr((65 + p_partkey % 26)::INT) END AS label FROM part")
 def marker_labels(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", expr.marker_label(F.col("p_partkey")).alias("label"))
+
+
+PLACED = "SELECT osm_id AS vid, lon * (pi() / 180) AS x, -ln(tan(pi() / 4 + lat * (pi() / 360))) AS y FROM osm_nodes"
+
+
+def _placed(spark, d):
+    return tiles.projected(fixtures.nodes(spark, d).withColumnRenamed("osm_id", "vid"))
+
+
+@query(f"{DRAWN}, p AS ({PLACED}), r AS (SELECT route, lo, hi, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM e JOIN p a ON a.vid = lo JOIN p b ON b.vid = hi) SELECT route, lo, hi FROM r WHERE {SEEN}")
+def visible_segments(spark, d):
+    return overlay.visible_segments(_drawn(spark, d), _placed(spark, d), VIEW)
+
+
+@query(f"WITH {fixtures.SQL}, p AS ({PLACED}) SELECT round(x, 9) AS x, round(y, 9) AS y, 180000::DOUBLE AS zoom FROM way_nodes w JOIN p ON p.vid = w.osm_id ORDER BY way_id, pos LIMIT 1")
+def initial_view(spark, d):
+    return overlay.initial_view(_drawn(spark, d), _placed(spark, d)).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "zoom")
+
+
+@query(f"WITH {fixtures.SQL} SELECT format('... and {{}} more routes', count(DISTINCT way_id) - 12) AS label FROM way_nodes")
+def legend_rest(spark, d):
+    return overlay.legend_rest(_drawn(spark, d))
+
+
+@query("SELECT s_suppkey % 3 AS plan, s_suppkey AS seq, CAST(row_number() OVER w AS INT) AS number, chr((64 + row_number() OVER w)::INT) AS letter FROM supplier WHERE s_suppkey < 60 WINDOW w AS (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey)")
+def waypoint_markers(spark, d):
+    """Three plans of at most twenty waypoints each."""
+    rows = fixtures._table(spark, d, "supplier").filter("s_suppkey < 60").select((F.col("s_suppkey") % 3).alias("plan"), F.col("s_suppkey").alias("seq"))
+    return overlay.numbered_waypoints(rows)

@@ -225,10 +225,32 @@ def test_view_through_tiles(spark, graph):
     size = max(b.max_x - b.min_x, b.max_y - b.min_y) / 256
     found = tiles.roads_by_tiles(tiles.tile_index(road, points), road, tiles.range_of_view(box, view, size), 4, view)
     assert sorted((r.lo, r.hi) for r in found.collect()) == sorted((r.lo, r.hi) for r in road.filter(tiles.in_view(*view)).collect())
-    assert tiles.raster_range((0.0, 0.0, 1.0, 2.0), 1024.0) == (0, 0, 2, 4)
+    one = spark.createDataFrame([(0.0, 10.0, 0.0, 1.0)], "min_x double, max_x double, min_y double, max_y double")
+    assert [tuple(r) for r in tiles.raster_range(one, (0.6, -3.0, 20.0, 0.9), 1024.0).collect()] == [(1, 19, 0, 1)]
+    assert tiles.raster_range(one, (11.0, 0.0, 12.0, 1.0), 1024.0).count() == 0
+    assert tuple(tiles.raster_extent(one, 1, 1, 1024.0).first()) == (0.5, 0.5, 1.0, 1.0)
     routes = spark.createDataFrame([(1, [5, 6]), (0, [10**9, 7])], "route int, path array<long>")
     first = overlay.initial_view(routes, points).first()
     assert (first.x, first.y) == tuple(points.filter("vid = 7").select("x", "y").first())
+    lost = spark.createDataFrame([(0, [10**9])], "route int, path array<long>")
+    corners = spark.createDataFrame([(1, 0.0, 0.0), (2, 2.0, 1.0)], "vid long, x double, y double")
+    assert tuple(overlay.initial_view(lost, corners, width=1000, height=1000).first()) == (1.0, 0.5, pytest.approx(410.0))
+    assert tuple(overlay.initial_view(lost, corners.limit(0)).first()) == (0.0, 0.0, 18_000.0)
+
+
+def test_heavy_view_shows_fewer_tiers(spark, monkeypatch):
+    index = spark.createDataFrame([(0, 0, t, t, t + 1) for t in (0, 0, 1, 2, 3, 3, 4)] + [(5, 5, 4, 8, 9)], "cell_x int, cell_y int, tier int, lo long, hi long")
+    cells = spark.createDataFrame([(0, 1, 0, 1)], "x_from int, x_to int, y_from int, y_to int")
+    for most, want in ((7, (0, 7)), (4, (2, 4)), (0, (4, 1))):
+        monkeypatch.setattr(tiles, "MOST_ROADS", most)
+        assert tuple(tiles.view_tier(index, cells, 100_000.0).first()) == want
+
+
+def test_legend(spark):
+    rows = spark.createDataFrame([(i, 3, 12.34, 61.0, 0.0, 3600.0 * (i % 2)) for i in range(14)], "route int, n_nodes int, dist_m double, time_s double, first_s double, last_s double")
+    lines = [r.label for r in overlay.legend(rows).orderBy("route").collect()]
+    assert len(lines) == 12 and lines[0] == "Route 1: 3 nodes | 12.3 m | 00:01:01" and lines[1].endswith("00:01:01 [00:00:00 \u2192 01:00:00]")
+    assert [r.label for r in overlay.legend_rest(rows).collect()] == ["... and 2 more routes"] and overlay.legend_rest(rows.limit(12)).count() == 0
 
 
 def test_fixture_tables(spark):
