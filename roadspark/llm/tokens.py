@@ -16,6 +16,9 @@ TOGETHER = 4096
 #: Characters of text whose words are looked up together.
 GROUP_CHARS = 6 << 20
 END_ID = 0
+#: A blank with another white-space character before it, and with one or the end behind it: there a token may span the blank.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+SPANS = rf"{SPACE} ({SPACE}|\z)"
 
 
 def default_path() -> str:
@@ -27,9 +30,9 @@ def default_path() -> str:
 class Encoder:
     """encode(texts) gives, for each text, its ids as little-endian unsigned integers of `width` bytes.
 
-    For a byte-level tokenizer that splits with its usual pattern, no token spans the place before a single blank, so
+    For a byte-level tokenizer that splits with its usual pattern, no token spans the place before a blank, unless white space surrounds it, so
     each blank-led word is encoded once and remembered: unknown words are encoded many at a time as one text, whose tokens fall
-    apart by their bytes. Texts with two blanks in a row, and every other kind of tokenizer, are encoded whole. Strings of special tokens in a text are ordinary text.
+    apart by their bytes. Texts with a surrounded blank, and every other kind of tokenizer, are encoded whole. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -102,7 +105,7 @@ class Encoder:
         if not self.by_word:
             return self._plain(texts)
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if "  " in t]
+        whole = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), SPANS).to_numpy(zero_copy_only=False)).tolist()
         for at in range(0, len(whole), 64):
             for i, ids in zip(whole[at : at + 64], self._plain([texts[i] for i in whole[at : at + 64]]), strict=True):
                 out[i] = ids

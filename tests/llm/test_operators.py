@@ -106,7 +106,7 @@ def test_checksum():
 
 def test_encoder_equals_the_library():
     e = tokens.Encoder(tokens.default_path())
-    texts = ["a  b", " a", "a ", "\n x\ny, z.", "it's <|endoftext|> 日本 x  y", "", " ", "don't.\n\n go  "]
+    texts = ["a  b", " a", "a ", "\n x\ny, z.", "it's <|endoftext|> 日本 x  y", "", " ", "don't.\n\n go  ", "a\u00a0 \u00a0 b", "a\u00a0 ", "\t \tx\n \n y \n"]
     assert e.encode(texts) == [np.array(x.ids, "<u2").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
