@@ -8,7 +8,10 @@ format have different ones. Invalid candidates are left as they are.
 
 - Text values: a Feistel network over the two halves of the string adds to each character, within its own alphabet, a
   keyed hash of the other half. Where the image must pass a range check, the permutation is walked until it does.
-- Card and bank account numbers: the payload is permuted and the check digits are computed anew.
+- Card and bank account numbers: the payload is permuted and the check digits are computed anew. A card number has 13 to 19 digits, with single
+  blanks or hyphens between groups, and no digit adjoins it. Every stretch of whole groups of a run is tried, so that a number beside it (a date, a
+  security code) hides none. Where valid stretches overlap, the usual layouts (unbroken, 4-4-4-4, 4-6-5) come first, then known issuers, then the
+  leftmost, then the shortest. Cards in a usual layout are taken out before all other patterns are sought in what is left.
 - Dates from 1950 to 2049 are permuted as one of 36,525 days, addresses as one of 2^32: a Feistel network over a pair of residues.
 - e-mail addresses keep their domain; keys and other secrets (hexadecimal strings, access keys, password=...) are permuted like text.
 
@@ -40,8 +43,18 @@ PATTERNS = {
     "slash_date": r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])",
     "phone": r"(?<![0-9+])(?:\+1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])",
     "foreign_phone": r"(?<![0-9+])\+[2-9](?:[ .\-]?\(?[0-9]\)?){7,14}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:(?:[ \-](?!STOP))?[0-9]){12,}+",
 }
+#: What a run of digits doesn't run into after a blank or hyphen.
+PATTERNS["card"] = PATTERNS["card"].replace("STOP", "|".join(PATTERNS[k].split(")", 1)[1] for k in ("email", "address", "hex", "social", "iso_date", "slash_date", "phone")))
+#: Groups of digits, at least 13 in all, that are no part of a longer word, mail address, secret or telephone number.
+CLEAN = r"[0-9]++(?![.\-]?[A-Za-z@_%+]|\.[0-9])"
+RUN = rf"(?<![A-Za-z0-9=@._%+])(?<![A-Za-z0-9=@._%+]-)(?=[0-9](?:[ \-]?[0-9]){{12}}){CLEAN}(?:[ \-]{CLEAN})*+"
+LAYOUT = r"^(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})$"
+ISSUER = (
+    r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}"
+    r"|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|6(?:011|4[4-9][0-9]|5[0-9]{2}|2[0-9]{2})[0-9]{12,15})$"
+)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Days of 1950-2049, and sizes of the two residues whose product they are.
 FIRST_DAY, DAYS = "1950-01-01", (75, 487)
@@ -117,6 +130,70 @@ def _card(value: Column, key: str) -> Column:
     return F.concat(body, check.cast("string"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _cut(run: Column, usual: bool) -> Column:
+    """(pieces, cards) of a run of groups: its card numbers (those in a usual layout, or all), and the text before, between and after them."""
+
+    def windows(tokens: Column) -> Column:
+        n = F.floor((F.size(tokens) + 1) / 2).cast("int")
+
+        def starting(i: Column) -> Column:
+            at = F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i + 1)), lambda k: F.struct((2 * i - 1).alias("i"), (2 * k - 1).alias("k"), F.array_join(F.slice(tokens, 2 * i - 1, 2 * k - 1), "").alias("v")))
+            fits = F.filter(at, lambda w: F.length(_digits(w["v"])).between(13, 19))
+            return F.filter(fits, lambda w: (w["v"].rlike(LAYOUT) if usual else F.lit(True)) & (luhn_sum(_digits(w["v"])) % 10 == 0))
+
+        found = F.flatten(F.transform(F.sequence(F.lit(1), n), starting))
+        ranked = F.array_sort(F.transform(found, lambda w: F.struct((~w["v"].rlike(LAYOUT)).alias("odd"), (~_digits(w["v"]).rlike(ISSUER)).alias("unknown"), w["i"].alias("i"), w["k"].alias("k"), w["v"].alias("v"))))
+        kind = "array<struct<i:int,k:int,v:string>>"
+
+        def accept(acc: Column, w: Column) -> Column:
+            taken = F.exists(acc, lambda o: (o["i"] < w["i"] + w["k"]) & (w["i"] < o["i"] + o["k"]))
+            return F.when(taken, acc).otherwise(F.concat(acc, F.array(F.struct(w["i"].alias("i"), w["k"].alias("k"), w["v"].alias("v"))).cast(kind)))
+
+        return F.array_sort(F.aggregate(ranked, F.array().cast(kind), accept))
+
+    def parts(tokens: Column, kept: Column) -> Column:
+        def piece(j: Column) -> Column:
+            begin = F.when(j == 0, 1).otherwise(F.get(kept, j - 1)["i"] + F.get(kept, j - 1)["k"])
+            end = F.when(j == F.size(kept), F.size(tokens) + 1).otherwise(F.get(kept, j)["i"])
+            return F.array_join(F.slice(tokens, begin, end - begin), "")
+
+        return F.struct(F.transform(F.sequence(F.lit(0), F.size(kept)), piece).alias("pieces"), F.transform(kept, lambda w: w["v"]).alias("cards"))
+
+    tokens = F.regexp_extract_all(run, F.lit(r"[0-9]+|[ \-]"), F.lit(0))
+    return _bound(tokens, lambda t: _bound(windows(t), lambda kept: parts(t, kept)))
+
+
+def _woven(pieces: Column, values: Column) -> Column:
+    """The pieces, of which there is one more, with the values between them."""
+    return F.array_join(F.zip_with(pieces, values, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+
+
+def _cards_out(text: Column) -> Column:
+    """(pieces, cards) of a text: its card numbers in a usual layout, and the text before, between and after them."""
+    kind = "struct<pieces:array<string>,open:string,cards:array<string>>"
+
+    def add(acc: Column, run: Column) -> Column:
+        cut, after = run["cut"], run["after"]
+        m = F.size(cut["cards"])
+        more = F.concat(F.array(F.concat(acc["open"], cut["pieces"][0])), F.slice(cut["pieces"], F.lit(2), F.greatest(m - 1, F.lit(0))))
+        grown = F.struct(F.concat(acc["pieces"], more).alias("pieces"), F.concat(F.element_at(cut["pieces"], -1), after).alias("open"), F.concat(acc["cards"], cut["cards"]).alias("cards"))
+        return F.when(m == 0, F.struct(acc["pieces"].alias("pieces"), F.concat(acc["open"], cut["pieces"][0], after).alias("open"), acc["cards"].alias("cards")).cast(kind)).otherwise(grown.cast(kind))
+
+    def over(between: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: _cut(r, usual=True))
+        joined = F.zip_with(runs, F.slice(between, F.lit(2), F.size(between)), lambda c, a: F.struct(c.alias("cut"), a.alias("after")))
+        start = F.struct(F.array().cast("array<string>").alias("pieces"), between[0].alias("open"), F.array().cast("array<string>").alias("cards")).cast(kind)
+        return F.aggregate(joined, start, add, lambda acc: F.struct(F.concat(acc["pieces"], F.array(acc["open"])).alias("pieces"), acc["cards"].alias("cards")))
+
+    whole = F.struct(F.array(text).alias("pieces"), F.array().cast("array<string>").alias("cards"))
+    return F.when(text.rlike(RUN), _bound(F.split(text, RUN, -1), over)).otherwise(whole)
+
+
 def remainder_97(account: Column) -> Column:
     moved = F.concat(F.substr(account, F.lit(5), F.length(account)), F.substr(account, F.lit(1), F.lit(4)))
 
@@ -177,25 +254,40 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
         .when(like["slash_date"], F.coalesce(_date(value, "d/M/yyyy", key), _date(value, "M/d/yyyy", key)))
         .when(like["phone"], F.when(_phone_valid(value), walked(value, phone, _phone_valid)))
         .when(like["foreign_phone"], F.when((digits >= 8) & (digits <= 15), F.concat(F.substr(value, F.lit(1), foreign), permute_text(F.substr(value, foreign + 1, F.length(value)), "foreign", key))))
-        .when(like["card"], F.when(luhn_sum(_digits(value)) % 10 == 0, _card(value, key)))
     )
 
 
+def _images(value: Column, key: str) -> Column:
+    """(text, n): a candidate with pseudonyms, and how many; null where there is none."""
+    run = _bound(_cut(value, usual=False), lambda c: F.struct(_woven(c["pieces"], F.transform(c["cards"], lambda v: _card(v, key))).alias("text"), F.size(c["cards"]).alias("n")))
+    one = F.struct(pseudonym(value, key).alias("text"), F.lit(1).alias("n"))
+    return _bound(F.when(value.rlike(f"^(?:{PATTERNS['card']})$"), run).otherwise(one), lambda p: F.when(p["text"].isNotNull() & (p["n"] > 0), p))
+
+
+def _replaced(text: Column, key: str) -> Column:
+    """(text, n): a text with pseudonyms, and how many."""
+    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+
+    def over(found: Column) -> Column:
+        images = F.transform(found, lambda v: F.struct(v.alias("v"), _images(v, key).alias("p")))
+        return F.when(F.size(found) == 0, F.struct(text.alias("text"), F.lit(0).alias("n"))).otherwise(
+            _bound(images, lambda im: F.struct(_woven(F.split(text, ANY, -1), F.transform(im, lambda x: F.coalesce(x["p"]["text"], x["v"]))).alias("text"), F.aggregate(im, F.lit(0), lambda acc, x: acc + F.coalesce(x["p"]["n"], F.lit(0))).alias("n")))
+        )
+
+    return _bound(found, over)
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """(row, text, n_replaced): every row of docs as a struct, its text with pseudonyms, and how many were put in."""
     rows = common.packed_rows(docs).withColumn("text", F.col("row")[text])
-    found = F.when(F.col("text").rlike("[0-9@=]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    rows = rows.withColumn("found", found).withColumn("images", F.when(F.size("found") > 0, F.transform("found", lambda v: pseudonym(v, key))))
-    between = F.split("text", ANY, -1)
-    joined = F.concat(
-        F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size("found")), F.zip_with("found", "images", lambda v, p: F.coalesce(p, v)), lambda a, b: F.concat(a, b)), ""),
-        F.element_at(between, -1),
-    )
-    return rows.select(
-        "row",
-        F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias("text"),
-        F.when(F.size("found") > 0, F.size(F.filter("images", lambda p: p.isNotNull()))).otherwise(0).cast("long").alias("n_replaced"),
-    )
+
+    def over(c: Column) -> Column:
+        done = F.transform(c["pieces"], lambda p: _replaced(p, key))
+        cards = F.transform(c["cards"], lambda v: _card(v, key))
+        return _bound(done, lambda d: F.struct(_woven(F.transform(d, lambda p: p["text"]), cards).alias("text"), F.aggregate(d, F.size(c["cards"]), lambda acc, p: acc + p["n"]).alias("n")))
+
+    rows = rows.withColumn("done", F.when(F.col("text").rlike("[0-9@=]"), _bound(_cards_out(F.col("text")), over)))
+    return rows.select("row", F.coalesce("done.text", "text").alias("text"), F.coalesce("done.n", F.lit(0)).cast("long").alias("n_replaced"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

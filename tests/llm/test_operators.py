@@ -180,6 +180,28 @@ def test_pseudonyms(spark, docs, none):
     assert privacy.pseudonymise(docs).count() == len(rows()) and privacy.pseudonymise(none).count() == 0
 
 
+CARD = "4111 1111 1111 1111"
+
+
+BESIDE = [
+    (f"{CARD} 12/27", [CARD], 1), (f"{CARD} 123", [CARD], 1), ("May 12 4111111111111111", ["4111111111111111"], 1), ("378282246310005 2024", ["378282246310005"], 1),
+    ("4111111111111111 42", ["4111111111111111"], 1), (f"12 {CARD} 7", [CARD], 1), (f"1234 {CARD}", [CARD], 1), (f"{CARD} 5500 0000 0000 0004", [CARD, "5500 0000 0000 0004"], 2),
+    (f"{CARD} 2001-02-03", [CARD, "2001-02-03"], 2), (f"{CARD} 12/27/2001", [CARD, "12/27/2001"], 2), (f"123-45-6789 {CARD}", [CARD, "123-45-6789"], 2),
+    (f"202 555 {CARD}", [CARD], 1), (f"123 456 {CARD}", [CARD], 1), (f"{CARD} 202-555-0123", [CARD, "202-555-0123"], 2), (f"+49 30 1234567 {CARD}", [CARD, "1234567"], 2),
+    (f"{CARD} 42.144.35.254", [CARD, "42.144.35.254"], 2), (f"{CARD} 12ab@c.com", [CARD, "12ab@"], 2), (f"card={CARD} 12", [CARD], 1), ("411111 1111111 111 99", ["411111 1111111 111"], 1),
+    ("4041894974608796 12", [], 0), ("12 34 56 78 90 12 3", [], 0), (CARD, [CARD], 1),
+]
+
+
+def test_cards_beside_other_numbers(spark):
+    got = {r.row.text: r for r in privacy.pseudonymise(spark.createDataFrame([(t,) for t, _, _ in BESIDE], "text string")).collect()}
+    for text, gone, n in BESIDE:
+        out = got[text].text
+        assert got[text].n_replaced == n, text
+        assert all(g not in out for g in gone) and (gone or out == text), text
+        assert CARD not in gone or got[CARD].text in out, text
+
+
 def test_permutations_are_one_to_one(spark):
     n = 35
     df = spark.range(n).select(privacy.permute_number(F.col("id"), (5, 7), "t", "k").alias("x"))
