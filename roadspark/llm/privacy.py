@@ -12,7 +12,8 @@ format have different ones. Invalid candidates are left as they are.
   blanks or hyphens between groups, and no digit adjoins it. Every stretch of whole groups of a run is tried, so that a number beside it (a date, a
   security code) hides none. Where valid stretches overlap, the usual layouts (unbroken, 4-4-4-4, 4-6-5) come first, then known issuers, then the
   leftmost, then the shortest. Cards in a usual layout are taken out before all other patterns are sought in what is left.
-- Dates from 1950 to 2049 are permuted as one of 36,525 days, addresses as one of 2^32: a Feistel network over a pair of residues.
+- Dates of the years 0001 to 9999, all that the formats can write, are permuted as one of 3,652,059 days, addresses as one of 2^32: a Feistel
+  network over a pair of residues, walked where their product is larger than the range.
 - e-mail addresses keep their domain; keys and other secrets (hexadecimal strings, access keys, password=...) are permuted like text.
 
 Null text stays null with no replacement; empty text stays empty. Repeated rows get the same result. Empty tables give
@@ -56,8 +57,8 @@ ISSUER = (
     r"|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|6(?:011|4[4-9][0-9]|5[0-9]{2}|2[0-9]{2})[0-9]{12,15})$"
 )
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Days of 1950-2049, and sizes of the two residues whose product they are.
-FIRST_DAY, DAYS = "1950-01-01", (75, 487)
+#: Days of the years 0001-9999, and sizes of two residues whose product is slightly larger.
+FIRST_DAY, DAYS, DAY_SIZES = "0001-01-01", 3_652_059, (1911, 1912)
 
 
 def _number(*parts: Column | str) -> Column:
@@ -210,10 +211,11 @@ def _account(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, pattern: str, key: str) -> Column:
-    """Null where the value is no date of the permuted range."""
-    day = F.datediff(F.try_to_timestamp(value, F.lit(pattern)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), permute_number(day, DAYS, "date", key).cast("int"))
-    return F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), F.date_format(moved, pattern))
+    """Null where the value is no date."""
+    day = F.datediff(F.try_to_timestamp(value, F.lit(pattern)).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
+    inside = lambda d: (d >= 0) & (d < DAYS)
+    moved = walked(day, lambda d: permute_number(d, DAY_SIZES, "date", key), inside)
+    return F.when(inside(day), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")), pattern))
 
 
 def _address(value: Column, key: str) -> Column:

@@ -202,6 +202,15 @@ def test_cards_beside_other_numbers(spark):
         assert CARD not in gone or got[CARD].text in out, text
 
 
+def test_dates_of_all_years(spark):
+    dates = ["1948-03-12", "12/03/1939", "3/25/1901", "2050-01-01", "0001-01-01", "9999-12-31", "1500-02-28", "1980-02-29"]
+    false = ["0000-01-01", "1901-02-29", "13/13/1939"]
+    got = {r.row.text: r for r in privacy.pseudonymise(spark.createDataFrame([(d,) for d in dates + false], "text string")).collect()}
+    assert all(got[d].n_replaced == 1 and got[d].text != d for d in dates)
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\d" if "-" in d else r"\d{1,2}/\d{1,2}/\d{4}", got[d].text) for d in dates)
+    assert all(got[d].n_replaced == 0 and got[d].text == d for d in false)
+
+
 def test_permutations_are_one_to_one(spark):
     n = 35
     df = spark.range(n).select(privacy.permute_number(F.col("id"), (5, 7), "t", "k").alias("x"))
