@@ -1,0 +1,94 @@
+"""Near-duplicates by similarity of word shingles: MinHash bands find candidates, and the whole shingle sets decide.
+
+Each text is the set of its shingles of five words (lower-case A-Z, words of bytes other than blank and \\x09-\\x0D; a shorter text is one
+shingle). A hundred minima in twenty bands of five: two texts of similarity 0.8 share a band with a chance of 99.96 %, more alike
+ones with more. Rows of a band's key are compared with its row of smallest doc_id; those that are near it go with it, and the rest are
+compared with one another. So of two kept rows that share a band, the similarity was computed and is below the bound.
+Texts of equal words are one entry, known by a 64-bit hash. Null text counts as empty, and texts without words are alike.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from roadspark.llm import blocks, common
+
+SHINGLE = 5
+#: Similarity bound, as a fraction.
+LEAST = (4, 5)
+BANDS, ROWS = 20, 5
+_DRAWN = np.random.default_rng(8)
+FLIP, FACTOR = (_DRAWN.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+STEP = 2048
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    words = text.lower().split()
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(hashes), STEP):
+        np.minimum(least, ((hashes[i : i + STEP, None] ^ FLIP) * (FACTOR | np.uint64(1))).min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t.encode() for t in batch.column("text").to_pylist()]
+        nodes = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7) for t in texts], np.uint64).view(np.int64)
+        keys = pa.array([bands(shingles(t)) for t in texts], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(nodes), keys], ["row", "node", "keys"])
+
+
+def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        near = []
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = shingles(a.encode()), shingles(b.encode())
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(both * LEAST[1] >= (len(x) + len(y) - both) * LEAST[0])
+        yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+
+def _near(pairs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """The pairs (u, v) of nodes that are at least as similar as the bound."""
+    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = rows.join(used, "node", "left_semi").groupBy("node").agg(F.first(F.coalesce(F.col("row")[text], F.lit(""))).alias("t"))
+    texts = common.keep(texts, "texts")
+    side = lambda node, name: texts.select(F.col("node").alias(node), F.col("t").alias(name))
+    return common.keep(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long"), "near")
+
+
+def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with the row of smallest doc_id of each group; of rows that share that id, one. Groups without any id keep one row."""
+    rows = common.packed_rows(docs).select("row", F.coalesce(F.col("row")[text], F.lit("")).alias("text"))
+    kind = T.StructType([rows.schema["row"], T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    rows = common.keep(rows.mapInArrow(_sign, kind), "signs")
+    entries = common.keep(rows.groupBy("node").agg(F.min(F.col("row")[doc_id]).alias("least_id"), F.first("keys").alias("keys")), "entries")
+    posted = entries.select("node", F.struct(F.col("least_id").isNull().alias("none"), "least_id", "node").alias("place"), F.explode("keys").alias("key"))
+    first = posted.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first.node").alias("v"))
+    stars = common.keep(posted.join(first, "key").filter("node <> v").select("key", F.col("node").alias("u"), "v"), "stars")
+    near = _near(stars.select("u", "v").distinct(), rows, text)
+    left = common.keep(stars.join(near.select("u").distinct(), "u", "left_anti").select("key", F.col("u").alias("node")), "left")
+    dealt = blocks.dealt(left, "key", "node").select("key", "left", "right", "node")
+    others = dealt.withColumnRenamed("node", "u").join(dealt.withColumnRenamed("node", "v"), ["key", "left", "right"]).filter("u < v").select("u", "v").distinct()
+    near = near.unionByName(_near(common.keep(others, "others"), rows, text))
+    label = common.components(near)
+    grouped = entries.join(label, "node", "left").withColumn("root", F.coalesce("component", "node")).select("node", "least_id", "root")
+    low = grouped.groupBy("root").agg(F.min("least_id").alias("low_id"))
+    chosen = grouped.join(low, "root").filter(F.col("least_id").eqNullSafe(F.col("low_id"))).select("node", "root", "low_id")
+    kept = rows.select("row", "node").join(chosen, "node").filter(F.col("row")[doc_id].eqNullSafe(F.col("low_id")))
+    place = Window.partitionBy("root").orderBy(F.col("row")[text])
+    return kept.withColumn("place", F.row_number().over(place)).filter("place = 1").select("row.*")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from roadspark.llm import blocks, common, exact_dedup, language, lattice, mixing, packing, privacy, quality, records, repeats, simhash, tokens
+from roadspark.llm import blocks, common, exact_dedup, language, lattice, mixing, near, packing, privacy, quality, records, repeats, simhash, tokens
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, source string, lang string, sha string, rep long, key double, score double, row string, component_id long"
@@ -249,6 +249,25 @@ def test_simhash(docs, none):
     assert simhash.group_near(none).count() == 0
 
 
+def test_near_copies_of_five_word_shingles(spark, none):
+    def words(seed, n=300):
+        return [f"w{(seed * 7919 + i * i * 31 + i * seed) % 100003}" for i in range(n)]
+
+    data, base = [], {}
+    for g in range(20):
+        own = words(g)
+        base[g] = own
+        data.append((g, " ".join(own)))
+        for k in range(1, 5):  # k words replaced: similarity (296 - 5 k) / (296 + 5 k) is 0.97 to 0.87
+            data.append((100 * k + g, " ".join(f"x{k}" if i % 70 == 35 and i // 70 < k else w for i, w in enumerate(own))))
+        data.append((1000 + g, " ".join(f"y{i}" if i % 20 == 10 else w for i, w in enumerate(own))))  # 15 replaced: 0.60
+    data += [(2000, None), (2001, ""), (None, " ".join(base[0]).upper())]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = {r.doc_id for r in near.drop_near(df).collect()}
+    assert kept == set(range(20)) | set(range(1000, 1020)) | {2000}
+    assert near.drop_near(none).count() == 0
+
+
 def test_links_of_crowded_lists(spark, monkeypatch):
     monkeypatch.setattr(blocks, "PART_ROWS", 16)
     rng = np.random.default_rng(4)
