@@ -117,11 +117,45 @@ def fixpoint(costed: DataFrame, sources: DataFrame, metric: str = "time", bound:
     return state.select("src", "v", "cost")
 
 
+def _far_routes(costed: DataFrame, known: DataFrame, metric: str, full: bool) -> DataFrame:
+    """(qid, time_s, dist_m, n_nodes, path) by joins alone: a fixpoint that keeps the vertex before, then steps back from the goals."""
+    edges = costed.filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("w"), F.col(COST[metric]).alias("c"), "time_s", "dist_m")
+    edges = edges.persist()
+    hop = F.struct("cost", "u", "time_s", "dist_m")
+    start = known.select("src", F.col("src").alias("v")).distinct()
+    none = F.lit(None)
+    state = _lasting(start.withColumn("m", F.struct(F.lit(0.0).alias("cost"), none.cast("long").alias("u"), F.lit(0.0).alias("time_s"), F.lit(0.0).alias("dist_m"))).withColumn("new", F.lit(True)))
+    while not state.filter("new").isEmpty():
+        reached = state.filter("new").select("src", F.col("v").alias("u"), F.col("m.cost").alias("g")).join(edges, "u").withColumn("cost", F.col("g") + F.col("c"))
+        offers = reached.groupBy("src", F.col("w").alias("v")).agg(F.min(hop).alias("offer"))
+        better = F.col("offer").isNotNull() & (F.col("m").isNull() | (F.col("offer.cost") < F.col("m.cost")))
+        both = state.drop("new").join(offers, ["src", "v"], "full")
+        state = _lasting(both.select("src", "v", F.when(better, F.col("offer")).otherwise(F.col("m")).alias("m"), better.alias("new")))
+    back = state.select("src", "v", F.col("m.u").alias("u"), "m.time_s", "m.dist_m").persist()
+    at = known.select("qid", "src", F.col("dst").alias("v"), F.lit(0).alias("step")).join(state.select("src", "v"), ["src", "v"])
+    at, steps = _lasting(at), []
+    while not at.isEmpty():
+        taken = _lasting(at.join(back, ["src", "v"]))
+        steps.append(taken)
+        at = taken.filter("u is not null").select("qid", "src", F.col("u").alias("v"), (F.col("step") + 1).alias("step"))
+    if not steps:
+        return at.select("qid", F.lit(0.0).alias("time_s"), F.lit(0.0).alias("dist_m"), F.lit(0).alias("n_nodes"), F.array(F.lit(0).cast("long")).alias("path"))
+    hops = steps[0]
+    for more in steps[1:]:
+        hops = hops.unionByName(more)
+    path = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("step", "v")))), lambda h: h["v"])
+    found = hops.groupBy("qid").agg(F.sum("time_s").alias("time_s"), F.sum("dist_m").alias("dist_m"), F.count("*").cast("int").alias("n_nodes"), path.alias("path"))
+    return found if full else found.withColumn("path", none.cast("array<long>"))
+
+
 def routes(costed: DataFrame, vertex: DataFrame, queries: DataFrame, metric: str = "time", full: bool = True) -> DataFrame:
     """(qid, src, dst, time_s, dist_m, n_nodes, path) for queries(qid, src, dst); nulls where there is no route or an id is unknown."""
     if metric not in COST:
         raise ValueError("metric is time or distance")
     known = queries.join(vertex.select(F.col("vid").alias("src")), "src", "left_semi").join(vertex.select(F.col("vid").alias("dst")), "dst", "left_semi")
+    if not fits_kernel(costed):
+        found = _far_routes(costed, known, metric, full)
+        return queries.join(found, "qid", "left").select("qid", "src", "dst", "time_s", "dist_m", "n_nodes", "path")
     shared = _broadcast_graph(costed, metric)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -112,6 +112,22 @@ def test_routes(spark, graph):
     assert [p["nodes"] for p in parsed] == [got[1].path]
 
 
+def test_routes_beyond_the_kernel(spark, graph, monkeypatch):
+    vids = [r.vid for r in graph.vertices.orderBy("vid").limit(6).collect()]
+    q = spark.createDataFrame([(i * 6 + j, a, b) for i, a in enumerate(vids) for j, b in enumerate(vids)] + [(99, vids[0], -5)], "qid long, src long, dst long")
+    for metric in ("time", "distance"):
+        kernel = {r.qid: r for r in graph.route(q, metric, full=True).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(paths, "KERNEL_EDGES", 0)
+            m.setattr(paths, "_broadcast_graph", None)
+            far = {r.qid: r for r in graph.route(q, metric, full=True).collect()}
+        assert far.keys() == kernel.keys()
+        column = paths.COST[metric]
+        for i, r in far.items():
+            assert (r[column] is None) == (kernel[i][column] is None) and (r[column] is None or r[column] == pytest.approx(kernel[i][column]))
+            assert r.path is None or (r.path[0], r.path[-1], len(r.path)) == (r.src, r.dst, r.n_nodes)
+
+
 def test_nearest_far_away(spark, graph):
     points = spark.createDataFrame([(1, 10.0, -70.0), (2, 55.0101, 37.0001)], "id long, lat double, lon double")
     v = graph.vertices.collect()
