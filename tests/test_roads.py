@@ -151,6 +151,18 @@ def test_tours():
     assert tours.solve_tour({}, 1) == [0]
 
 
+def test_improve_goes_on_until_no_move_helps(monkeypatch):
+    calls = []
+
+    def falling(cost, order):
+        calls.append(0)
+        return -len(calls) if len(calls) < 3000 else 0
+
+    monkeypatch.setattr(tours, "tour_cost", falling)
+    tours.improve({}, [0, 1, 2])
+    assert len(calls) >= 3000
+
+
 def test_sample_tour_and_plan(spark, graph):
     stops = spark.createDataFrame([(1, 55.001, 37.001), (2, 55.012, 37.002), (3, 55.03, 37.0), (4, 55.044, 37.003)], "id int, lat double, lon double")
     tour = [r.stop for r in graph.tsp(stops).orderBy("pos").collect()]
