@@ -153,6 +153,7 @@ def routes(costed: DataFrame, vertex: DataFrame, queries: DataFrame, metric: str
     if metric not in COST:
         raise ValueError("metric is time or distance")
     known = queries.join(vertex.select(F.col("vid").alias("src")), "src", "left_semi").join(vertex.select(F.col("vid").alias("dst")), "dst", "left_semi")
+    costed = _lasting(costed.select("src", "dst", "dist_m", "time_s"))  # counted and then read again
     if not fits_kernel(costed):
         found = _far_routes(costed, known, metric, full)
         return queries.join(found, "qid", "left").select("qid", "src", "dst", "time_s", "dist_m", "n_nodes", "path")
