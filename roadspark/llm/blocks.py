@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadspark.llm import common
+
 #: Rows of one group that are compared with one another in one block; a larger group becomes pairs of such parts.
 PART_ROWS = 2048
 
@@ -20,7 +22,7 @@ def dealt(rows: DataFrame, key: str, member: str, at_least: int = 2, part_rows:
     goes to the block of its part with every part, so no block grows with its key.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("group_rows")).filter(F.col("group_rows") >= at_least)
-    out = rows.join(sizes, key).withColumn("parts", F.ceil(F.col("group_rows") / part_rows).cast("int"))
+    out = common.spread_join(rows, sizes, key, F.xxhash64(member)).withColumn("parts", F.ceil(F.col("group_rows") / part_rows).cast("int"))
     out = out.withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return out.withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other")).drop("other", "parts", "group_rows")

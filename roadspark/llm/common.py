@@ -1,44 +1,89 @@
-"""Folders that all executors share, written intermediate tables, and connected components."""
+"""Folders that all executors share, written intermediate tables, joins that spread hot keys, and connected components."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FOLDERS: list[str] = []
+#: Parts into which the rows of one key are spread in joins and minima.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession, name: str, lasting: bool = False) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests on one machine), below the temp folder. release() leaves lasting ones."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/roadspark-work"
-    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not lasting:
-        _FOLDERS.append(folder)
-    return folder
+class Workspace:
+    """The work folders of one run, all below one folder of its own, which lies in that of the workspace in use. close() deletes them and nothing else; so does the end of the JVM."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        outer = _CURRENT.get()
+        base = outer._path.toString() if outer else spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"file://{tempfile.gettempdir()}/roadspark-work"
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/run-{uuid.uuid4().hex}")
+        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._path = self._fs.makeQualified(path)
+        self._fs.mkdirs(self._path)
+        self._fs.deleteOnExit(self._path)
 
-def release(spark: SparkSession) -> None:
-    """Delete all work folders made so far, but for lasting ones. Only for callers that have written every result derived from them."""
-    while _FOLDERS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def folder(self, name: str) -> str:
+        return f"{self._path.toString()}/{name}-{uuid.uuid4().hex}"
 
+    def close(self) -> None:
+        self._fs.delete(self._path, True)
 
-def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+
+_CURRENT: ContextVar[Workspace | None] = ContextVar("workspace", default=None)
+#: The workspace of callers that opened none, by Spark application.
+_COMMON: dict[str, Workspace] = {}
+
+
+@contextmanager
+def inside(work: Workspace) -> Iterator[Workspace]:
+    """Work folders made in this block belong to work."""
+    token = _CURRENT.set(work)
+    try:
+        yield work
+    finally:
+        _CURRENT.reset(token)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Workspace]:
+    """Work folders made in this block are deleted at its end, so results derived from them must be written by then."""
+    work = Workspace(spark)
+    try:
+        with inside(work):
+            yield work
+    finally:
+        work.close()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the workspace in use; outside of all, of one that lasts as long as the Spark application."""
+    work = _CURRENT.get()
+    if work is None:
+        application = spark.sparkContext.applicationId
+        work = _COMMON[application] = _COMMON.get(application) or Workspace(spark)
+    return work.folder(name)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
     """df written once to shared storage and read back: cuts the lineage and outlives lost executors."""
-    folder = work_folder(df.sparkSession, name, lasting)
+    folder = work_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -70,16 +115,33 @@ def packed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
+    """rows joined to unique, which has one row for each key. The rows of a hot key are dealt over SALTS parts.
+
+    salt is a number that differs among the rows of a key. unique is joined to the (key, part) pairs that occur, at most SALTS of a key, and
+    those pairs to the rows, so no task gets all rows of a key.
+    """
+    salted = rows.withColumn("__salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    parts = salted.select(key, "__salt").distinct().join(unique, key, how)
+    return salted.join(parts, [key, "__salt"], how).drop("__salt")
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges (u, v) with m, the least v of their u; a hot u is dealt over SALTS parts, each folded before they meet."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("part"))
+    least = parts.groupBy("u").agg(F.min("part").alias("m"))
+    return salted.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).select("u", "v", "m")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (u, v) with u > v."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u")
+    large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    small = _with_least(large)
     return (
         small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .unionByName(low.select("u", F.col("m").alias("v")))
+        .unionByName(small.select("u", F.col("m").alias("v")))
         .filter("u > v").distinct()
     )
 
@@ -96,7 +158,3 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark, edges = now, keep(_star(edges), "edges")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

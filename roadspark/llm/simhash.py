@@ -7,13 +7,15 @@ the bytes of two of the four byte pairs (01, 23, 45, 67) together: six postings
 pair with six equal bytes meets in one of them at least, since two differing bytes touch two byte pairs at most. Pairs that meet are
 tallied over all positions, those with the guaranteed six equal bytes are kept, and their bits verified.
 
-Equal fingerprints are one entry, lists beyond a bound are compared in blocks, and each block gives a spanning forest of
-its links, never all pairs.
+Equal fingerprints are one entry. In a crowded list the other four bytes are cut into three segments, of which a pair within two bits shares
+one at least, so each segment's value makes a finer list; lists that are still beyond a bound are compared in blocks, and each block gives a spanning
+forest of its links, never all pairs.
 
 Fingerprints: lower-case A-Z, words of bytes other than blank and \\x09-\\x0D, shingles of `shingle` words joined by blanks, repeats
 included (a shorter text is one shingle), XXH64 with seed 42; a bit is set if it is set in over half the hashes. Null text and text
 without words have fingerprint 0, linked like any other. Null ids are kept; a component's id is the smallest known doc_id in it. Repeated
-rows get equal results; other columns travel along untouched.
+rows get equal results; other columns travel along untouched. Empty tables give no row. A very long text needs memory in proportion to
+its own length: eight bytes a shingle beside the text.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def _print(shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.encode(), shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints.view(np.int64))], ["row", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints.view(np.int64)), pa.array(np.arange(len(prints)))], ["row", "print", "serial"])
 
     return run
 
@@ -117,7 +119,14 @@ def link_prints(prints: DataFrame, bits: int = BITS) -> DataFrame:
     pair = [F.shiftright("print", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
     keys = [F.struct(F.lit(i).alias("list"), (F.shiftleft(pair[a], 16).bitwiseOR(pair[b])).alias("bytes")) for i, (a, b) in enumerate(PAIRS)]
     posted = prints.select("print", F.explode(F.array(*keys)).alias("k")).select("print", (F.shiftleft(F.col("k.list").cast("long"), 32).bitwiseOR(F.col("k.bytes"))).alias("key"))
-    met = blocks.dealt(posted, "key", "print").select("key", "left", "right", "print")
+    sizes = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    listed = common.spread_join(posted, sizes, "key", F.xxhash64("print"))
+    one = F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("part")
+    short = listed.filter(F.col("n") <= blocks.PART_ROWS).select("key", "print", *one)
+    rest = F.element_at(F.array(*[F.shiftleft(pair[c], 16).bitwiseOR(pair[d]) for c, d in ([k for k in range(4) if k not in p] for p in PAIRS)]), F.shiftright("key", 32).cast("int") + 1)
+    segments = [F.xxhash64("key", F.lit(i), F.shiftright(rest, at).bitwiseAND(F.lit((1 << size) - 1))) for i, (at, size) in enumerate(((0, 11), (11, 11), (22, 10)))]
+    finer = listed.filter(F.col("n") > blocks.PART_ROWS).select("print", F.explode(F.array(*segments)).alias("key"))
+    met = short.unionByName(blocks.dealt(finer, "key", "print").select("key", "print", "left", "right", "part")).select("key", "left", "right", "print")
     met = met.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
     return met.mapInArrow(_match(bits), "u long, v long")
 
@@ -125,14 +134,14 @@ def link_prints(prints: DataFrame, bits: int = BITS) -> DataFrame:
 def group_near(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, text: str = "text", doc_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """(row, print, root, component_id): every row of docs (or some of its columns) as a struct, with its group of near-duplicates: a fingerprint that stands for it, and its smallest doc_id."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), common.text_or_empty(f"`{text}`").alias("text"))
-    kind = T.StructType([rows.schema["row"], T.StructField("print", T.LongType())])
+    kind = T.StructType([rows.schema["row"], T.StructField("print", T.LongType()), T.StructField("serial", T.LongType())])
     rows = common.keep(rows.mapInArrow(_print(shingle), kind), "prints")
     entries = common.keep(rows.groupBy("print").agg(F.min(F.col("row")[doc_id]).alias("least_id")), "entries")
     label = common.components(link_prints(entries))
     entries = entries.join(label, F.col("print") == F.col("node"), "left").withColumn("root", F.coalesce("component", "print"))
     low = entries.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = entries.select("print", "root").join(low, "root").select("print", "root", "component_id")
-    return rows.join(found, "print").select("row", "print", "root", "component_id")
+    found = common.spread_join(entries.select("print", "root"), low, "root", F.xxhash64("print")).select("print", "root", "component_id")
+    return common.spread_join(rows, found, "print", F.col("serial")).select("row", "print", "root", "component_id")
 
 
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

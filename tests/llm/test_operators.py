@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from roadspark.llm import blocks, common, exact_dedup, language, lattice, mixing, near, packing, privacy, quality, records, repeats, simhash, tokens
+from roadspark.llm import blocks, common, exact_dedup, language, lattice, mixing, packing, privacy, quality, records, repeats, simhash, tokens, wide_simhash
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, source string, lang string, sha string, rep long, key double, score double, row string, component_id long"
@@ -263,9 +263,9 @@ def test_near_copies_of_five_word_shingles(spark, none):
         data.append((1000 + g, " ".join(f"y{i}" if i % 20 == 10 else w for i, w in enumerate(own))))  # 15 replaced: 0.60
     data += [(2000, None), (2001, ""), (None, " ".join(base[0]).upper())]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    kept = {r.doc_id for r in near.drop_near(df).collect()}
+    kept = {r.doc_id for r in wide_simhash.drop_near(df).collect()}
     assert kept == set(range(20)) | set(range(1000, 1020)) | {2000}
-    assert near.drop_near(none).count() == 0
+    assert wide_simhash.drop_near(none).count() == 0
 
 
 def test_links_of_crowded_lists(spark, monkeypatch):
@@ -406,6 +406,6 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     n, columns = docs.count(), docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = common.keep(stage(spark, docs, SMALL), name, lasting=True)
+        docs = common.keep(stage(spark, docs, SMALL), name)
         assert docs.columns == columns and 0.5 * n < docs.count() <= 1.5 * n
     assert corpus_pipeline.run(spark, SMALL).count() > 0
