@@ -5,9 +5,11 @@ A record file holds frames: length (8 bytes), masked CRC-32C of the length (4),
 doc_id (8 bytes), and its ids with the end id. Beside shard-N.rec lies shard-N.idx: for each record the offset (8 bytes), doc_id (8)
 and number of ids (8), so that a reader can shuffle records and fetch each with one seek.
 
-Documents are dealt to shards by ranges of doc_id and sorted within them; null ids come first, equal ids are ordered by
-text. Null text counts as empty and holds the end id alone. An empty table gives no shard. Files appear by a rename, so
-a task that runs twice leaves one whole file.
+Documents are dealt to shards by ranges of doc_id and the first characters of the text, and sorted within them; null ids come first, equal ids
+are ordered by text, so many rows that share an id are spread. Rows are written as they come, some at a time: a shard of many rows takes 24 bytes of
+memory for each, a very long text as much as itself and its ids. Null text counts as empty and holds the end id alone. Repeated rows are records
+of their own, and ties make no difference. An empty table gives no shard. Other columns are not read. Files appear by a rename, so a task that runs
+twice leaves one whole file.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from roadspark.llm import common, tokens
 SHARD_BYTES = 32 << 20
 #: Texts encoded, or payload bytes read, at a time.
 BATCH_TEXTS, READ_BYTES = 1024, 8 << 20
+#: Characters of a text that, after its doc_id, decide on its shard.
+PREFIX = 64
 CASTAGNOLI = 0x82F63B78
 CHUNK = 256
 NULL_ID, WIDE = 1, 2
@@ -103,7 +107,7 @@ def frames(payloads: list[bytes]) -> list[bytes]:
 def _writer(folder: str, path: str):
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        index: list[tuple[int, int, int]] = []
+        index: list[np.ndarray] = []
         encode = tokens.encoder(path)
         end = np.array([tokens.END_ID], f"<u{encode.width}").tobytes()
         rows = (r for b in batches for at in range(0, b.num_rows, BATCH_TEXTS) for r in [b.slice(at, BATCH_TEXTS)])
@@ -118,17 +122,21 @@ def _writer(folder: str, path: str):
                 docs = part.column("doc_id").to_pylist()
                 wide = WIDE if encode.width == 4 else 0
                 payloads = [struct.pack("<Bq", wide | (NULL_ID if d is None else 0), d or 0) + x + end for d, x in zip(docs, ids, strict=True)]
-                for d, x, frame in zip(docs, ids, frames(payloads), strict=True):
-                    index.append((offset, d or 0, len(x) // encode.width + 1))
-                    offset += len(frame)
+                framed = frames(payloads)
+                sizes = np.array([len(f) for f in framed])
+                entries = np.empty(len(framed), INDEX)
+                entries["offset"], entries["doc_id"], entries["n"] = offset + np.cumsum(sizes) - sizes, [d or 0 for d in docs], [len(x) // encode.width + 1 for x in ids]
+                index.append(entries)
+                offset += int(sizes.sum())
+                for frame in framed:
                     out.write(frame)
                 part = next(rows, None)
 
         name = f"{folder}/shard-{shard:08d}"
         common.put(f"{name}.rec", body)
-        entries = np.array(index, INDEX)
+        entries = np.concatenate(index)
         common.put(f"{name}.idx", lambda out: out.write(entries.tobytes()))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{name}.rec"], "n_docs": [len(index)], "n_ids": [int(entries["n"].sum())]}, schema=MANIFEST)
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{name}.rec"], "n_docs": [len(entries)], "n_ids": [int(entries["n"].sum())]}, schema=MANIFEST)
 
     return write
 
@@ -140,7 +148,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, text: str
     """Encode and write docs to folder in ascending doc_id order; gives the manifest (shard, path, n_docs, n_ids)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = rows.repartitionByRange(total // SHARD_BYTES + 1, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = rows.repartitionByRange(total // SHARD_BYTES + 1, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, PREFIX)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     made = dealt.mapInArrow(_writer(folder, tokenizer or tokens.default_path()), "shard long, path string, n_docs long, n_ids long")
     return common.keep(made, "manifest")
 

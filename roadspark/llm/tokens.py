@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -32,19 +33,23 @@ class Encoder:
 
     For a byte-level tokenizer that splits with its usual pattern, no token spans the place before a blank, unless white space surrounds it, so
     each blank-led word is encoded once and remembered: unknown words are encoded many at a time as one text, whose tokens fall
-    apart by their bytes. Texts with a surrounded blank, and every other kind of tokenizer, are encoded whole. Strings of special tokens in a text are ordinary text.
+    apart by their bytes. Texts with a surrounded blank or the string of an added token, and every other kind of tokenizer, are encoded whole, as the
+    library does it: it makes an added token of its string, unless plain_special makes it ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain_special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_special
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
+        added = [t["content"] for t in spec.get("added_tokens") or []]
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.by_word = self.by_word and not any(re.search(r"\s", t) for t in added)
+        self.whole = "|".join([SPANS, *(re.sub(r"(\W)", r"\\\1", t) for t in added)])
         self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
         self.heads: dict[str, bytes] = {"": b""}
         if self.by_word:
@@ -105,7 +110,7 @@ class Encoder:
         if not self.by_word:
             return self._plain(texts)
         out: list[bytes | None] = [None] * len(texts)
-        whole = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), SPANS).to_numpy(zero_copy_only=False)).tolist()
+        whole = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), self.whole).to_numpy(zero_copy_only=False)).tolist()
         for at in range(0, len(whole), 64):
             for i, ids in zip(whole[at : at + 64], self._plain([texts[i] for i in whole[at : at + 64]]), strict=True):
                 out[i] = ids

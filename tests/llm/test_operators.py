@@ -76,11 +76,20 @@ def test_index_pages_are_written(spark, docs, tmp_path):
     assert pages.count() == len({r[1] or "" for r in rows()}) and pages.agg(F.sum("group_size")).first()[0] == len(rows())
 
 
+SPECIAL = "hello <|endoftext|> world<|endoftext|>"
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_path())
+
+
 def test_records(spark, docs, none, tmp_path):
-    encoder = tokens.Encoder(tokens.default_path())
     want, start = [], 0
-    for i, t in sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (plain(r[0]), r[1])):
-        ids = np.array([*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+    docs = docs.unionByName(spark.createDataFrame([(77, SPECIAL, "x", "en", "x", 1, 0.5, 0.5, "r", 9)], COLUMNS))
+    for i, t in sorted(((r[0], r[1] or "") for r in [*rows(), (77, SPECIAL)]), key=lambda r: (plain(r[0]), r[1])):
+        ids = np.array([*library().encode(t, add_special_tokens=False).ids, 0], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     manifest = records.write(docs, f"file://{tmp_path}/out")
@@ -106,13 +115,15 @@ def test_checksum():
 
 def test_encoder_equals_the_library():
     e = tokens.Encoder(tokens.default_path())
-    texts = ["a  b", " a", "a ", "\n x\ny, z.", "it's <|endoftext|> 日本 x  y", "", " ", "don't.\n\n go  ", "a\u00a0 \u00a0 b", "a\u00a0 ", "\t \tx\n \n y \n"]
-    assert e.encode(texts) == [np.array(x.ids, "<u2").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = [SPECIAL, "<|endoftext|>", "a<|endoftext|> b", "<| endoftext |>", "a  b", " a", "a ", "\n x\ny, z.", "it's <|endoftext|> 日本 x  y", "", " ", "don't.\n\n go  ", "a\u00a0 \u00a0 b", "a\u00a0 ", "\t \tx\n \n y \n"]
+    assert e.encode(texts) == [np.array(x.ids, "<u2").tobytes() for x in library().encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in np.frombuffer(e.encode([SPECIAL])[0], "<u2")
+    assert 50256 not in np.frombuffer(tokens.Encoder(tokens.default_path(), plain_special=True).encode([SPECIAL])[0], "<u2")
 
 
 def test_packing(docs, none):
-    encoder = tokens.Encoder(tokens.default_path())
-    whole = collections.Counter((r[0], np.array([*encoder.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for r in rows())
+    encoder = library()
+    whole = collections.Counter((r[0], np.array([*encoder.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for r in rows())
     got = packing.pack(docs, length=64, group_documents=5).collect()
     by_sequence, by_doc = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -131,6 +142,13 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_repeated_rows_are_spread_over_groups(spark):
+    same = spark.createDataFrame([(1, "one text")] * 4000, "doc_id long, text string")
+    got = packing.pack(same, length=64, group_documents=100).withColumn("bundle", F.shiftright("sequence_id", 32))
+    sizes = [r["count"] for r in got.groupBy("bundle").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 40 and max(sizes) < 160
+
+
 def test_first_fit():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 60, 300).tolist()
