@@ -4,10 +4,11 @@ A text is cut into overlapping chunks of bytes that cover all of it. In each chu
 bytes, each filter keeps its highest response, and a small layer turns the responses into a hidden vector. The document
 is the mean of its chunks' vectors, and a logistic unit gives the probability of label 1.
 
-The network is trained on the driver from a bounded sample of labelled rows (SAMPLE_DOCUMENTS, of SAMPLE_BYTES at most
-each, drawn by a hash of doc_id); scoring covers every byte of every text. Null or empty text is one chunk of padding
-and has a score like any other. Without labelled rows of both labels the score is the share of label 1 among them, or
-0.5. Repeated rows get equal scores; other columns are not read.
+The network is trained on the driver from a bounded sample: `sample` labelled rows, drawn by a hash of doc_id, and of a text longer than
+`sample_chars` as many characters in STRETCHES stretches spread evenly from its begin to its end. Scoring covers every byte of every text. Null or
+empty text is one chunk of padding and has a score like any other; a very long text needs memory in proportion to its own length. Without labelled
+rows of both labels the score is the share of label 1 among them, or 0.5. Repeated rows get equal scores, as all blocks have one shape and a
+document's chunks are summed in order; of several labels of one doc_id the larger counts. Empty tables give no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspark.llm import common
 
 SAMPLE_DOCUMENTS = 4000
-SAMPLE_BYTES = 64 << 10
+SAMPLE_CHARS, STRETCHES = 16 << 10, 8
 THRESHOLD = 0.3
 CHUNK, STEP = 256, 224
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 12, 4, 8, 32, 16
@@ -33,14 +34,20 @@ BLOCK = 512
 PAD = 256
 
 
-def chunks_of(text: bytes) -> np.ndarray:
-    """Rows of CHUNK byte values, STEP apart, the last one padded."""
+def chunks_of(text: bytes, first: int = 0, most: int | None = None) -> np.ndarray:
+    """Rows of CHUNK byte values, STEP apart, the last one padded: `most` of them from `first` on."""
     n = max(1, -(-(len(text) - (CHUNK - STEP)) // STEP))
-    padded = np.full((n - 1) * STEP + CHUNK, PAD, np.int16)
-    padded[: len(text)] = np.frombuffer(text, np.uint8)
+    last = n if most is None else min(n, first + most)
+    padded = np.full((last - first - 1) * STEP + CHUNK, PAD, np.int16)
+    own = np.frombuffer(text, np.uint8)[first * STEP : first * STEP + len(padded)]
+    padded[: len(own)] = own
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STEP]
 
 
+def count_chunks(text: bytes) -> int:
+    return max(1, -(-(len(text) - (CHUNK - STEP)) // STEP))
+
+
 class Network:
     def __init__(self, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
@@ -72,27 +79,20 @@ class Network:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        sums, counts = np.zeros((len(texts), HIDDEN)), np.zeros(len(texts))
-        held, owner, n = [], [], 0
-
-        def flush() -> None:
-            if held:
-                rows, who = np.concatenate(held), np.concatenate(owner)
-                for at in range(0, len(rows), BLOCK):
-                    np.add.at(sums, who[at : at + BLOCK], self.hidden(rows[at : at + BLOCK]))
-                held.clear(), owner.clear()
-
+        sums, counts = np.zeros((len(texts), HIDDEN)), np.array([count_chunks(t) for t in texts])
+        block, owner, filled = np.full((BLOCK, CHUNK), PAD, np.int16), np.zeros(BLOCK, np.int64), 0
         for i, text in enumerate(texts):
-            rows = chunks_of(text)
-            counts[i] = len(rows)
-            held.append(rows)
-            owner.append(np.full(len(rows), i))
-            n += len(rows)
-            if n >= BLOCK:
-                flush()
-                n = 0
-        flush()
-        logit = sums / counts[:, None] @ self.p["out"] + self.p["out_bias"][0]
+            at = 0
+            while at < counts[i]:
+                rows = chunks_of(text, at, BLOCK - filled)
+                block[filled : filled + len(rows)], owner[filled : filled + len(rows)] = rows, i
+                at, filled = at + len(rows), filled + len(rows)
+                if filled == BLOCK:
+                    np.add.at(sums, owner, self.hidden(block))
+                    filled = 0
+        if filled:
+            np.add.at(sums, owner[:filled], self.hidden(block)[:filled])
+        logit = (sums / counts[:, None] * self.p["out"]).sum(axis=1) + self.p["out_bias"][0]
         return 1 / (1 + np.exp(-logit))
 
     def fit(self, texts: list[bytes], labels: list[int], epochs: int = 8, least_steps: int = 650, batch: int = 48, per_document: int = 6, rate: float = 4e-3, seed: int = 1) -> Network:
@@ -151,12 +151,20 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Network:
+def stretches(text: str, chars: int, parts: int = STRETCHES) -> Column:
+    """The whole text if it has so many characters at most; else so many of it in stretches spread evenly from begin to end."""
+    each = chars // parts
+    begin = lambda i: F.floor(i * (F.length(text) - each) / (parts - 1)).cast("int") + 1
+    cut = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substr(F.col(text), begin(i), F.lit(each))), "")
+    return F.when(F.length(text) > chars, cut).otherwise(F.col(text))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, sample_chars: int = SAMPLE_CHARS) -> Network:
     """docs (doc_id, text) and labels (doc_id, quality); held-out and null ids and null labels are left out."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(~held_out())
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
-    texts = docs.select("doc_id", common.text_or_empty().alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(12)), "text").limit(sample).collect()  # both limits bound what is sent
+    rows = docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # the limit bounds what is sent
+    rows = rows.select("doc_id", "label", stretches("text", sample_chars).alias("text")).orderBy(F.xxhash64("doc_id", F.lit(12)), "text").limit(sample).collect()
     return Network().fit([r.text.encode() for r in rows], [r.label for r in rows])
 
 

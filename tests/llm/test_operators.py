@@ -402,11 +402,99 @@ def test_viterbi_is_exact():
         v = s[0].copy()
         for i in range(1, n):
             v = np.maximum(v, v.max() - p[i]) + s[i]
-        labels = language.viterbi(s, p)
+        labels = language.viterbi(s, p)[0]
+        assert (language._word_by_word(s, p, np.zeros(3), None)[0] == labels).all()
         value = s[np.arange(n), labels].sum() - (p[1:] * (labels[1:] != labels[:-1])).sum()
         assert value == pytest.approx(v.max(), abs=1e-2)
 
 
+def test_language_learns_from_long_texts_and_all_languages(spark):
+    long = "palavra comprida num texto muito longo " * 700
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = np.random.default_rng(2)
+    words = [["".join(rng.choice(list(letters), 5)) for _ in range(12)] for _ in range(201)]
+    data = [(i, " ".join(rng.choice(words[i % 201], 20)), f"l{i % 201:03d}") for i in range(201 * 14)] + [(5000 + i, long, "pt") for i in range(6)]
+    model = language.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 202 and model.predict([long, "palavra num texto"]) == [("pt", 1.0)] * 2
+    sample = [d for d in data if zlib.crc32(str(d[0]).encode()) % 3 == 1]
+    assert np.mean([p[0] == d[2] for p, d in zip(model.predict([d[1] for d in sample]), sample, strict=True)]) > 0.95
+
+
+def brute_language(model, text):
+    """Letters by language, word by word, from the definitions alone."""
+    import unicodedata
+
+    best, rows = None, []
+    for word in re.findall(r"[^\W\d_]+", "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text)):
+        rows.append((len(word), model.word_scores(language.Words([word]))[0].astype(float)))
+    back = []
+    for _, s in rows:
+        if best is None:
+            best, back = s.copy(), [np.arange(len(s))]
+            continue
+        jump = best.max() - language.SWITCH
+        back.append(np.where(best < jump, best.argmax(), np.arange(len(s))))
+        best = np.maximum(best, jump) + s
+    out, state = np.zeros(len(model.languages)), int(best.argmax()) if rows else 0
+    for (n, _), b in reversed(list(zip(rows, back, strict=True))):
+        out[state] += n
+        state = int(b[state])
+    return out
+
+
+@pytest.mark.parametrize("piece", [None, 300])
+def test_language_of_whole_texts_by_brute_force(spark, monkeypatch, piece):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.train(docs)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(60).collect()]
+    texts += ["".join(texts[:9]), "x" * 900, "12 " * 400 + texts[3]]
+    want = [brute_language(model, t) for t in texts]
+    if piece:
+        monkeypatch.setattr(language, "PIECE_CHARS", piece)
+        texts, want = texts[:-2] + texts[-1:], want[:-2] + want[-1:]  # a run of letters longer than a piece is cut
+    got = model._letters(texts)
+    assert (got == np.array(want)).all()
+    assert [p[0] for p in model.predict(texts)] == [model.languages[int(w.argmax())] if w.sum() else "und" for w in want]
+    for text, spans, w in zip(texts, model.spans(texts), want, strict=True):
+        inside = collections.Counter()
+        for b, e, k in spans:
+            inside[k] += sum(c.isalpha() for c in text[b:e])
+        assert inside == {k: n for k, n in zip(model.languages, w.astype(int).tolist(), strict=True) if n}
+
+
+def test_scores_by_brute_force(spark):
+    """The forward pass of the network, chunk by chunk and filter by filter."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    network = quality.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    p = {k: v.astype(np.float64) for k, v in network.p.items()}
+
+    def one(text):
+        hidden = []
+        at = 0
+        while True:
+            chunk = [*text[at : at + quality.CHUNK]]
+            chunk += [quality.PAD] * (quality.CHUNK - len(chunk))
+            flat = p["embed"][chunk].reshape(-1)
+            size, step = quality.WIDTH * quality.EMBED, quality.STRIDE * quality.EMBED
+            top = np.max([flat[k : k + size] @ p["filter"] for k in range(0, len(flat) - size + 1, step)], axis=0) + p["bias"]
+            hidden.append(np.tanh(np.maximum(top, 0) @ p["mix"] + p["mix_bias"]))
+            at += quality.STEP
+            if at + quality.CHUNK - quality.STEP >= len(text):
+                return 1 / (1 + np.exp(-(np.mean(hidden, axis=0) @ p["out"] + p["out_bias"][0])))
+
+    texts = [(r.text or "").encode() for r in docs.orderBy("doc_id").limit(30).collect()] + [b"", b"a" * 257, bytes(range(32, 127)) * 3000]
+    assert network.score(texts) == pytest.approx([one(t) for t in texts], abs=1e-4)
+    copies = network.score([t for t in texts for _ in range(3)] + texts[::-1])
+    assert (copies[: 3 * len(texts)].reshape(-1, 3) == copies[3 * len(texts) :][::-1, None]).all()
+
+
+def test_quality_learns_from_long_texts(spark):
+    long = [("quiet road and river " if i % 2 else "BUY NOW!!! $$$ ") * 6000 for i in range(40)]
+    table = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    network = quality.train(table, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    assert network.constant is None and (np.round(network.score([t.encode() for t in long[:2]])) == [0, 1]).all()
+
+
 @pytest.mark.parametrize("module", [exact_dedup, mixing])
 def test_query_equals_sql(spark, module):
     db = duckdb.connect()
