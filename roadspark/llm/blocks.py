@@ -6,22 +6,24 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadspark.llm import common
 
 #: Rows of one group that are compared with one another in one block; a larger group becomes pairs of such parts.
 PART_ROWS = 2048
+#: Bytes of rows that are brought together before their whole blocks are handed on.
+HELD_BYTES = 16 << 20
 
 
-def dealt(rows: DataFrame, key: str, member: str, at_least: int = 2, part_rows: int = PART_ROWS) -> DataFrame:
-    """rows whose key has at least so many rows, with (left, right, part): each pair of parts of a key is one block.
+def dealt(rows: DataFrame, key: str, member: str, at_least: int = 2, part_rows: int = PART_ROWS, useful: Column | None = None) -> DataFrame:
+    """rows whose key has at least so many rows (and for which an aggregate is true), with (left, right, part): each pair of parts of a key is one block.
 
     A key with up to part_rows rows is the block (0, 0). A larger one is cut by a hash of member into parts, and each row
     goes to the block of its part with every part, so no block grows with its key.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("group_rows")).filter(F.col("group_rows") >= at_least)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("group_rows"), (F.lit(True) if useful is None else useful).alias("useful")).filter((F.col("group_rows") >= at_least) & F.col("useful")).drop("useful")
     out = common.spread_join(rows, sizes, key, F.xxhash64(member)).withColumn("parts", F.ceil(F.col("group_rows") / part_rows).cast("int"))
     out = out.withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -35,7 +37,7 @@ def by_block(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[
         if not batch.num_rows:
             continue
         held.append(batch)
-        if sum(b.num_rows for b in held) < 4096:
+        if sum(b.num_rows for b in held) < 4096 and sum(b.nbytes for b in held) < HELD_BYTES:
             continue
         table = pa.Table.from_batches(held)
         begins = _begins(table, columns)

@@ -115,15 +115,16 @@ def packed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
-def spread_join(rows: DataFrame, unique: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, unique: DataFrame, key: str | list[str], salt: Column, how: str = "inner") -> DataFrame:
     """rows joined to unique, which has one row for each key. The rows of a hot key are dealt over SALTS parts.
 
     salt is a number that differs among the rows of a key. unique is joined to the (key, part) pairs that occur, at most SALTS of a key, and
     those pairs to the rows, so no task gets all rows of a key.
     """
-    salted = rows.withColumn("__salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
-    parts = salted.select(key, "__salt").distinct().join(unique, key, how)
-    return salted.join(parts, [key, "__salt"], how).drop("__salt")
+    keys = [key] if isinstance(key, str) else key
+    salted = rows.withColumn("__salt", F.coalesce(F.pmod(salt, F.lit(SALTS)).cast("int"), F.lit(0)))
+    parts = salted.select(*keys, "__salt").distinct().join(unique, keys, how)
+    return salted.join(parts, [*keys, "__salt"], how).drop("__salt")
 
 
 def _with_least(edges: DataFrame) -> DataFrame:

@@ -5,12 +5,15 @@ lattice (the better of D8 and D8 shifted by one half). The points of one table t
 posted in its own cell of every table and probes neighbouring cells: those in which one point is the nearest of the other
 coset. Vectors that meet in a cell, at least one of them at home there, are verified by cosine in double precision.
 
-Equal vectors with one label are one entry. Cells with many entries are compared in blocks of bounded size; a pair is counted only in
-the smallest cell in which it meets, so links are counted once however often a pair is found. A block gives each entry
-its count of links and one edge of a spanning forest, never all pairs.
-
-Vectors link only where labels are equal and not null and lengths are equal. Null or zero vectors, those with null or non-finite components,
-and rows without vec_id link with nothing. Repeated rows count as vectors of their own. Empty tables give no row.
+Equal vectors with one label are one entry, with a number of its own. The lists of a cell hold numbers, not vectors. Cells without an entry at
+home are left out, and cells with many entries are compared in blocks of bounded size. A block first compares sketches of one byte for each
+component, whose error is bounded, so no pair is lost; vectors are fetched for those entries alone that may have a partner there. A pair is counted only
+in the smallest cell in which it meets, so links are counted once however often a pair is found. A block gives each entry its count of links and
+one edge of a spanning forest, never all pairs.
+
+Vectors link only where labels are equal (by a 64-bit hash) and not null and lengths are equal. Null or zero vectors, those with null or non-finite
+components, and rows without vec_id link with nothing. Repeated rows, and rows that share a vec_id, count as vectors of their own. The bound is
+inclusive (ties link). Very long vectors are compared in smaller blocks. Empty tables give no row; other columns, whatever their names, travel along untouched.
 """
 
 from __future__ import annotations
@@ -90,15 +93,85 @@ def _unit(vectors: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def sketch(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors in whole steps (one byte each), the size of a step, and the length of what is lost (rounded up)."""
+    step = np.abs(unit).max(axis=1) / 127
+    steps = np.rint(unit / step[:, None])
+    lost = np.sqrt(((unit - steps * step[:, None]) ** 2).sum(axis=1))
+    return steps.astype(np.int8), step.astype(np.float32), (lost * (1 + 1e-6) + 1e-6).astype(np.float32)
+
+
+CODED = ["entry", "h1", "h2", "least", "weight", "vector", "size", "label"]
+
+
 def _code(tables: int, points: int, scale: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
-                own, probes = cells(_unit(part.column("vector"), part.num_rows), part.column("label").to_numpy(), tables, points, scale)
+                unit = _unit(part.column("vector"), part.num_rows)
+                own, probes = cells(unit, part.column("label").to_numpy(), tables, points, scale)
+                steps, step, lost = sketch(unit)
                 lists = [pa.array(list(k), pa.list_(pa.int64())) for k in (own, probes)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "weight", "vector", "size", "label")), *lists], ["rep", "weight", "vector", "size", "label", "own", "probes"])
+                rough = [pa.array([r.tobytes() for r in steps], pa.binary()), pa.array(step), pa.array(lost)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in CODED), *lists, *rough], [*CODED, "own", "probes", "steps", "step", "lost"])
+
+    return run
+
+
+def _close(x: np.ndarray, lost: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one block whose product is at least the bound, less what may be lost of it."""
+    n, size = len(x), ends - begins
+    small, end = np.repeat(size <= SMALL_BLOCK, size), np.repeat(ends, size)
+    for d in range(1, SMALL_BLOCK):
+        rows = np.flatnonzero(small & (np.arange(n) + d < end))
+        if not len(rows):
+            break
+        hit = rows[np.einsum("ij,ij->i", x[rows], x[rows + d]) + lost[rows] + lost[rows + d] + 3 * lost[rows] * lost[rows + d] >= least]
+        yield hit, hit + d
+    for b, e in zip(begins[size > SMALL_BLOCK].tolist(), ends[size > SMALL_BLOCK].tolist(), strict=True):
+        for at in range(b, e, 1024):
+            to, y = min(e, at + 1024), lost[at:e]
+            i, j = np.nonzero(x[at:to] @ x[at:e].T + lost[at:to, None] + y + 3 * lost[at:to, None] * y >= least)
+            later = j > i
+            yield at + i[later], at + j[later]
+
+
+def _may_meet(table: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of a block are pairs of this block: two entries, one label, one of them at home, of both parts if there are two."""
+    entry, part, label = (table.column(c).to_numpy() for c in ("entry", "part", "label"))
+    mixed = table.column("left").to_numpy() != table.column("right").to_numpy()
+    home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
+    return (entry[a] != entry[b]) & (label[a] == label[b]) & (home[a] | home[b]) & ~(mixed[a] & (part[a] == part[b]))
+
+
+BLOCK = ["key", "left", "right"]
+PLACE = [*BLOCK, "part", "home", "entry"]
+
+
+def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Whole blocks, apart by the length of vectors, with where they begin and end."""
+    for whole, _ in blocks.by_block(batches, BLOCK):
+        sizes = whole.column("size").to_numpy()
+        for size in np.unique(sizes):
+            table = whole.filter(pa.array(sizes == size))
+            begins = blocks._begins(table, BLOCK)
+            yield table, begins, np.append(begins[1:], table.num_rows)
+
+
+def _rough(least: float):
+    """The entries of blocks that may have a partner there."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins, ends in _sizes(batches):
+            steps = np.frombuffer(b"".join(table.column("steps").to_pylist()), np.int8).reshape(table.num_rows, -1)
+            x = steps.astype(np.float32) * table.column("step").to_numpy()[:, None]
+            some = np.zeros(table.num_rows, bool)
+            for a, b in _close(x, table.column("lost").to_numpy(), begins, ends, least - 1e-5):
+                ok = _may_meet(table, a, b)
+                some[a[ok]] = some[b[ok]] = True
+            yield from table.select(PLACE).filter(pa.array(some)).to_batches()
 
     return run
 
@@ -113,29 +186,20 @@ def _first_meeting(keys: np.ndarray, home: int, a: np.ndarray, b: np.ndarray) ->
 
 def _match(least: float, tables: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, _ in blocks.by_block(batches, ["key", "left", "right"]):
-            sizes = whole.column("size").to_numpy()
-            for size in np.unique(sizes):
-                table = whole.filter(pa.array(sizes == size))
-                yield _links(table, least, tables)
+        for table, begins, ends in _sizes(batches):
+            yield _links(table, begins, ends, least, tables)
 
     return run
 
 
-def _links(table: pa.Table, least: float, tables: int) -> pa.RecordBatch:
+def _links(table: pa.Table, begins: np.ndarray, ends: np.ndarray, least: float, tables: int) -> pa.RecordBatch:
     n = table.num_rows
-    begins = blocks._begins(table, ["key", "left", "right"])
-    ends = np.append(begins[1:], n)
     unit, weight = _unit(table.column("vector"), n), table.column("weight").to_numpy()
-    rep, key, part, label = (table.column(c).to_numpy() for c in ("rep", "key", "part", "label"))
-    mixed = table.column("left").to_numpy() != table.column("right").to_numpy()
-    at_home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
+    entry, key = table.column("entry").to_numpy(), table.column("key").to_numpy()
     keys = np.concatenate([table.column(c).combine_chunks().flatten().to_numpy().reshape(n, -1) for c in ("own", "probes")], axis=1)
     links, a_all, b_all, held = np.zeros(n, np.int64), [], [], 0
-
-    def found(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal held, a_all, b_all
-        ok = (rep[a] != rep[b]) & (label[a] == label[b]) & (at_home[a] | at_home[b]) & ~(mixed[a] & (part[a] == part[b]))
+    for a, b in _close(unit, np.zeros(n), begins, ends, least):
+        ok = _may_meet(table, a, b)
         a, b = a[ok], b[ok]
         for at in range(0, len(a), 1 << 16):
             x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
@@ -149,49 +213,45 @@ def _links(table: pa.Table, least: float, tables: int) -> pa.RecordBatch:
         if held > 4 * n + (1 << 18):
             x, y = blocks.forest(np.concatenate(a_all), np.concatenate(b_all), n)
             a_all, b_all, held = [x], [y], len(x)
-
-    size = ends - begins
-    small = np.repeat(size <= SMALL_BLOCK, size)
-    end = np.repeat(ends, size)
-    for d in range(1, SMALL_BLOCK):
-        rows = np.flatnonzero(small & (np.arange(n) + d < end))
-        if not len(rows):
-            break
-        hit = rows[np.einsum("ij,ij->i", unit[rows], unit[rows + d]) >= least]
-        found(hit, hit + d)
-    for b, e in zip(begins[size > SMALL_BLOCK].tolist(), ends[size > SMALL_BLOCK].tolist(), strict=True):
-        for at in range(b, e, 1024):
-            i, j = np.nonzero(unit[at : min(e, at + 1024)] @ unit[at:e].T >= least)
-            later = j > i
-            found(at + i[later], at + j[later])
     x, y = (np.concatenate(v) if v else np.zeros(0, int) for v in (a_all, b_all))
     node, root = blocks.forest(x, y, n)
     parent = np.arange(n)
     parent[node] = root
     some = links > 0
-    return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[parent[some]]), pa.array(links[some])], ["u", "v", "links"])
+    return pa.RecordBatch.from_arrays([pa.array(entry[some]), pa.array(entry[parent[some]]), pa.array(links[some])], ["u", "v", "links"])
 
 
 def link(vectors: DataFrame, least: float = COSINE, tables: int = TABLES, points: int = POINTS, scale: float = SCALE, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(row, n_links, component_id): every row of vectors as a struct."""
-    rows = common.packed_rows(vectors).select("row", F.col("row")[vec_id].alias("vec_id"), F.col("row")[vector].alias("vector"), F.col("row")[label].alias("label"))
+    rows = common.packed_rows(vectors).select("row", F.col("row")[vec_id].alias("vec_id"), F.col("row")[vector].alias("vector"), F.col("row")[label].alias("of"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = rows.withColumn("vector", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound, F.col("vector")))
-    reps = rows.filter("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    reps = reps.select("rep", "weight", "vector", F.size("vector").alias("size"), F.col("label").cast("long").alias("label"))
-    lists = "own array<long>, probes array<long>"
-    element = reps.schema["vector"].dataType.simpleString()
-    coded = common.keep(reps.mapInArrow(_code(tables, points, scale), f"rep long, weight long, vector {element}, size int, label long, {lists}"), "cells")
-    posted = coded.select("rep", F.posexplode(F.concat("own", "probes")).alias("at", "key")).select("rep", "key", (F.col("at") < tables).alias("home"))
-    met = blocks.dealt(posted, "key", "rep", part_rows=PART_ROWS).join(coded, "rep")
-    met = met.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    found = common.keep(met.mapInArrow(_match(least, tables), "u long, v long, links long"), "links")
+    rows = rows.withColumn("vector", F.when(F.col("vec_id").isNotNull() & F.col("of").isNotNull() & sound, F.col("vector")))
+    known = F.col("vector").isNotNull()
+    rows = rows.withColumn("h1", F.when(known, F.xxhash64("of", "vector"))).withColumn("h2", F.when(known, F.xxhash64(F.lit(SEED), "of", "vector")))
+
+    # An entry is known by two hashes, 128 bits; its number is given once, as the table is written.
+    reps = rows.filter(known).groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector"), F.xxhash64(F.first("of")).alias("label"))
+    reps = reps.select(F.monotonically_increasing_id().alias("entry"), "h1", "h2", "least", "weight", "vector", F.size("vector").alias("size"), "label")
+    kind = ", ".join(f"{c} {reps.schema[c].dataType.simpleString()}" for c in CODED)
+    coded = common.keep(reps.mapInArrow(_code(tables, points, scale), f"{kind}, own array<long>, probes array<long>, steps binary, step float, lost float"), "cells")
+    posted = coded.select("entry", F.posexplode(F.concat("own", "probes")).alias("at", "key")).select("entry", "key", (F.col("at") < tables).alias("home"))
+    met = blocks.dealt(posted, "key", "entry", part_rows=PART_ROWS, useful=F.max("home"))
+
+    def by_block(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+
+    rough = by_block(met.join(coded.select("entry", "size", "label", "steps", "step", "lost"), "entry"))
+    left = rough.mapInArrow(_rough(least), "key long, left int, right int, part int, home boolean, entry long")
+    exact = by_block(left.join(coded.select("entry", "weight", "vector", "size", "label", "own", "probes"), "entry"))
+    found = common.keep(exact.mapInArrow(_match(least, tables), "u long, v long, links long"), "links")
 
     parts = common.components(found.select("u", "v"))
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
-    per = coded.select("rep", "vector", F.col("label").alias("of"), "weight").join(links, F.col("rep") == F.col("u"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-    per = per.select(F.col("vector").alias("same"), "of", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(per, (F.col("vector") == F.col("same")) & (F.col("label").cast("long") == F.col("of")), "left")
+    per = coded.select("entry", "h1", "h2", "least", "weight").join(links, F.col("entry") == F.col("u"), "left").join(parts, F.col("entry") == F.col("node"), "left")
+    per = per.select("entry", "h1", "h2", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "entry").alias("root"))
+    low = per.groupBy("root").agg(F.min("least").alias("component_id"))
+    per = common.keep(common.spread_join(per, low, "root", F.col("entry")).select("h1", "h2", "n_links", "component_id"), "per-entry")
+    out = common.spread_join(rows.drop("vector", "of"), per, ["h1", "h2"], F.xxhash64("vec_id"), "left")
     return out.select("row", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
 

@@ -369,6 +369,24 @@ def test_lattice(spark, monkeypatch, part_rows):
     assert got[None] == (0, None)
 
 
+def test_lattice_rows_that_share_an_id_and_text_labels(spark):
+    v, w = [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.001]
+    data = [(1, v, "a"), (1, w, "a"), (2, v, "b"), (3, v, "a"), (4, [-x for x in v], "a"), (5, v * 3000, "a"), (6, w * 3000, "a")]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.link(spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")).select("row.vec_id", "n_links", "component_id").collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 2, 1), (4, 0, 4), (5, 1, 5), (6, 1, 5)]
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 64))
+    x[150:] = x[:150] + rng.normal(scale=0.2, size=(150, 64)) * rng.random((150, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    steps, step, lost = lattice.sketch(unit)
+    rough = steps * step[:, None].astype(float)
+    error = np.abs(unit @ unit.T - rough @ rough.T)
+    assert (error <= lost[:, None] + lost + 3 * lost[:, None] * lost).all() and lost.max() < 0.02
+
+
 def test_lattice_decoding():
     x = np.random.default_rng(0).normal(0, 2, (4000, 8))
     near, _ = lattice.decode_e8(x)
