@@ -12,18 +12,23 @@ A byte goes if it lies in a string of `length` bytes that also starts in a docum
 4. Where a trigger leads more than one phrase, equal phrases are brought together: all but the smallest document with a
    phrase lose its windows.
 5. Along with them, of all phrases led by such triggers the strings of length - STEP + 1 bytes at a few fixed distances from the
-   trigger are brought together. Every window holds one of them, so a window whose string is in one document only is unique.
-6. Dictionary suffixes: the windows that are left, of one phrase of each kind (the suffixes of the phrases, as far as `length` bytes), are brought together
-   and sorted, to find the smallest document of each.
+   trigger are brought together. Every window holds one of them, so a window whose string is in one document only is unique. These strings cut
+   the phrases that are left into shorter ones (pieces of up to length + STEP - 1 bytes, each with the windows that hold its string), and split
+   what a frequent trigger leads over all tasks.
+6. Suffix arrays: pieces with one string meet, as bytes. Where they meet, the distinct ones are sorted into the dictionary, and the parse is the
+   sequence of their ranks. The suffix array of the dictionary puts its windows into the order of their `length` bytes; the suffix array of the
+   parse puts the occurrences of each rank into the order of documents; together they give the windows of the corpus in order, copies of a window
+   side by side, the smallest document first. As no window reaches beyond its phrase, a parse suffix never has to be compared beyond its first rank.
 
-Suffixes are sorted by a hash of their first `length` bytes (96 bits), not by their bytes: only equality of that
-prefix matters here, so the order in which a suffix array would list unequal ones is not computed.
+What settles windows in steps 3 to 5 are hashes (96 bits and more together) of whole phrases and of strings; in step 6 bytes decide. The corpus
+is put in order string by string, not as a whole, as only neighbours with `length` equal bytes matter.
 
-Texts are stored in blocks of bounded size in the shared folder; what leaves a block was folded to one entry for each trigger
-or window first, so that a passage in a third of all documents sends one entry from each block. Long texts are parsed in pieces that overlap.
+Texts are stored in blocks of bounded size in the shared folder; what leaves a block was folded to one entry for each trigger, string
+or piece first, so that a passage in a third of all documents sends one entry from each block. Long texts are parsed in pieces that overlap.
 
 Null text counts as empty. A null doc_id is smaller than all others; rows with equal ids (repeated rows too) never take from each
-other. Texts shorter than `length` are kept whole. Empty tables give no row.
+other. Texts shorter than `length` are kept whole. A very long text takes memory in proportion to its length. Empty tables give no row; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -131,52 +136,104 @@ class Parse:
         windows = np.diff(np.append(first, len(start)))
         begin, trigger_at, owner = start[first], at[first], owner[first]
         phrase = _mix(sums.of(begin, begin + windows + length - 1) ^ U(0xA5A5A5A5) * (windows.astype(U) * U(64) + (trigger_at - begin).astype(U)))
-        return grams[trigger_at], phrase, begin, trigger_at, windows, np.array([d for d, _, _ in segment])[owner]
+        trigger = _mix(grams[trigger_at] + U(BASES[1]))  # the smallest of many hashes are small numbers
+        return trigger, phrase, begin, trigger_at, windows, np.array([d for d, _, _ in segment])[owner]
 
-    def _chosen(self, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[Sums, Sums] | None]]:
-        """For each segment the chosen phrases, with the sums over its bytes where there are any."""
-        at = 0
+    def _chosen(self, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[Sums, Sums]]]:
+        """For each segment the chosen phrases, its bytes and the sums over them; both are empty where there is no such phrase."""
+        at, none = 0, np.zeros(0, np.uint8)
         for segment, count in zip(self.segments, self.counts, strict=True):
             own = np.flatnonzero(chosen[at : at + count]) + at
             at += count
-            data = self.data(segment) if len(own) else None
-            yield own, None if data is None else tuple(Sums(data, base) for base in BASES)
+            data = self.data(segment) if len(own) else none
+            yield own, data, tuple(Sums(data, base) for base in BASES)
 
     @property
     def slots(self) -> int:
         return -(-(self.length - GRAM + 1) // STEP)
 
+    def _cut(self, own: np.ndarray, slot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the phrases that have windows in a slot: which, where the slot's string begins, and the first window and how many there are."""
+        low = self.at[own] + slot * STEP - (self.length - GRAM)
+        begin = np.maximum(self.first[own], low)
+        windows = np.minimum(self.first[own] + self.windows[own], low + STEP) - begin
+        has = windows > 0
+        return np.flatnonzero(has), low[has] + STEP - 1, begin[has], windows[has]
+
     def strings_of(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each string that judges windows of the chosen phrases: number of the phrase, slot, and two hashes (the second of 31 bits)."""
-        out, size = [], self.length - STEP + 1
-        for own, sums in self._chosen(chosen):
-            if sums is None:
-                continue
-            first = self.first[own] - self.at[own]
+        out, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.uint32))], self.length - STEP + 1
+        for own, _, sums in self._chosen(chosen):
             for slot in range(self.slots):
-                low = slot * STEP - (self.length - GRAM)
-                has = (first <= low + STEP - 1) & (first + self.windows[own] > low)
-                begin = self.at[own[has]] + low + STEP - 1
-                a, b = (_mix(s.of(begin, begin + size) ^ U(slot + 1)) for s in sums)
-                out.append((own[has], np.full(len(begin), slot), a, (b >> U(33)).astype(np.uint32)))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.uint32))
-
-    def windows_of(self, chosen: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For the windows of the chosen phrases whose string is shared (phrase, slot): number of the phrase, first byte, two hashes; and how many there are in each segment."""
-        out, counts = [], []
-        for own, sums in self._chosen(chosen & shared.any(axis=1)):
+                rows, at, _, _ = self._cut(own, slot)
+                a, b = (_mix(s.of(at, at + size) ^ U(slot + 1)) for s in sums)
+                out.append((own[rows], np.full(len(at), slot), a, (b >> U(33)).astype(np.uint32)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def pieces_of(self, chosen: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each piece of the chosen phrases whose string is shared (phrase, slot): number of the phrase, first byte, windows, hash of the string, record; and how many there are in each segment."""
+        width = self.length + STEP - 1
+        out, counts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros((0, width + 2), np.uint8))], []
+        for own, data, sums in self._chosen(chosen & shared.any(axis=1)):
             counts.append(0)
-            if sums is None:
-                continue
-            number = np.repeat(own.astype(np.int32), self.windows[own])
-            begin = np.arange(len(number)) - np.repeat(np.cumsum(self.windows[own]) - self.windows[own], self.windows[own]) + self.first[number]
-            on = shared[number, (begin - self.at[number] + self.length - GRAM) // STEP]
-            number, begin = number[on], begin[on]
-            a, b = (_mix(s.of(begin, begin + self.length)) for s in sums)
-            out.append((number, begin, a, (b >> U(32)).astype(np.uint32)))
-            counts[-1] = len(number)
-        parts = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.uint32))
-        return *parts, np.array(counts, np.int64)
+            for slot in range(self.slots):
+                rows, at, begin, windows = self._cut(own, slot)
+                on = shared[own[rows], slot]
+                rows, at, begin, windows = rows[on], at[on], begin[on], windows[on]
+                if not len(rows):
+                    continue
+                record, place = np.zeros((len(rows), width + 2), np.uint8), np.arange(width)
+                record[:, 0], record[:, 1] = begin - (at - STEP + 1), windows
+                inside = place < (windows + self.length - 1)[:, None]
+                record[:, 2:] = np.where(inside, data[np.minimum(begin[:, None] + place, len(data) - 1)], 0)
+                out.append((own[rows], begin, windows, _mix(sums[0].of(at, at + self.length - STEP + 1) ^ U(slot + 1)), record))
+                counts[-1] += len(rows)
+        return *(np.concatenate(c) for c in zip(*out, strict=True)), np.array(counts, np.int64)
+
+
+def words_of(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as columns of big numbers, whose order is that of the bytes."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return [c.astype(U) for c in padded.view(">u8").T]
+
+
+def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their bytes, and which of them in that order differ from the one before."""
+    words = words_of(rows)
+    order = np.lexsort(words[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([w[order][1:] != w[order][:-1] for w in words])
+    return order, new
+
+
+def ranks(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and the rank of each row among them."""
+    order, new = sorted_rows(rows)
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rows[order[new]], rank
+
+
+def corpus_order(records: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For pieces as records (offset, windows, bytes) in documents: the smallest document with each of their windows, a row of STEP for each piece."""
+    dictionary, parse = ranks(records)
+    # The parse's suffix array: occurrences of each rank by document, the smallest first.
+    occurrences = np.lexsort((docs, parse))
+    least = docs[occurrences[np.flatnonzero(np.diff(parse[occurrences], prepend=-1))]]
+    # The dictionary's suffix array, as far as suffixes have `length` bytes.
+    windows = dictionary[:, 1].astype(np.int64)
+    entry = np.repeat(np.arange(len(dictionary)), windows)
+    at = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
+    suffixes = np.lib.stride_tricks.sliding_window_view(dictionary[:, 2:], length, axis=1)[entry, at]
+    order, new = sorted_rows(suffixes)
+    # Both together: of each run of equal suffixes, the first occurrence of any of its entries.
+    begin = np.flatnonzero(new)
+    smallest = np.full((len(dictionary), STEP), np.iinfo(np.int64).max)
+    if len(order):
+        smallest[entry[order], at[order]] = np.repeat(np.minimum.reduceat(least[entry[order]], begin), np.diff(np.append(begin, len(order))))
+    return smallest[parse]
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -428,19 +485,58 @@ def _strings_sent(p: Parse, group: pa.Table, compare: np.ndarray) -> tuple[np.nd
     return _folded(key, check, p.doc_id[number], flagged=True)
 
 
-def _windows(p: Parse, group: pa.Table, compare: np.ndarray) -> tuple[np.ndarray, ...]:
-    number, slot, key, check = p.strings_of(compare)
-    shared = np.zeros((len(compare), p.slots), bool)
-    shared[number, slot] = _told(group, SHARED, key, check)
-    return p.windows_of(compare, shared)
+class Pieces:
+    """The pieces of a block that are still to be compared, each distinct one once: serial number, hash of its string, record and least document."""
+
+    def __init__(self, p: Parse, group: pa.Table, compare: np.ndarray) -> None:
+        number, slot, key, check = p.strings_of(compare)
+        shared = np.zeros((len(compare), p.slots), bool)
+        shared[number, slot] = _told(group, SHARED, key, check)
+        number, self.begin, self.windows, key, record, self.counts = p.pieces_of(compare, shared)
+        self.docs = p.doc_id[number]
+        self.record, self.of = ranks(record)
+        order = np.lexsort((self.docs, self.of))
+        first = order[np.flatnonzero(np.diff(self.of[order], prepend=-1))]
+        self.least, self.key = self.docs[first], key[first]
+
+    def removed(self, group: pa.Table) -> np.ndarray:
+        """For each piece and window whether it goes."""
+        gone = np.zeros(len(self.key), np.uint16)
+        for kind, data in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True):
+            if kind == GONE_WINDOW:
+                serial, bits = _unpack(data, ["<u4", "<u2"])
+                gone[serial] = bits
+        bits = np.where(self.docs > self.least[self.of], np.uint16((1 << STEP) - 1), gone[self.of])
+        return (bits[:, None] >> np.arange(STEP, dtype=np.uint16) & 1).astype(bool) & (np.arange(STEP) < self.windows[:, None])
+
+
+def _send_pieces(buckets: int, length: int):
+    def run(group: pa.Table) -> pa.Table:
+        block, path = group.column("block")[0].as_py(), group.column("path")[0].as_py()
+        if SHARED not in group.column("kind").to_pylist():
+            return MESSAGES.empty_table()
+        _, p = _load(path, length)
+        pieces = Pieces(p, group, _settle(p, group)[1])
+        order = np.argsort(pieces.key, kind="stable")
+        record = np.ascontiguousarray(pieces.record[order]).view(f"V{length + STEP + 1}").reshape(-1)
+        return pa.Table.from_batches(list(_messages(GONE_WINDOW, block, path, pieces.key[order], [order.astype(np.uint32), record], pieces.least[order], buckets)), MESSAGES)
+
+    return run
+
 
+def _meet_pieces(length: int):
+    def run(group: pa.Table) -> pa.Table:
+        width = length + STEP + 1
+        (_, serial, record), docs, message = _gather(group, ["<u8", "<u4", f"V{width}"])
+        record = np.ascontiguousarray(record).view(np.uint8).reshape(-1, width)
+        gone = docs[:, None] > corpus_order(record, docs, length)
+        bits = (gone * (1 << np.arange(STEP))).sum(axis=1).astype(np.uint16)
+        return _answers(group, message, [(GONE_WINDOW, bits > 0, [serial, bits])])
 
-def _windows_sent(p: Parse, group: pa.Table, compare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    number, _, key, check, _ = _windows(p, group, compare)
-    return _folded(key, check, p.doc_id[number])
+    return run
 
 
-SENT = {GONE_PHRASE: _phrases_sent, SHARED: _strings_sent, GONE_WINDOW: _windows_sent}
+SENT = {GONE_PHRASE: _phrases_sent, SHARED: _strings_sent}
 
 
 def _meet(group: pa.Table) -> pa.Table:
@@ -462,11 +558,9 @@ def _finish(length: int):
     def run(group: pa.Table) -> pa.Table:
         ids, p = _load(group.column("path")[0].as_py(), length)
         lost, compare = _settle(p, group)
-        number, at, key, check, counts = _windows(p, group, compare)
-        docs = p.doc_id[number]
-        out = docs > _least_of_group(*_groups(key, check), docs)
-        out |= _told(group, GONE_WINDOW, key, check)
-        spans = _spans(p, lost, at, out, counts)
+        pieces = Pieces(p, group, compare)
+        at = (pieces.begin[:, None] + np.arange(STEP)).reshape(-1)
+        spans = _spans(p, lost, at, pieces.removed(group).reshape(-1), pieces.counts * STEP)
         rows: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "spans", "kept")}
         for doc, text, cut in zip(ids, p.texts, spans, strict=True):
             at, kept = 0, []
@@ -529,9 +623,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", do
 
     sent = stored.repartition(n).mapInArrow(_send_triggers(buckets, length), MESSAGE_SQL)
     told = common.keep(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet_triggers, ANSWER_SQL), "trigger-answers")
-    for kinds in ([GONE_PHRASE, SHARED], [GONE_WINDOW]):
-        sent = told.repartition(n, "block").groupBy("block").applyInArrow(_send(buckets, length, kinds), MESSAGE_SQL)
-        found = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, ANSWER_SQL)
+    for send, meet in ((_send(buckets, length, [GONE_PHRASE, SHARED]), _meet), (_send_pieces(buckets, length), _meet_pieces(length))):
+        sent = told.repartition(n, "block").groupBy("block").applyInArrow(send, MESSAGE_SQL)
+        found = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, ANSWER_SQL)
         told = told.unionByName(common.keep(found, "answers"))
     each = stored.select("block", "path", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("data"))
     return each.unionByName(told).repartition(n, "block").groupBy("block").applyInArrow(_finish(length), RESULT_SQL)

@@ -417,6 +417,27 @@ def test_repeats(docs, none, monkeypatch, small):
         assert repeats.remove_repeats(none).count() == 0
 
 
+def test_corpus_order_by_brute_force():
+    rng = np.random.default_rng(8)
+    length, step = 30, repeats.STEP
+    records, docs = [], []
+    texts = [bytes(rng.integers(97, 99, length + step - 1, dtype=np.uint8)) for _ in range(6)]
+    for _ in range(300):
+        t, n = texts[rng.integers(6)], int(rng.integers(1, step + 1))
+        at = int(rng.integers(0, step - n + 1))
+        own = t[at : at + n + length - 1]
+        records.append(bytes([at, n]) + own + bytes(length + step - 1 - len(own)))
+        docs.append(int(rng.integers(-50, 50)))
+    least: dict = {}
+    for r, d in zip(records, docs, strict=True):
+        for w in range(r[1]):
+            key = r[2 + w : 2 + w + length]
+            least[key] = min(d, least.get(key, 99))
+    got = repeats.corpus_order(np.frombuffer(b"".join(records), np.uint8).reshape(len(records), -1), np.array(docs), length)
+    for r, row in zip(records, got.tolist(), strict=True):
+        assert row[: r[1]] == [least[r[2 + w : 2 + w + length]] for w in range(r[1])]
+
+
 def test_quality(spark, docs, none):
     rng = np.random.default_rng(3)
     words = "road bridge river stone lamp green walk quiet".split()
