@@ -31,14 +31,28 @@ def edge_seconds(metres: Column, speed: Column) -> Column:
     return metres / F.greatest(F.coalesce(speed, F.lit(1.0).cast("float")), F.lit(MIN_SPEED_MPS).cast("float")).cast("double")
 
 
-def heuristic(metres: Column, metric: str) -> Column:
-    return metres if metric == "distance" else metres / MAX_SPEED_MPS
+def heuristic(metres: Column, metric: str, fastest_mps: float = MAX_SPEED_MPS) -> Column:
+    """A lower bound of the cost over a great circle; for time at the given highest speed."""
+    return metres if metric == "distance" else metres / fastest_mps
 
 
 def potential(to_goal: Column, from_start: Column) -> Column:
+    """Half the difference of two bounds: consistent forwards, and with the other sign backwards."""
     return (to_goal - from_start) * 0.5
 
 
+def z_order(lat: Column, lon: Column, bits: int = 24) -> Column:
+    """The place along a space-filling curve: the bits of both coordinates in turn."""
+    y, x = (F.floor((c + half) / (2 * half) * (1 << bits)).cast("long") for c, half in ((lat, 90.0), (lon, 180.0)))
+
+    def spread(c: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    return spread(y) * 2 + spread(x)
+
+
 def degrees_squared(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return (lon2 - lon1) * (lon2 - lon1) + (lat2 - lat1) * (lat2 - lat1)
 

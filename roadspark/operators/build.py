@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import expr
+from roadspark.operators import storage
 
 #: Rows that one bucket of an ordered numbering holds, on average.
 BUCKET_ROWS = 1_000_000
@@ -35,35 +36,40 @@ def directed(pairs: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """rows with their rank by the distinct key, from 0: ranks within ranges of the key plus the sizes of the ranges before, so no task holds all rows."""
-    least, most, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
-    if not n:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    width = max(1, -(-(most - least + 1) // max(1, -(-n // BUCKET_ROWS))))
-    rows = rows.withColumn("__range", F.floor((F.col(key) - least) / width))
-    sizes = rows.groupBy("__range").agg(F.count("*").alias("__size"))
+    """rows with their rank by the key, from 0: ranks within ranges of about BUCKET_ROWS rows plus the sizes of the ranges before, so no task holds all rows.
+
+    The ranges come from a sample of the keys, so they are even however the keys are spread. Equal keys stay in one range.
+    """
+    inside = lambda w: F.row_number().over(w.orderBy(key))
+    if rows.limit(BUCKET_ROWS + 1).count() <= BUCKET_ROWS:
+        return rows.withColumn(name, (inside(Window.partitionBy()) - 1).cast("long"))
+    rows = storage.keep(rows)
+    ranged = storage.keep(rows.repartitionByRange(-(-rows.count() // BUCKET_ROWS), key).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size"))
     before = sizes.select("__range", F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key))
-    return rows.withColumn("__inside", inside).join(before, "__range").withColumn(name, (F.col("__before") + F.col("__inside") - 1).cast("long")).drop("__range", "__inside", "__before")
+    ranked = ranged.withColumn("__inside", inside(Window.partitionBy("__range"))).join(before, "__range")
+    return ranked.withColumn(name, (F.col("__before") + F.col("__inside") - 1).cast("long")).drop("__range", "__inside", "__before")
 
 
 def used_nodes(drivable: DataFrame) -> DataFrame:
     return drivable.select(F.explode("nodes").alias("osm_id")).distinct()
 
 
-def known_nodes(nodes: DataFrame) -> DataFrame:
-    """One valid location for each node; where a node is repeated, the first by file order if there is a column `seq`, else the least."""
+def known_nodes(nodes: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """One valid location for each node (of used, if given); where a node is repeated, the first by file order if there is a column `seq`, else the least."""
     valid = nodes.filter("lat between -90 and 90 and lon between -180 and 180 and osm_id is not null")
+    if used is not None:  # most nodes of an extract are no road's, and need not be aggregated
+        valid = valid.join(used, "osm_id", "left_semi")
     order = F.struct(*[c for c in ("seq",) if c in nodes.columns], "lat", "lon")
     return valid.groupBy("osm_id").agg(F.min(order).alias("first")).select("osm_id", "first.lat", "first.lon")
 
 
 def missing_coordinates(used: DataFrame, nodes: DataFrame) -> DataFrame:
-    return used.join(known_nodes(nodes), "osm_id", "left_anti")
+    return used.join(known_nodes(nodes, used), "osm_id", "left_anti")
 
 
 def vertices(used: DataFrame, nodes: DataFrame) -> DataFrame:
-    return numbered(used.join(known_nodes(nodes), "osm_id"), "osm_id", "vid").select("vid", "osm_id", "lat", "lon")
+    return numbered(known_nodes(nodes, used), "osm_id", "vid").select("vid", "osm_id", "lat", "lon")
 
 
 def fastest_edges(arcs: DataFrame, vertex: DataFrame) -> DataFrame:
@@ -102,9 +108,9 @@ def with_costs(edges: DataFrame, vertex: DataFrame) -> DataFrame:
 
 def build_graph(ways: DataFrame, nodes: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of ways(way_id, highway, maxspeed, oneway, nodes) and nodes(osm_id, lat, lon)."""
-    drivable = drivable_ways(ways)
+    drivable = storage.keep(drivable_ways(ways))  # read for the check, the vertices and the edges
     used = used_nodes(drivable)
-    if strict and (n := missing_coordinates(used, nodes).count()):
+    vertex = storage.keep(vertices(used, nodes))
+    if strict and (n := used.join(vertex, "osm_id", "left_anti").count()):
         raise ValueError(f"{n} nodes of ways have no coordinates")
-    vertex = vertices(used, nodes)
     return vertex, fastest_edges(directed(segments(drivable)), vertex)

@@ -1,30 +1,49 @@
-"""Shortest paths: a DataFrame fixpoint for graphs of any size, and a kernel for graphs of a checked size."""
+"""Shortest paths: a kernel for graphs of a checked size, and rounds over parts of the graph for any size.
+
+The kernel broadcasts the graph. Pairs are found by bidirectional A* with a consistent potential, many goals of one source by one tree. Beyond
+its size the vertices are cut into parts along a space-filling curve; each part is searched as far as its own edges lead, what leaves it is
+exchanged, and rounds follow the number of parts that a path crosses, not of its hops.
+"""
 
 from __future__ import annotations
 
 import heapq
 import math
-import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Edges that the kernel takes: 24 bytes each in a broadcast, so 96 MB at most. Larger graphs use the fixpoint.
+from roadspark.functions import expr
+from roadspark.operators import build, storage
+
+#: Edges and vertices that the kernel takes: 24 and 16 bytes each in a broadcast, so 160 MB at most. Larger graphs are searched by parts.
 KERNEL_EDGES = 4_000_000
+#: Goals of one source up to which each is searched for by itself.
+FEW_GOALS = 24
+#: Goals of one source that one task searches for.
+GOALS_A_TASK = 4096
+#: Vertices of a part, and sources that are searched from at a time.
+PART_VERTICES, SOURCES_AT_A_TIME = 20_000, 256
 COST = {"time": "time_s", "distance": "dist_m"}
 
 
 class Csr:
     """Out-edges of each vertex, for the kernel."""
 
-    def __init__(self, src: np.ndarray, dst: np.ndarray, cost: np.ndarray, dist: np.ndarray, time: np.ndarray) -> None:
+    def __init__(self, src: np.ndarray, dst: np.ndarray, cost: np.ndarray, dist: np.ndarray, time: np.ndarray, place: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, fastest: float = 1.0) -> None:
         order = np.lexsort((dst, src))
         self.dst, self.cost, self.dist, self.time = dst[order].tolist(), cost[order].tolist(), dist[order].tolist(), time[order].tolist()
         self.size = int(max(src.max(), dst.max())) + 1 if len(src) else 0
+        self.src = src[order].tolist()
         self.begin = np.searchsorted(src[order], np.arange(self.size + 1)).tolist()
+        back = np.argsort(dst[order], kind="stable")
+        self.into, self.into_begin = back.tolist(), np.searchsorted(dst[order][back], np.arange(self.size + 1)).tolist()
+        self.fastest, self.place = fastest, {}
+        if place is not None:
+            self.place = dict(zip(place[0].tolist(), zip(np.radians(place[1]).tolist(), np.radians(place[2]).tolist(), strict=True), strict=True))
 
     def tree(self, source: int, goals: set[int] | None = None) -> tuple[dict[int, float], dict[int, int]]:
         """Settled cost of each vertex reached, and the edge by which; stops when all goals are settled. Ties go to the smaller vertex."""
@@ -46,20 +65,89 @@ class Csr:
                     heapq.heappush(heap, (h, v))
         return done, via
 
-    def tail(self, edge: int) -> int:
-        return int(np.searchsorted(self.begin, edge, side="right")) - 1
-
-    def path(self, via: dict[int, int], goal: int) -> tuple[list[int], float, float]:
-        nodes, time, dist = [goal], 0.0, 0.0
-        while (e := via[nodes[-1]]) >= 0:
-            time, dist = time + self.time[e], dist + self.dist[e]
-            nodes.append(self.tail(e))
-        return nodes[::-1], time, dist
-
-
-def _broadcast_graph(costed: DataFrame, metric: str):
+    def _metres(self, a: int, b: int) -> float:
+        (lat1, lon1), (lat2, lon2) = self.place[a], self.place[b]
+        x = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
+        return 2 * expr.EARTH_M * math.asin(min(1.0, math.sqrt(x)))
+
+    def meet(self, source: int, goal: int, metric: str) -> list[int] | None:
+        """The edges of a shortest path between two vertices by bidirectional A*; null where there is none.
+
+        Both searches use one potential, half the difference of the bounds to the goal and from the source, forwards with one sign and
+        backwards with the other. The bounds are great circles, over the highest speed of the graph for time, so reduced costs aren't
+        negative, and the search ends when the least keys of both sides together reach the best meeting. Ties go forwards, then to the smaller vertex.
+        """
+        if source == goal:
+            return []
+        if source >= self.size or goal >= self.size:
+            return None
+        bound = (lambda a, b: self._metres(a, b)) if metric == "distance" else (lambda a, b: self._metres(a, b) / self.fastest)
+        known: dict[int, float] = {}
+
+        def potential(v: int) -> float:
+            if v not in known:
+                known[v] = (bound(v, goal) - bound(source, v)) / 2 if self.place else 0.0
+            return known[v]
+
+        best = ({source: 0.0}, {goal: 0.0})
+        via: tuple[dict[int, int], dict[int, int]] = ({source: -1}, {goal: -1})
+        done: tuple[set[int], set[int]] = (set(), set())
+        heaps = ([(potential(source), source)], [(-potential(goal), goal)])
+        length, middle = math.inf, -1
+        while heaps[0] and heaps[1] and heaps[0][0][0] + heaps[1][0][0] < length:
+            side = 0 if heaps[0][0][0] <= heaps[1][0][0] else 1
+            _, u = heapq.heappop(heaps[side])
+            if u in done[side]:
+                continue
+            done[side].add(u)
+            g, sign = best[side][u], 1 - 2 * side
+            ends, begin = (self.dst, self.begin) if side == 0 else (self.src, self.into_begin)
+            for k in range(begin[u], begin[u + 1]):
+                e = k if side == 0 else self.into[k]
+                v, h = ends[e], g + self.cost[e]
+                if h < best[side].get(v, math.inf):
+                    best[side][v], via[side][v] = h, e
+                    heapq.heappush(heaps[side], (h + sign * potential(v), v))
+                    if (whole := h + best[1 - side].get(v, math.inf)) < length:
+                        length, middle = whole, v
+        if middle < 0:
+            return None
+        edges, v = [], middle
+        while (e := via[0][v]) >= 0:
+            edges.append(e)
+            v = self.src[e]
+        edges, v = edges[::-1], middle
+        while (e := via[1][v]) >= 0:
+            edges.append(e)
+            v = self.dst[e]
+        return edges
+
+    def edges_to(self, via: dict[int, int], goal: int) -> list[int]:
+        edges = []
+        while (e := via[goal]) >= 0:
+            edges.append(e)
+            goal = self.src[e]
+        return edges[::-1]
+
+    def totals(self, edges: list[int]) -> tuple[float, float]:
+        return sum((self.time[e] for e in edges), 0.0), sum((self.dist[e] for e in edges), 0.0)
+
+    def found(self, source: int, goals: list[int], metric: str) -> dict[int, list[int]]:
+        """The edges to each goal that is reached."""
+        if len(goals) <= FEW_GOALS:
+            return {g: e for g in goals if (e := self.meet(source, g, metric)) is not None}
+        done, via = self.tree(source, set(goals))
+        return {g: self.edges_to(via, g) for g in goals if g in done}
+
+
+def _broadcast_graph(costed: DataFrame, metric: str, vertex: DataFrame | None = None):
     pdf = costed.filter("src <> dst").select("src", "dst", "dist_m", "time_s").toPandas()
     arrays = [pdf[c].to_numpy() for c in ("src", "dst", COST[metric], "dist_m", "time_s")]
+    if vertex is not None:
+        place = vertex.select("vid", "lat", "lon").toPandas()
+        timed = arrays[4] > 0
+        fastest = float((arrays[3][timed] / arrays[4][timed]).max(initial=expr.MIN_SPEED_MPS)) * (1 + 1e-9)
+        arrays += [tuple(place[c].to_numpy() for c in ("vid", "lat", "lon")), fastest]
     return uuid.uuid4().hex, costed.sparkSession.sparkContext.broadcast(arrays)
 
 
@@ -75,101 +163,181 @@ def _graph(shared) -> Csr:
     return _READY[key]
 
 
-def fits_kernel(costed: DataFrame) -> bool:
-    return costed.count() <= KERNEL_EDGES
+def fits_kernel(costed: DataFrame, vertex: DataFrame | None = None) -> bool:
+    return costed.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES and (vertex is None or vertex.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES)
 
 
-def from_sources(costed: DataFrame, sources: DataFrame, metric: str = "time", method: str = "auto") -> DataFrame:
-    """(src, v, cost): the least cost from each of sources(src) to every vertex it reaches."""
-    if method == "fixpoint" or method == "auto" and not fits_kernel(costed):
-        return fixpoint(costed, sources, metric)
+def check_metric(costed: DataFrame, metric: str) -> None:
+    """Times need speeds: an edge without one makes a search by time an error."""
+    if metric not in COST:
+        raise ValueError("metric is time or distance")
+    if metric == "time" and "speed_mps" in costed.columns and not costed.filter("speed_mps is null").isEmpty():
+        raise ValueError("the graph has edges without speed, so only distance can be searched")
+
+
+def from_sources(costed: DataFrame, sources: DataFrame, metric: str = "time", method: str = "auto", goals: DataFrame | None = None) -> DataFrame:
+    """(src, v, cost, time_s, dist_m): the least cost from each of sources(src) to every vertex it reaches, or to goals(v) alone, and both totals of the same path."""
+    check_metric(costed, metric)
+    spark = costed.sparkSession
+    costed = storage.keep(costed.select("src", "dst", "dist_m", "time_s"))
+    wanted = None if goals is None else goals.select("v").distinct()
+    if method == "parts" or method == "auto" and (not fits_kernel(costed) or wanted is not None and wanted.limit(GOALS_A_TASK + 1).count() > GOALS_A_TASK):
+        state = by_parts(costed, sources, metric)
+        return (state if wanted is None else state.join(wanted, "v", "left_semi")).select("src", "v", "cost", "time_s", "dist_m")
     shared = _broadcast_graph(costed, metric)
+    targets = None if wanted is None else [r.v for r in wanted.collect()]  # GOALS_A_TASK at most
 
     def run(batches):
+        graph = None
         for pdf in batches:
+            graph = graph or _graph(shared)
             for source in pdf["src"].tolist():
-                cost, _ = _graph(shared).tree(source)
-                yield pd.DataFrame({"src": source, "v": list(cost), "cost": list(cost.values())})
+                done, via = graph.tree(source, None if targets is None else set(targets))
+                time, dist = {source: 0.0}, {source: 0.0}
+                for v in done:  # in the order in which they were settled
+                    if (e := via[v]) >= 0:
+                        time[v], dist[v] = time[graph.src[e]] + graph.time[e], dist[graph.src[e]] + graph.dist[e]
+                out = list(done) if targets is None else [v for v in targets if v in done]
+                yield pd.DataFrame({"src": source, "v": out, "cost": [done[v] for v in out], "time_s": [time[v] for v in out], "dist_m": [dist[v] for v in out]})
 
     spread = sources.select("src").distinct()
-    return spread.repartition(max(1, min(spread.count(), 4096)), "src").mapInPandas(run, "src long, v long, cost double")
-
-
-def _lasting(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that the session names, or one of its own where it names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadspark-"))
-    return df.checkpoint()
-
-
-def fixpoint(costed: DataFrame, sources: DataFrame, metric: str = "time", bound: DataFrame | None = None) -> DataFrame:
-    """The same by rounds of relaxation of the improved rows alone, each round a checkpoint."""
-    edges = costed.filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("w"), F.col(COST[metric]).alias("c"))
-    edges = edges.persist()
-    state = _lasting(sources.select("src", F.col("src").alias("v"), F.lit(0.0).alias("cost"), F.lit(True).alias("new")).distinct())
-    while not state.filter("new").isEmpty():
-        offers = state.filter("new").join(edges, F.col("v") == F.col("u")).groupBy("src", F.col("w").alias("v")).agg(F.min(F.col("cost") + F.col("c")).alias("offer"))
-        joined = state.join(offers, ["src", "v"], "full")
-        better = F.col("offer").isNotNull() & (F.col("cost").isNull() | (F.col("offer") < F.col("cost")))
-        state = _lasting(joined.select("src", "v", F.when(better, F.col("offer")).otherwise(F.col("cost")).alias("cost"), better.alias("new")))
-    edges.unpersist()
-    return state.select("src", "v", "cost")
-
-
-def _far_routes(costed: DataFrame, known: DataFrame, metric: str, full: bool) -> DataFrame:
-    """(qid, time_s, dist_m, n_nodes, path) by joins alone: a fixpoint that keeps the vertex before, then steps back from the goals."""
-    edges = costed.filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("w"), F.col(COST[metric]).alias("c"), "time_s", "dist_m")
-    edges = edges.persist()
-    hop = F.struct("cost", "u", "time_s", "dist_m")
-    start = known.select("src", F.col("src").alias("v")).distinct()
-    none = F.lit(None)
-    state = _lasting(start.withColumn("m", F.struct(F.lit(0.0).alias("cost"), none.cast("long").alias("u"), F.lit(0.0).alias("time_s"), F.lit(0.0).alias("dist_m"))).withColumn("new", F.lit(True)))
-    while not state.filter("new").isEmpty():
-        reached = state.filter("new").select("src", F.col("v").alias("u"), F.col("m.cost").alias("g")).join(edges, "u").withColumn("cost", F.col("g") + F.col("c"))
-        offers = reached.groupBy("src", F.col("w").alias("v")).agg(F.min(hop).alias("offer"))
-        better = F.col("offer").isNotNull() & (F.col("m").isNull() | (F.col("offer.cost") < F.col("m.cost")))
-        both = state.drop("new").join(offers, ["src", "v"], "full")
-        state = _lasting(both.select("src", "v", F.when(better, F.col("offer")).otherwise(F.col("m")).alias("m"), better.alias("new")))
-    back = state.select("src", "v", F.col("m.u").alias("u"), "m.time_s", "m.dist_m").persist()
-    at = known.select("qid", "src", F.col("dst").alias("v"), F.lit(0).alias("step")).join(state.select("src", "v"), ["src", "v"])
-    at, steps = _lasting(at), []
+    tasks = max(1, min(spread.count(), 4096))
+    return spread.repartition(tasks, "src").mapInPandas(run, "src long, v long, cost double, time_s double, dist_m double")
+
+
+def _parts(spark: SparkSession, costed: DataFrame, vertex: DataFrame | None) -> DataFrame:
+    """(vid, part): parts of PART_VERTICES vertices along the Z-order of their places, or of their numbers where no places are given."""
+    if vertex is None:
+        ends = costed.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+        return ends.select("vid", F.floor(F.col("vid") / PART_VERTICES).cast("long").alias("part"))
+    curve = expr.z_order(F.col("lat"), F.col("lon"))
+    ranked = build.numbered(vertex.select("vid", curve.alias("z")), "z", "rank")
+    return ranked.select("vid", F.floor(F.col("rank") / PART_VERTICES).cast("long").alias("part"))
+
+
+EDGES = ["src", "dst", "to", "cost", "time_s", "dist_m"]
+STATE = "part long, src long, v long, u long, cost double, time_s double, dist_m double, inner boolean"
+
+
+def _search_part(key: tuple, state: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Labels of a part after its own edges are used up, and the offers to other parts that better labels give.
+
+    state holds known labels (inner) and offers; a label that is no better than a known one brings nothing.
+    """
+    order = np.argsort(edges["src"].to_numpy(), kind="stable")
+    src, dst, to, cost, time, dist = (edges[c].to_numpy()[order].tolist() for c in EDGES)
+    begin: dict[int, int] = {}
+    for i, s in enumerate(src):
+        begin.setdefault(s, i)
+    out = []
+    for source, own in state.groupby("src"):
+        best: dict[int, tuple] = {}
+        fresh: set[int] = set()
+        for v, u, c, t, d, inner in own.sort_values(["inner", "cost"], ascending=[False, True])[["v", "u", "cost", "time_s", "dist_m", "inner"]].itertuples(index=False):
+            if v not in best or c < best[v][0]:
+                best[v] = (c, u, t, d)
+                if not inner:
+                    fresh.add(v)
+        heap = [(best[v][0], v) for v in fresh]
+        heapq.heapify(heap)
+        done: set[int] = set()
+        offers: dict[tuple[int, int], tuple] = {}
+        while heap:
+            c, u = heapq.heappop(heap)
+            if u in done or c > best[u][0]:
+                continue
+            done.add(u)
+            _, _, t, d = best[u]
+            i = begin.get(u, len(src))
+            while i < len(src) and src[i] == u:
+                v, new = dst[i], (c + cost[i], u, t + time[i], d + dist[i])
+                if to[i] != key[0]:
+                    if (to[i], v) not in offers or new[0] < offers[to[i], v][0]:
+                        offers[to[i], v] = new
+                elif v not in best or new[0] < best[v][0]:
+                    best[v] = new
+                    heapq.heappush(heap, (new[0], v))
+                i += 1
+        out += [(key[0], source, v, *best[v], True) for v in best]
+        out += [(p, source, v, *new, False) for (p, v), new in offers.items()]
+    names = ["part", "src", "v", "cost", "u", "time_s", "dist_m", "inner"]
+    return pd.DataFrame(out, columns=names)[["part", "src", "v", "u", "cost", "time_s", "dist_m", "inner"]].astype({"u": "Int64"})
+
+
+def by_parts(costed: DataFrame, sources: DataFrame, metric: str = "time", vertex: DataFrame | None = None) -> DataFrame:
+    """(src, v, u, cost, time_s, dist_m): the least cost from each of sources(src) to every vertex it reaches, the vertex before it, and both totals.
+
+    Each round searches every part that got offers, and writes its labels; a part without offers is carried over as it is.
+    """
+    spark = costed.sparkSession
+    store = storage.Store(spark)
+    parts = store.keep(_parts(spark, costed, vertex))
+    at = lambda end, name: parts.select(F.col("vid").alias(end), F.col("part").alias(name))
+    edges = costed.filter("src <> dst").select("src", "dst", F.col(COST[metric]).alias("cost"), "time_s", "dist_m").join(at("src", "part"), "src").join(at("dst", "to"), "dst")
+    edges = store.keep(edges.select("part", *EDGES))
+    first = sources.select("src").distinct().join(at("src", "part"), "src", "left").withColumn("part", F.coalesce("part", F.lit(-1)))
+    start = first.select("part", "src", F.col("src").alias("v"), F.lit(None).cast("long").alias("u"), *[F.lit(0.0).alias(c) for c in ("cost", "time_s", "dist_m")], F.lit(False).alias("inner"))
+    chunk = F.pmod(F.xxhash64("src"), F.lit(max(1, -(-start.count() // SOURCES_AT_A_TIME))))
+    state = store.keep(start)
+    while not state.filter("not inner").isEmpty():
+        better = state.groupBy("src", "v").agg(F.min_by("inner", F.struct("cost", (~F.col("inner")).alias("o"))).alias("known")).filter("not known").select("src", "v")
+        # Offers that are no better than what is known go now, so that their parts aren't searched.
+        offers = state.filter("not inner").join(better, ["src", "v"], "left_semi")
+        labels = state.filter("inner")
+        open_parts = offers.select("part", chunk.alias("chunk")).distinct()
+        work = labels.unionByName(offers).withColumn("chunk", chunk)
+        busy = work.join(F.broadcast(open_parts) if open_parts.limit(100_001).count() <= 100_000 else open_parts, ["part", "chunk"], "left_semi")
+        idle = labels.withColumn("chunk", chunk).join(open_parts, ["part", "chunk"], "left_anti").drop("chunk")
+        spread = open_parts.select(F.col("part").alias("of"), F.col("chunk").alias("of_chunk")).join(edges.withColumnRenamed("part", "of"), "of")
+        done = busy.groupBy("part", "chunk").cogroup(spread.groupBy("of", "of_chunk")).applyInPandas(_search_part, STATE)
+        state = store.keep(idle.unionByName(done), instead_of=state)
+    return state.select("src", "v", "u", "cost", "time_s", "dist_m")
+
+
+def _far_routes(costed: DataFrame, known: DataFrame, metric: str, full: bool, vertex: DataFrame) -> DataFrame:
+    """(qid, time_s, dist_m, n_nodes, path) by parts, then steps back from the goals."""
+    store = storage.Store(costed.sparkSession)
+    state = store.keep(by_parts(costed, known.select("src"), metric, vertex))
+    goal = known.join(state.select("src", F.col("v").alias("dst"), "time_s", "dist_m"), ["src", "dst"]).select("qid", "src", "dst", "time_s", "dist_m")
+    at = store.keep(goal.select("qid", "src", F.col("dst").alias("v"), F.lit(0).alias("step")))
+    steps = []
     while not at.isEmpty():
-        taken = _lasting(at.join(back, ["src", "v"]))
-        steps.append(taken)
-        at = taken.filter("u is not null").select("qid", "src", F.col("u").alias("v"), (F.col("step") + 1).alias("step"))
+        steps.append(at)
+        before = at.join(state.select("src", "v", "u"), ["src", "v"]).filter("u is not null")
+        at = store.keep(before.select("qid", "src", F.col("u").alias("v"), (F.col("step") + 1).alias("step")))
     if not steps:
-        return at.select("qid", F.lit(0.0).alias("time_s"), F.lit(0.0).alias("dist_m"), F.lit(0).alias("n_nodes"), F.array(F.lit(0).cast("long")).alias("path"))
+        return goal.select("qid", "time_s", "dist_m", F.lit(0).alias("n_nodes"), F.array(F.lit(0).cast("long")).alias("path"))
     hops = steps[0]
     for more in steps[1:]:
         hops = hops.unionByName(more)
     path = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("step", "v")))), lambda h: h["v"])
-    found = hops.groupBy("qid").agg(F.sum("time_s").alias("time_s"), F.sum("dist_m").alias("dist_m"), F.count("*").cast("int").alias("n_nodes"), path.alias("path"))
-    return found if full else found.withColumn("path", none.cast("array<long>"))
+    found = goal.join(hops.groupBy("qid").agg(F.count("*").cast("int").alias("n_nodes"), path.alias("path")), "qid").select("qid", "time_s", "dist_m", "n_nodes", "path")
+    return found if full else found.withColumn("path", F.lit(None).cast("array<long>"))
 
 
 def routes(costed: DataFrame, vertex: DataFrame, queries: DataFrame, metric: str = "time", full: bool = True) -> DataFrame:
     """(qid, src, dst, time_s, dist_m, n_nodes, path) for queries(qid, src, dst); nulls where there is no route or an id is unknown."""
-    if metric not in COST:
-        raise ValueError("metric is time or distance")
+    check_metric(costed, metric)
     known = queries.join(vertex.select(F.col("vid").alias("src")), "src", "left_semi").join(vertex.select(F.col("vid").alias("dst")), "dst", "left_semi")
-    costed = _lasting(costed.select("src", "dst", "dist_m", "time_s"))  # counted and then read again
-    if not fits_kernel(costed):
-        found = _far_routes(costed, known, metric, full)
+    costed = storage.keep(costed.select("src", "dst", "dist_m", "time_s"))  # counted and then read again
+    if not fits_kernel(costed, vertex):
+        found = _far_routes(costed, known, metric, full, vertex)
         return queries.join(found, "qid", "left").select("qid", "src", "dst", "time_s", "dist_m", "n_nodes", "path")
-    shared = _broadcast_graph(costed, metric)
+    shared = _broadcast_graph(costed, metric, vertex)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         graph, source = _graph(shared), int(pdf["src"].iloc[0])
-        done, via = graph.tree(source, set(pdf["dst"].tolist()))
-        out = []
+        found, out = graph.found(source, sorted(set(pdf["dst"].tolist())), metric), []
         for qid, goal in zip(pdf["qid"].tolist(), pdf["dst"].tolist(), strict=True):
-            if goal in done:
-                path, time, dist = graph.path(via, goal)
-                out.append((qid, time, dist, len(path), path if full else None))
+            if goal in found:
+                edges = found[goal]
+                out.append((qid, *graph.totals(edges), len(edges) + 1, [source, *(graph.dst[e] for e in edges)] if full else None))
         return pd.DataFrame(out, columns=["qid", "time_s", "dist_m", "n_nodes", "path"])
 
-    found = known.groupBy("src").applyInPandas(run, "qid long, time_s double, dist_m double, n_nodes int, path array<long>")
+    # A source with very many goals is split by goals; few goals of one source stay together.
+    many = known.groupBy("src").agg(F.ceil(F.count("*") / GOALS_A_TASK).cast("int").alias("splits"))
+    dealt = known.join(many, "src").withColumn("split", F.pmod(F.xxhash64("dst"), F.col("splits")).cast("int"))
+    found = dealt.groupBy("src", "split").applyInPandas(run, "qid long, time_s double, dist_m double, n_nodes int, path array<long>")
     return queries.join(found, "qid", "left").select("qid", "src", "dst", "time_s", "dist_m", "n_nodes", "path")
 
 
@@ -192,17 +360,21 @@ def k_hops(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     return reached.groupBy("src", "v").agg(F.min("hops").alias("hops"))
 
 
-def matrix(costed: DataFrame, stops: DataFrame, compat_unreachable: bool = False) -> DataFrame:
-    """(i, j, time_ms, dist_mm) between all stops(i, vid) by least time: thousandths, truncated; null where there is no route, or -1000 if asked for."""
+def milli(value: Column) -> Column:
+    """Thousandths, truncated, of a number with six decimals."""
+    return (F.round(value, 6) * 1000).cast("long")
+
+
+def matrix(costed: DataFrame, stops: DataFrame, metric: str = "time", compat_unreachable: bool = False) -> DataFrame:
+    """(i, j, time_ms, dist_mm) between all stops(i, vid): both totals of the path that is least by the metric, in thousandths, truncated; null where there is no route, or -1000 if asked for."""
     sources = stops.select(F.col("vid").alias("src"))
-    cost = from_sources(costed, sources, "time").withColumnRenamed("cost", "time")
-    length = from_sources(costed, sources, "distance").withColumnRenamed("cost", "dist")
+    least = from_sources(costed, sources, metric, goals=stops.select(F.col("vid").alias("v")))
     a, b = stops.select("i", F.col("vid").alias("src")), stops.select(F.col("i").alias("j"), F.col("vid").alias("v"))
-    pairs = a.join(cost.join(length, ["src", "v"]), "src").join(b, "v").select("i", "j", "time", "dist")
+    pairs = a.join(least, "src").join(b, "v").select("i", "j", "time_s", "dist_m")
     every = a.select("i").join(b.select("j"), F.lit(True))  # stops are few: a matrix has a cell for each pair by definition
-    milli = lambda c: F.coalesce((F.round(c, 6) * 1000).cast("long"), F.lit(-1000) if compat_unreachable else F.lit(None))
-    same = F.col("i") == F.col("j")
-    return every.join(pairs, ["i", "j"], "left").select("i", "j", F.when(same, 0).otherwise(milli(F.col("time"))).alias("time_ms"), F.when(same, 0).otherwise(milli(F.col("dist"))).alias("dist_mm"))
+    none = F.lit(-1000) if compat_unreachable else F.lit(None).cast("long")
+    cell = lambda c: F.when(F.col("i") == F.col("j"), 0).otherwise(F.coalesce(milli(F.col(c)), none)).cast("long")
+    return every.join(pairs, ["i", "j"], "left").select("i", "j", cell("time_s").alias("time_ms"), cell("dist_m").alias("dist_mm"))
 
 
 def nearest(points: DataFrame, vertex: DataFrame, cell: float = 0.002) -> DataFrame:
@@ -211,26 +383,20 @@ def nearest(points: DataFrame, vertex: DataFrame, cell: float = 0.002) -> DataFr
     Vertices are bucketed in a grid, and each point looks at the ring of cells around it; points for which the ring holds no
     vertex closer than its own edge look again with cells sixteen times as wide, until all are found. Points without coordinates have no row.
     """
-    spark, found = points.sparkSession, None
     if vertex.isEmpty():
         return points.select("id", F.lit(0).cast("long").alias("vid"), F.lit(None).cast("double").alias("d2"))
+    store, found = storage.Store(points.sparkSession), None
     left, width = points.select("id", "lat", "lon"), cell
     while True:
         at = lambda c, w=width: F.floor(F.col(c) / w)
         grid = vertex.select("vid", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), at("lat").alias("gy"), at("lon").alias("gx"))
         near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
         probe = left.withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)).withColumn("gy", at("lat") + F.col("dy")).withColumn("gx", at("lon") + F.col("dx"))
-        d2 = (F.col("v_lon") - F.col("lon")) * (F.col("v_lon") - F.col("lon")) + (F.col("v_lat") - F.col("lat")) * (F.col("v_lat") - F.col("lat"))
+        d2 = expr.degrees_squared(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon"))
         best = probe.join(grid, ["gy", "gx"]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), F.col("vid"))).alias("m")).select("id", "m.vid", "m.d2")
-        sure = _lasting(best.filter(F.sqrt("d2") <= width))
+        sure = store.keep(best.filter(F.sqrt("d2") <= width))
         found = sure if found is None else found.unionByName(sure)
-        left = _lasting(left.join(sure.select("id"), "id", "left_anti"))
+        left = store.keep(left.join(sure.select("id"), "id", "left_anti"))
         if width > 720 or left.isEmpty():
             return found
         width *= 16
-
-
-def edge_lag(found: DataFrame) -> DataFrame:
-    """(qid, pos, u, v) of each hop of paths(qid, path)."""
-    rows = found.select("qid", F.posexplode("path").alias("pos", "v"))
-    return rows.withColumn("u", F.lag("v").over(Window.partitionBy("qid").orderBy("pos"))).filter("u is not null").select("qid", "pos", "u", "v")

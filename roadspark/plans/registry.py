@@ -144,7 +144,7 @@ def sssp_time(spark, d):
 
 @query(_sssp_sql("time_s"))
 def sssp_fixpoint(spark, d):
-    return _sssp(spark, d, "time", "fixpoint")
+    return _sssp(spark, d, "time", "parts")
 
 
 ROUTED = "SELECT s_suppkey AS qid, CASE WHEN s_suppkey % 11 = 10 THEN -1 ELSE (s_suppkey * 13) % 97 END AS src, (s_suppkey * 31) % 89 AS dst FROM supplier"

@@ -1,6 +1,10 @@
 """Unit, property, differential and round-trip tests of the road network operators, and of every registered query against its SQL."""
 
+import itertools
+import math
 import os
+import random
+import time
 
 import duckdb
 import pytest
@@ -90,11 +94,14 @@ def test_numbering_over_many_ranges(spark, monkeypatch):
     assert {r.k: r.n for r in got} == {k: n for n, k in enumerate(sorted(ids))}
 
 
-def test_fixpoint_equals_kernel(spark, graph):
+@pytest.mark.parametrize(("part", "places"), [(20_000, False), (30, False), (30, True)])
+def test_parts_equal_kernel(spark, graph, monkeypatch, part, places):
+    monkeypatch.setattr(paths, "PART_VERTICES", part)
+    monkeypatch.setattr(paths, "SOURCES_AT_A_TIME", 1)
     start = spark.createDataFrame([(0,), (17,)], "src long")
     cost = graph.costed()
     for metric in ("time", "distance"):
-        a = {(r.src, r.v): round(r.cost, 6) for r in paths.fixpoint(cost, start, metric).collect()}
+        a = {(r.src, r.v): round(r.cost, 6) for r in paths.by_parts(cost, start, metric, graph.vertices if places else None).collect()}
         b = {(r.src, r.v): round(r.cost, 6) for r in paths.from_sources(cost, start, metric).collect()}
         assert a == b and len(a) > 200
 
@@ -136,31 +143,41 @@ def test_nearest_far_away(spark, graph):
     assert got == pytest.approx(want)
 
 
-def test_tours():
-    import random
+def every_tour(cost, n):
+    return min(tours.tour_cost(cost, [0, *p]) for p in itertools.permutations(range(1, n)))
+
 
+def test_tours():
     rng = random.Random(3)
     for n in range(2, 8):
         cost = {(i, j): rng.randint(1, 99) for i in range(n) for j in range(n)}
         order = tours.solve_tour(cost, n)
         assert sorted(order) == list(range(n)) and order[0] == 0
-        assert tours.tour_cost(cost, order) == tours.every_tour(cost, n)
-    n = 20
-    cost = {(i, j): rng.randint(1, 99) for i in range(n) for j in range(n)}
-    assert sorted(tours.solve_tour(cost, n)) == list(range(n))
+        assert tours.tour_cost(cost, order) == every_tour(cost, n)
     assert tours.solve_tour({}, 1) == [0]
 
 
-def test_improve_goes_on_until_no_move_helps(monkeypatch):
-    calls = []
+@pytest.mark.parametrize("n", [3, 5, 14, 25])
+def test_improve_goes_on_until_no_move_helps(n):
+    rng = random.Random(n)
+    cost = {(i, j): rng.randint(1, 999) for i in range(n) for j in range(n)}
+    best = tours.improve(cost, list(range(n)))
+    value = tours.tour_cost(cost, best)
+    assert sorted(best) == list(range(n)) and best[0] == 0 and value <= tours.tour_cost(cost, list(range(n)))
+    for i in range(1, n):
+        for j in range(i, n):
+            assert tours.tour_cost(cost, best[:i] + best[i : j + 1][::-1] + best[j + 1 :]) >= value
+            if j - i < 3:
+                rest = best[:i] + best[j + 1 :]
+                assert min(tours.tour_cost(cost, rest[:k] + best[i : j + 1] + rest[k:]) for k in range(1, len(rest) + 1)) >= value
 
-    def falling(cost, order):
-        calls.append(0)
-        return -len(calls) if len(calls) < 3000 else 0
 
-    monkeypatch.setattr(tours, "tour_cost", falling)
-    tours.improve({}, [0, 1, 2])
-    assert len(calls) >= 3000
+def test_large_tour_ends_soon():
+    rng = random.Random(1)
+    places = [(rng.random(), rng.random()) for _ in range(300)]
+    cost = {(i, j): int(1e6 * math.dist(a, b)) for i, a in enumerate(places) for j, b in enumerate(places)}
+    began = time.time()
+    assert tours.tour_cost(cost, tours.solve_tour(cost, 300)) < 16e6 and time.time() - began < 60
 
 
 def test_sample_tour_and_plan(spark, graph):
@@ -172,10 +189,68 @@ def test_sample_tour_and_plan(spark, graph):
     plan = graph.vrp(orders, fleet).collect()
     assert sorted(r.stop for r in plan if r.stop) == [1, 2, 3]
     assert max(r.load for r in plan if r.vehicle_id == 1) <= 50 and max((r.load for r in plan if r.vehicle_id == 2), default=0) <= 30
+    routes = files.parse_results(graph.vrp_report(orders, fleet))
+    assert len(routes) == len({r.vehicle_id for r in plan}) and all(r["nodes"][0] == r["nodes"][-1] == r["targets"][0][0] for r in routes)
     with pytest.raises(Exception, match="fits no vehicle"):
         graph.vrp(orders, spark.createDataFrame([(1, 10)], "vehicle_id int, capacity long")).collect()
 
 
+def test_both_totals_are_of_one_path(spark, graph):
+    points = spark.createDataFrame([(k, 55 + k * 0.007 + 0.0003, 37.0003 + (k % 3) / 1000) for k in range(6)], "id int, lat double, lon double")
+    stops = {r.i: r.vid for r in graph.stops(points).collect()}
+    for metric in ("time", "distance"):
+        q = spark.createDataFrame([(10 * i + j, a, b) for i, a in stops.items() for j, b in stops.items()], "qid long, src long, dst long")
+        own = {(r.qid // 10, r.qid % 10): r for r in graph.route(q, metric).collect()}
+        for r in graph.matrix(points, metric).collect():
+            route = own[r.i, r.j]
+            cell, total = (r.time_ms, route.time_s) if metric == "time" else (r.dist_mm, route.dist_m)
+            assert abs(cell - 1000 * total) <= 1.001 or r.i == r.j
+    tour = graph.tsp(points, "distance", full=True).orderBy("pos").collect()
+    assert sum(r.leg_dist_mm for r in tour) == tour[0].total and all(a.path[-1] == b.path[0] for a, b in zip(tour, [*tour[1:], tour[0]], strict=True))
+    cells = graph.matrix(points, "distance").withColumn("problem", F.lit(0).cast("long"))
+    totals = tours.tour_totals(graph.tsp(points, "distance").withColumn("problem", F.lit(0).cast("long")), cells).first()
+    assert totals.dist_mm == tour[0].total and totals.time_ms == sum(r.leg_time_ms for r in tour)
+    text = graph.tsp_report(points, "distance", full=True)
+    routes = files.parse_results(text)
+    assert [r["nodes"] for r in routes] == [r.path for r in tour] and [t[0] for t in routes[0]["targets"]] == [r.vid for r in tour]
+    assert "Optimized by: DISTANCE" in text and "Full routes" not in graph.tsp_report(points)
+
+
+def test_meeting_searches_equal_trees(spark, graph):
+    key, shared = paths._broadcast_graph(graph.costed(), "time", graph.vertices)
+    for metric, cost in (("time", "time_s"), ("distance", "dist_m")):
+        arrays = list(shared.value)
+        arrays[2] = arrays[4 if metric == "time" else 3]
+        csr = paths.Csr(*arrays)
+        for source in range(0, csr.size, 17):
+            done, _ = csr.tree(source)
+            for goal in range(0, csr.size, 13):
+                edges = csr.meet(source, goal, metric)
+                assert (edges is None) == (goal not in done)
+                if edges is not None:
+                    assert sum(csr.cost[e] for e in edges) == pytest.approx(done[goal])
+                    assert not edges or csr.src[edges[0]] == source
+                    assert all(csr.dst[a] == csr.src[b] for a, b in zip(edges, edges[1:], strict=False)) and (not edges or csr.dst[edges[-1]] == goal)
+
+
+def test_time_needs_speeds(spark):
+    vertex = spark.createDataFrame([(0, 1, 1.0, 1.0), (1, 2, 1.0, 1.1)], "vid long, osm_id long, lat double, lon double")
+    g = RoadGraph(vertex, spark.createDataFrame([(0, 1, None)], "src long, dst long, speed_mps float"))
+    q = spark.createDataFrame([(1, 0, 1)], "qid long, src long, dst long")
+    with pytest.raises(ValueError, match="without speed"):
+        g.route(q)
+    with pytest.raises(ValueError, match="time or distance"):
+        g.route(q, "hops")
+    assert g.route(q, "distance").first().dist_m > 10_000
+
+
+def test_coordinate_pairs(spark, graph):
+    pairs = spark.createDataFrame([(7, 55.0, 37.0, 55.01, 37.001), (8, None, None, 55.0, 37.0), (9, 55.01, 37.001, 55.0, 37.0)], "qid long, lat double, lon double, lat2 double, lon2 double")
+    got = {r.qid: r for r in graph.route(pairs, "distance", full=True).collect()}
+    assert sorted(got) == [7, 8, 9] and got[8].path is None and got[7].path[0] == got[9].path[-1] and got[7].path[-1] == got[9].path[0]
+    assert graph.route(pairs.drop("qid").repartition(3), "distance").filter("dist_m is not null").count() == 2
+
+
 def test_unreachable_pair(spark):
     vertex = spark.createDataFrame([(0, 1, 1.0, 1.0), (1, 2, 1.0, 1.1)], "vid long, osm_id long, lat double, lon double")
     edges = spark.createDataFrame([(0, 1, 10.0)], "src long, dst long, speed_mps float")
