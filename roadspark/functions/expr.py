@@ -141,18 +141,48 @@ def tier_of_zoom(zoom: Column, has_speeds: bool = True) -> Column:
     return 4 - level_of_zoom(zoom) if has_speeds else F.lit(0)
 
 
-# Fixed drawing values by tier 0..4, and the two route palettes' sizes.
+# Fixed drawing values: width and colour (red, green, blue) by tier, and the two route palettes.
 TIER_WIDTHS = {4: 1.35, 3: 1.15, 2: 0.95, 1: 0.78, 0: 0.62}
-ROUTE_COLOURS, DRAWN_COLOURS = 10, 8
+TIER_COLOURS = {4: (126, 130, 140), 3: (108, 112, 122), 2: (92, 96, 106), 1: (72, 76, 86), 0: (55, 58, 67)}
+ROUTE_PALETTE = [
+    (74, 144, 226), (80, 190, 170), (156, 120, 210), (230, 145, 72), (105, 185, 110), (214, 105, 135), (88, 170, 205), (218, 190, 85),
+    (170, 135, 100), (130, 160, 230),
+]
+DRAWN_PALETTE = [(74, 144, 226), (64, 196, 178), (155, 119, 212), (241, 159, 84), (112, 173, 96), (226, 116, 116), (91, 170, 216), (226, 198, 74)]
+ROUTE_COLOURS, DRAWN_COLOURS = len(ROUTE_PALETTE), len(DRAWN_PALETTE)
+
+
+def _rgb(colour: tuple[int, int, int]) -> Column:
+    return F.struct(*[F.lit(v).alias(n) for n, v in zip(("r", "g", "b"), colour, strict=True)])
 
 
 def tier_width(tier: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for p in TIER_WIDTHS.items() for x in p]), tier)
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in TIER_WIDTHS.items() for x in p]), F.greatest(F.lit(0), F.least(F.lit(4), tier)))
+
+
+def tier_colour(tier: Column) -> Column:
+    """(r, g, b) of a tier."""
+    return F.get(F.array(*[_rgb(TIER_COLOURS[k]) for k in range(5)]), F.greatest(F.lit(0), F.least(F.lit(4), tier)))
 
 
 def route_colour(index: Column, colours: int = ROUTE_COLOURS) -> Column:
     """The number of a route's colour in its palette."""
-    return F.pmod(index, F.lit(colours))
+    return F.pmod(index, F.lit(colours)).cast("int")
+
+
+def palette_colour(index: Column, palette: list[tuple[int, int, int]] = ROUTE_PALETTE) -> Column:
+    """(r, g, b) of a route in a palette."""
+    return F.get(F.array(*[_rgb(c) for c in palette]), route_colour(index, len(palette)))
+
+
+def six_digits(value: Column) -> Column:
+    """A number with six significant digits, without zeros at the end; beyond 0.0001 to 999,999 with an exponent of two digits at least."""
+    rounded = F.format_string("%.5e", value)
+    exponent = F.substring_index(rounded, "e", -1).cast("int")
+    bare = lambda c: F.regexp_replace(c, r"\.?0+$", "")
+    plain = bare(rounded.cast("decimal(38,12)").cast("string"))
+    power = F.format_string("%s%se%s%02d", bare(F.substring_index(rounded, "e", 1)), F.lit(""), F.when(exponent < 0, "-").otherwise("+"), F.abs(exponent))
+    return F.when(value == 0, "0").when(exponent.between(-4, 5), F.when(plain.contains("."), plain).otherwise(rounded.cast("decimal(38,0)").cast("string"))).otherwise(power)
 
 
 def to_screen(world: Column, centre: float, zoom: float, size: float) -> Column:

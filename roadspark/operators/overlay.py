@@ -9,9 +9,11 @@ from pyspark.sql import types as T
 from roadspark.functions import expr
 from roadspark.operators import tiles
 
+# Fixed drawing values: bands and casings, legend, reach of clusters and leaders, arrows (shortest segment, place, size, opening, notch, tail).
 BAND, STEP, CASING = 4.4, 5.8, 2.8
 LEGEND_ROWS = 12
-CLUSTER = 5e-10
+CLUSTER, LEADER = 5e-10, 1e-8
+ARROW_SEGMENT, ARROW_AT, ARROW_SIZE, ARROW_OPENING, ARROW_NOTCH, ARROW_TAIL = 28.0, 0.6, 7.0, 0.5, 0.6, 1.8
 
 
 def route_edges(routes: DataFrame) -> DataFrame:
@@ -78,13 +80,13 @@ def bounds(routes: DataFrame, points: DataFrame) -> DataFrame:
 
 def leaders(waypoints: DataFrame, ends: DataFrame) -> DataFrame:
     """(waypoint, vid): the nearest end node of each waypoint(waypoint, x, y) within 1e-8 squared Mercator units, by cells of that reach."""
-    reach = 1e-4
+    reach = LEADER**0.5
     cell = lambda c: F.floor(F.col(c) / reach)
     near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     probe = waypoints.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("waypoint", F.col("x").alias("px"), F.col("y").alias("py"), (cell("x") + F.col("dx")).alias("cx"), (cell("y") + F.col("dy")).alias("cy"))
     both = probe.join(ends.select("vid", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")), ["cx", "cy"])
     d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
-    return both.withColumn("d2", d2).filter("d2 < 1e-8").groupBy("waypoint").agg(F.min(F.struct("d2", "vid")).alias("m")).select("waypoint", "m.vid")
+    return both.withColumn("d2", d2).filter(F.col("d2") < LEADER).groupBy("waypoint").agg(F.min(F.struct("d2", "vid")).alias("m")).select("waypoint", "m.vid")
 
 
 def clusters(ends: DataFrame) -> DataFrame:
@@ -120,3 +122,14 @@ def initial_view(routes: DataFrame, points: DataFrame, zoom: float = 180_000.0,
     first = F.struct(F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.lit(float(zoom)).alias("zoom"))
     both = start.join(F.broadcast(tiles.bounds(points)), F.lit(True))  # a row each
     return both.select(F.when(F.col("p").isNotNull(), first).when((wide > 0) & (high > 0), fit).otherwise(none).alias("v")).select("v.*")
+
+
+def arrows(segments: DataFrame, zoom: float) -> DataFrame:
+    """segments(route, x1, y1, x2, y2) on screen, with the points of an arrow: head, two sides, notch and tail; none on short segments."""
+    dx, dy = (F.col("x2") - F.col("x1")) * zoom, (F.col("y2") - F.col("y1")) * zoom
+    rows = segments.withColumn("dx", dx).withColumn("dy", dy).filter(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) >= ARROW_SEGMENT)
+    angle = F.atan2("dy", "dx")
+    head = {a: F.col(f"{a}1") * zoom + F.col(f"d{a}") * ARROW_AT for a in "xy"}
+    back = lambda a, turn, length: head[a] - (F.cos if a == "x" else F.sin)(angle + turn) * length
+    points = {"head": (0.0, 0.0), "left": (ARROW_OPENING, ARROW_SIZE), "right": (-ARROW_OPENING, ARROW_SIZE), "notch": (0.0, ARROW_SIZE * ARROW_NOTCH), "tail": (0.0, ARROW_SIZE * ARROW_TAIL)}
+    return rows.select(*segments.columns, *[back(a, *p).alias(f"{n}_{a}") for n, p in points.items() for a in "xy"])

@@ -362,7 +362,7 @@ def k_hops(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
 
 def milli(value: Column) -> Column:
     """Thousandths, truncated, of a number with six decimals."""
-    return (F.round(value, 6) * 1000).cast("long")
+    return F.floor(F.round(value * 1e6) / 1000).cast("long")
 
 
 def matrix(costed: DataFrame, stops: DataFrame, metric: str = "time", compat_unreachable: bool = False) -> DataFrame:

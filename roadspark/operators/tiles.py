@@ -77,10 +77,21 @@ def roads_in_view(road: DataFrame, view: tuple[float, float, float, float], zoom
     return road.filter(in_view(*view) & (F.col("tier") >= least)).orderBy("tier", "lo", "hi")
 
 
-def visible_counts(road: DataFrame, view: tuple[float, float, float, float]) -> DataFrame:
-    """Roads in view, all and from each minimum speed on."""
-    seen = road.filter(in_view(*view))
-    return seen.agg(*[F.count_if(expr.passes_min_speed(F.col("speed_mps"), k)).alias(f"from_{k}") for k in FILTERS])
+def visible_counts(edges: DataFrame, points: DataFrame, view: tuple[float, float, float, float]) -> DataFrame:
+    """Directed edges in view that leave a vertex of the grid cells it covers: all, and those from each minimum speed on."""
+    r = F.broadcast(view_cells(points, view))  # one row
+    cells = grid(points).join(r, F.col("cell_x").between(F.col("x_from"), F.col("x_to")) & F.col("cell_y").between(F.col("y_from"), F.col("y_to"))).select("vid")
+    at = lambda rows, end, n: rows.select(F.col("vid").alias(end), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    seen = edges.join(at(points.join(cells, "vid", "left_semi"), "src", 1), "src").join(at(points, "dst", 2), "dst").filter(in_view(*view))
+    return seen.agg(F.count("*").alias("from_0"), *[F.count_if(expr.passes_min_speed(F.col("speed_mps"), k)).alias(f"from_{k}") for k in FILTERS[1:]])
+
+
+def count_from(kph: Column) -> Column:
+    """Of visible_counts() the one for a minimum speed: the least filter that isn't below it."""
+    out = F.when(kph <= 0, F.col("from_0"))
+    for k in FILTERS[1:]:
+        out = out.when(kph <= k, F.col(f"from_{k}"))
+    return out.otherwise(F.col(f"from_{FILTERS[-1]}"))
 
 
 def adaptive_min_kph(counts: DataFrame) -> DataFrame:
@@ -96,10 +107,17 @@ def tier_counts(road: DataFrame) -> DataFrame:
     return road.groupBy("tier").agg(F.count("*").alias("roads")).withColumn("from_tier", F.sum("roads").over(Window.orderBy(F.desc("tier"))))
 
 
-def range_of_view(box: DataFrame, view: tuple[float, float, float, float], cell: float) -> DataFrame:
+def view_cells(points: DataFrame, view: tuple[float, float, float, float]) -> DataFrame:
+    """(x_from, x_to, y_from, y_to): the cells of the vertex grid that a view covers."""
+    at = lambda v, a, n: _index(F.lit(v), F.col(f"min_{a}"), F.col("cell"), F.col(n))
+    return _grid_box(points).select(at(view[0], "x", "cols").alias("x_from"), at(view[2], "x", "cols").alias("x_to"), at(view[1], "y", "rows").alias("y_from"), at(view[3], "y", "rows").alias("y_to"))
+
+
+def range_of_view(box: DataFrame, view: tuple[float, float, float, float], cell: float | Column) -> DataFrame:
     """(x_from, x_to, y_from, y_to): the cells or tiles of size cell that a view covers, clamped to the bounds; box is one row of bounds()."""
+    cell = F.lit(cell) if isinstance(cell, float) else cell
     span = lambda a: F.greatest(F.lit(1), F.ceil((F.col(f"max_{a}") - F.col(f"min_{a}")) / cell))
-    at = lambda v, a: _index(F.lit(v), F.col(f"min_{a}"), F.lit(cell), span(a))
+    at = lambda v, a: _index(F.lit(v), F.col(f"min_{a}"), cell, span(a))
     return box.select(at(view[0], "x").alias("x_from"), at(view[2], "x").alias("x_to"), at(view[1], "y").alias("y_from"), at(view[3], "y").alias("y_to"))
 
 
@@ -110,6 +128,20 @@ def roads_by_tiles(index: DataFrame, road: DataFrame, tile_range: DataFrame, lev
     return hits.select("lo", "hi").distinct().join(road, ["lo", "hi"]).filter(in_view(*view)).orderBy("tier", "lo", "hi")
 
 
+def tile_range(points: DataFrame, view: tuple[float, float, float, float], level: int) -> DataFrame:
+    """(x_from, x_to, y_from, y_to): the tiles of a level of tile_index() that a view covers."""
+    tiles = next(n for k, n, _ in LEVELS if k == level)
+    longer = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    return range_of_view(bounds(points), view, F.greatest(longer / tiles, F.lit(1e-12)))
+
+
+def draw_roads(index: DataFrame, road: DataFrame, points: DataFrame, view: tuple[float, float, float, float], zoom: float, has_speeds: bool = True) -> DataFrame:
+    """The roads of a view at a zoom, weak tiers first: the zoom picks the level, the view its tiles, and these the roads."""
+    level = next((k for k, edge in enumerate(expr.LEVEL_ZOOMS) if zoom < edge), 4) if has_speeds else 4
+    least = next(t for k, _, t in LEVELS if k == level)
+    return roads_by_tiles(index.filter(F.col("tier") >= least), road, tile_range(points, view, level), level, view)
+
+
 def raster_range(box: DataFrame, view: tuple[float, float, float, float], zoom: float, pixels: int = 512) -> DataFrame:
     """(x_from, x_to, y_from, y_to): the raster tiles that a view touches at a zoom, counted from the bounds and clamped to them; no row outside. box is one row of bounds()."""
     size = pixels / zoom

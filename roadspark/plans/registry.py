@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions import expr
-from roadspark.operators import build, overlay, paths, tiles, tours
-from roadspark.sources import fixtures
+from roadspark.graph import RoadGraph
+from roadspark.operators import build, overlay, paths, storage, tiles, tours
+from roadspark.sources import files, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,6 +49,7 @@ roads AS (SELECT lo, hi, speed_mps, CASE WHEN speed_mps <= 0 THEN 0 WHEN speed_m
 FROM pairs JOIN pts a ON a.vid = lo JOIN pts b ON b.vid = hi)"""
 #: The middle of the map in Mercator coordinates, as a view.
 VIEW = (0.6458, -1.1555, 0.6460, -1.1548)
+CLAMP = "greatest(0, least(greatest(1, ceil((max_{0} - min_{0}) / {2})) - 1, floor(({1}::DOUBLE - min_{0}) / {2})))"
 SEEN = "NOT ((x1 < {0} AND x2 < {0}) OR (x1 > {2} AND x2 > {2}) OR (y1 < {1} AND y2 < {1}) OR (y1 > {3} AND y2 > {3}))".format(*(f"{v}::DOUBLE" for v in VIEW))
 
 
@@ -187,20 +190,56 @@ def _stops(spark, d):
     return cost, paths.nearest(fixtures.stops(spark, d), vertex).select(F.col("id").alias("i"), "vid")
 
 
-MILLI = "CASE WHEN a.id = b.id THEN 0 ELSE CAST(trunc(round(g, 6) * 1000) AS BIGINT) END"
+def _matrix_sql(cost: str, name: str) -> str:
+    milli = "CASE WHEN a.id = b.id THEN 0 ELSE CAST(round(g * 1000000) AS BIGINT) // 1000 END"
+    near = NEAREST.format("stops")
+    return _sssp_sql(cost, f"SELECT DISTINCT vid AS src FROM {near}", f"SELECT a.id AS i, b.id AS j, {milli} AS {name} FROM {near} a, {near} b, d WHERE d.src = a.vid AND d.v = b.vid")
 
 
-@query(_sssp_sql("time_s", "SELECT DISTINCT vid AS src FROM " + NEAREST.format("stops"), f"SELECT a.id AS i, b.id AS j, CAST(round(({MILLI}) / 10.0) AS BIGINT) AS time_cs FROM {NEAREST.format('stops')} a, {NEAREST.format('stops')} b, d WHERE d.src = a.vid AND d.v = b.vid"))
+@query(_matrix_sql("time_s", "time_ms"))
 def od_matrix(spark, d):
-    """Between a stop for each nation, in hundredths of a second: thousandths differ with the last bit of a sum."""
+    """Between a stop for each nation, by least time."""
     cost, stops = _stops(spark, d)
-    return paths.matrix(cost, stops).filter("time_ms is not null").select("i", "j", F.round(F.col("time_ms") / 10.0).cast("long").alias("time_cs"))
+    return paths.matrix(cost, stops).filter("time_ms is not null").select("i", "j", "time_ms")
 
 
-@query()
+@query(_matrix_sql("dist_m", "dist_mm"))
+def od_matrix_distance(spark, d):
+    """The same by least distance."""
+    cost, stops = _stops(spark, d)
+    return paths.matrix(cost, stops, "distance").filter("dist_mm is not null").select("i", "j", "dist_mm")
+
+
+@query("SELECT a.n_nationkey::BIGINT AS i, b.n_nationkey::BIGINT AS j, TRUE AS same_time, TRUE AS same_distance FROM nation a, nation b")
+def od_matrix_totals(spark, d):
+    """Whether both totals of each cell are those of the route that is found for it alone (to a thousandth)."""
+    vertex, cost = costed(spark, d)
+    stops = storage.keep(paths.nearest(fixtures.stops(spark, d), vertex).select(F.col("id").alias("i"), "vid"))
+    cells = storage.keep(paths.matrix(cost, stops))
+    at = lambda end, name: stops.select(F.col("i").alias(end), F.col("vid").alias(name))
+    asked = cells.select("i", "j").join(at("i", "src"), "i").join(at("j", "dst"), "j").select((F.col("i") * 1000 + F.col("j")).alias("qid"), "src", "dst")
+    found = paths.routes(cost, vertex, asked, "time", full=False)
+    both = cells.withColumn("qid", F.col("i") * 1000 + F.col("j")).join(found, "qid")
+    same = lambda cell, total: ((F.col(cell).isNull() & F.col(total).isNull()) | (F.abs(F.col(cell) - F.col(total) * 1000) <= 1.001))
+    return both.select("i", "j", same("time_ms", "time_s").alias("same_time"), same("dist_mm", "dist_m").alias("same_distance"))
+
+
+def _one(df: DataFrame) -> DataFrame:
+    return df.withColumn("problem", F.lit(0).cast("long"))
+
+
+@query("SELECT count(*) AS stops, count(DISTINCT n_nationkey) AS distinct_stops, min(n_nationkey)::BIGINT AS first_stop, TRUE AS total_is_sum, TRUE AS not_above_order_of_ids FROM nation")
 def tsp_heuristic(spark, d):
+    """What must hold of the tour of all stops: each once, from the first, its total that of its legs, and not above the tour in the order of ids."""
     cost, stops = _stops(spark, d)
-    return tours.tours(paths.matrix(cost, stops).withColumn("problem", F.lit(0).cast("long")))
+    cells = storage.keep(_one(paths.matrix(cost, stops)))
+    tour = storage.keep(tours.tours(cells))
+    legs = tours.tour_totals(tour, cells).select(F.col("time_ms").alias("legs"))
+    n = F.lit(cells.agg(F.max("i")).first()[0] + 1)
+    plain = cells.filter(F.col("j") == F.pmod(F.col("i") + 1, n)).agg(F.sum("time_ms").alias("plain"))
+    seen = tour.agg(F.count("*").alias("stops"), F.count_distinct("stop").alias("distinct_stops"), F.min_by("stop", "pos").alias("first_stop"), F.max("total").alias("total"))
+    row = seen.join(legs, F.lit(True)).join(plain, F.lit(True))  # a row each
+    return row.select("stops", "distinct_stops", "first_stop", (F.col("total") == F.col("legs")).alias("total_is_sum"), (F.col("total") <= F.col("plain")).alias("not_above_order_of_ids"))
 
 
 FIVE = "SELECT r_regionkey AS i, r_regionkey * 17 % 7 AS x, r_regionkey * 11 % 5 AS y FROM region"
@@ -219,32 +258,59 @@ def tsp_exact(spark, d):
     return tours.tours(cells).select("total").distinct()
 
 
-@query()
-def vrp_plan(spark, d):
+def _plan(spark, d):
+    """The plan for the orders of all nations, with what it was made from."""
     cost, stops = _stops(spark, d)
-    tagged = lambda df: df.withColumn("problem", F.lit(0).cast("long"))
-    orders = fixtures.vrp_orders(spark, d).withColumnRenamed("id", "i")
-    return tours.plans(tagged(paths.matrix(cost, stops)), tagged(orders), tagged(fixtures.fleet(spark, d)))
+    cells = storage.keep(_one(paths.matrix(cost, stops)))
+    orders = _one(fixtures.vrp_orders(spark, d).withColumnRenamed("id", "i"))
+    fleet = _one(fixtures.fleet(spark, d))
+    return storage.keep(tours.plans(cells, orders, fleet)), cells, orders, fleet
+
+
+ORDERS = "SELECT n_nationkey::BIGINT AS stop, (1 + n_nationkey % 40)::INT AS demand FROM nation WHERE n_nationkey > 0"
+
+
+@query(f"SELECT stop, demand, 1::BIGINT AS served FROM ({ORDERS})")
+def vrp_plan(spark, d):
+    """How often the plan serves each order."""
+    plan, _, orders, _ = _plan(spark, d)
+    served = plan.filter("stop <> 0").groupBy("stop").agg(F.count("*").alias("served"))
+    return orders.filter("i <> 0").select(F.col("i").alias("stop"), "demand").join(served, "stop", "left")
 
 
-@query("SELECT r_regionkey::BIGINT AS vehicle_id, CAST(sum(CASE WHEN n_nationkey = 0 THEN 0 ELSE 1 + n_nationkey % 40 END) AS BIGINT) AS load, (150 + 25 * (r_regionkey % 3))::BIGINT AS capacity, sum(CASE WHEN n_nationkey = 0 THEN 0 ELSE 1 + n_nationkey % 40 END) <= 150 + 25 * (r_regionkey % 3) AS fits FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+@query(f"SELECT sum(demand)::BIGINT AS load, TRUE AS fits, TRUE AS load_is_sum FROM ({ORDERS})")
 def vrp_load(spark, d):
-    """The load of a fixed assignment: each nation's order to its region's vehicle."""
-    of = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("vehicle_id"))
-    loads = fixtures.vrp_orders(spark, d).join(of, "id").groupBy("vehicle_id").agg(F.sum("demand").alias("load"))
-    return loads.join(fixtures.fleet(spark, d), "vehicle_id").select("vehicle_id", "load", "capacity", (F.col("load") <= F.col("capacity")).alias("fits"))
+    """The load of all vehicles of the plan together, whether each fits, and whether each is the sum of its orders."""
+    plan, _, orders, fleet = _plan(spark, d)
+    summed = plan.join(orders.select(F.col("i").alias("stop"), "demand"), "stop").groupBy("vehicle_id").agg(F.sum("demand").alias("load"), F.max_by("load", "pos").alias("said"))
+    each = summed.join(fleet, "vehicle_id")
+    return each.agg(F.sum("load").alias("load"), F.every(F.col("load") <= F.col("capacity")).alias("fits"), F.every(F.col("load") == F.col("said")).alias("load_is_sum"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT n_regionkey AS v, n_nationkey::BIGINT AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS pos, CASE WHEN n_nationkey = 0 THEN 0 ELSE n_nationkey % 4 * 3600 END AS tw_start FROM nation),
-s AS (SELECT v, pos, id, greatest(600, tw_start) AS arrive FROM o WHERE pos = 1 UNION ALL SELECT o.v, o.pos, o.id, greatest(s.arrive + 600, o.tw_start) FROM s JOIN o ON o.v = s.v AND o.pos = s.pos + 1) SELECT v::BIGINT AS vehicle_id, id, arrive::BIGINT AS arrive_s FROM s""")
+@query(f"SELECT stop, TRUE AS in_window, TRUE AS follows FROM ({ORDERS})")
 def vrp_schedule_check(spark, d):
-    """Arrivals of the same assignment with ten minutes for each leg: a fold over each vehicle's ordered stops."""
-    of = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("vehicle_id"))
-    lists = fixtures.vrp_orders(spark, d).join(of, "id").groupBy("vehicle_id").agg(F.sort_array(F.collect_list(F.struct("id", "tw_start"))).alias("s"))
-    empty = F.array().cast("array<struct<id: bigint, arrive: bigint>>")
-    last = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)["arrive"]).otherwise(0)
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["id"].alias("id"), F.greatest(F.when(F.size(acc) > 0, last(acc)).otherwise(0) + 600, x["tw_start"].cast("long")).alias("arrive"))))
-    return lists.select("vehicle_id", F.explode(F.aggregate("s", empty, step)).alias("r")).select("vehicle_id", "r.id", F.col("r.arrive").alias("arrive_s"))
+    """Whether each order is reached in its window, and at the time that follows from the stop before."""
+    plan, cells, orders, _ = _plan(spark, d)
+    legs = tours.plan_legs(plan).join(cells.select("i", "j", "time_ms"), ["i", "j"])
+    windows = orders.select(F.col("i").alias("j"), "tw_start", "tw_end")
+    before = plan.select("vehicle_id", (F.col("pos") + 1).alias("pos"), F.col("arrive_s").alias("left_s"))
+    rows = legs.join(plan.select("vehicle_id", "pos", "arrive_s"), ["vehicle_id", "pos"]).join(before, ["vehicle_id", "pos"], "left").join(windows, "j").filter("j <> 0")
+    due = F.greatest(F.coalesce("left_s", F.lit(0.0)) + F.col("time_ms") / 1000, F.col("tw_start").cast("double"))
+    return rows.select(F.col("j").alias("stop"), F.col("arrive_s").between(F.col("tw_start"), F.col("tw_end")).alias("in_window"), (F.abs(F.col("arrive_s") - due) < 1e-6).alias("follows"))
+
+
+@query("""WITH o AS (SELECT n_nationkey::BIGINT AS problem, (1 + n_nationkey % 40)::INT AS demand, n_nationkey % 4 * 3600 AS tw_start, 100 + n_nationkey * 37 AS there, 200 + n_nationkey * 11 AS back FROM nation)
+SELECT problem, problem AS vehicle_id, 0 AS pos, 1::BIGINT AS stop, greatest(there, tw_start)::DOUBLE AS arrive_s, demand::BIGINT AS load FROM o UNION ALL SELECT problem, problem, 1, 0, (greatest(there, tw_start) + back)::DOUBLE, demand FROM o""")
+def vrp_single(spark, d):
+    """A problem for each nation: one order, and a vehicle that just holds it."""
+    k = F.col("n_nationkey").cast("long")
+    base = spark.read.parquet(f"{d}/nation.parquet").select(k.alias("problem"), (1 + k % 40).cast("int").alias("demand"), (k % 4 * 3600).cast("int").alias("tw_start"), ((100 + k * 37) * 1000).alias("there"), ((200 + k * 11) * 1000).alias("back"))
+    zero = F.lit(0).cast("long")
+    cell = lambda i, j, v: F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), v.alias("time_ms"), v.alias("dist_mm"))
+    cells = base.select("problem", F.inline(F.array(cell(0, 0, zero), cell(1, 1, zero), cell(0, 1, F.col("there")), cell(1, 0, F.col("back")))))
+    need = lambda i, n, b, e: F.struct(F.lit(i).cast("long").alias("i"), n.cast("int").alias("demand"), b.cast("int").alias("tw_start"), F.lit(e).alias("tw_end"))
+    needs = base.select("problem", F.inline(F.array(need(0, zero, zero, 10**6), need(1, F.col("demand"), F.col("tw_start"), 10**6))))
+    return tours.plans(cells, needs, base.select("problem", F.col("problem").alias("vehicle_id"), F.col("demand").cast("long").alias("capacity")))
 
 
 @query(f"WITH {MERCATOR} SELECT round(min_x, 9) AS min_x, round(max_x, 9) AS max_x, round(min_y, 9) AS min_y, round(max_y, 9) AS max_y FROM box")
@@ -288,15 +354,50 @@ def roads_in_view(spark, d):
     return tiles.roads_in_view(_roads(spark, d)[0], VIEW, 20_000.0).select("tier", "lo", "hi")
 
 
-@query(f"WITH {ROADS} SELECT count(*) AS from_0, " + ", ".join(f"count(*) FILTER (speed_mps * 3.6::FLOAT >= {k}) AS from_{k}" for k in (30, 50, 70, 90)) + f" FROM roads WHERE {SEEN}")
+def _in_cells(out: str) -> str:
+    """SQL over directed edges in view whose first vertex lies in the cells that the view covers."""
+    cell = lambda f, a: f"greatest(0, least(ceil((max_{a} - min_{a}) / cell), floor(({f} - min_{a}) / cell)))"
+    inside = " AND ".join(f"{cell('a.' + a, a)} BETWEEN {cell(f'{VIEW[i]}::DOUBLE', a)} AND {cell(f'{VIEW[i + 2]}::DOUBLE', a)}" for i, a in enumerate("xy"))
+    return f"""WITH {MERCATOR}, c AS (SELECT *, greatest(greatest(max_x - min_x, max_y - min_y) / 350, 2e-5::DOUBLE) AS cell FROM box),
+e AS (SELECT speed_mps, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM edges JOIN pts a ON a.vid = src JOIN pts b ON b.vid = dst, c WHERE {inside}),
+n AS (SELECT count(*) AS from_0, {", ".join(f"count(*) FILTER (speed_mps * 3.6::FLOAT >= {k}) AS from_{k}" for k in (30, 50, 70, 90))} FROM e WHERE {SEEN}) {out}"""
+
+
+@query(_in_cells("SELECT * FROM n"))
 def visible_counts(spark, d):
-    return tiles.visible_counts(_roads(spark, d)[0], VIEW)
+    vertex, edges = graph(spark, d)
+    return tiles.visible_counts(edges, tiles.projected(vertex), VIEW)
+
+
+@query(_in_cells(", p AS (SELECT *, CASE " + " ".join(f"WHEN from_{k} <= 500000 THEN {k}" for k in (0, 30, 50, 70)) + " ELSE 90 END AS min_kph FROM n) SELECT CAST(min_kph AS INT) AS min_kph, CASE min_kph " + " ".join(f"WHEN {k} THEN from_{k}" for k in (0, 30, 50, 70, 90)) + " END AS roads FROM p"))
+def adaptive_speed(spark, d):
+    """The least speed that leaves few enough edges in view, and how many it leaves."""
+    counts = storage.keep(visible_counts(spark, d))
+    return counts.join(tiles.adaptive_min_kph(counts), F.lit(True)).select("min_kph", tiles.count_from(F.col("min_kph")).alias("roads"))  # a row each
+
+
+TILES = ", ".join(f"CAST({CLAMP.format(a, VIEW[i], 'size')} AS INT) AS {a}_{n}" for i, (a, n) in enumerate((a, n) for n in ("from", "to") for a in "xy"))
+
+
+@query(f"WITH {MERCATOR}, levels AS (SELECT * FROM (VALUES (0, 16), (1, 32), (2, 64), (3, 128), (4, 256)) t(level, tiles)), s AS (SELECT *, greatest(greatest(max_x - min_x, max_y - min_y) / tiles, 1e-12::DOUBLE) AS size FROM box, levels) SELECT level, {TILES} FROM s")
+def tile_ranges(spark, d):
+    """The tiles of each level that the view covers."""
+    points = tiles.projected(graph(spark, d)[0])
+    out = [tiles.tile_range(points, VIEW, level).select(F.lit(level).alias("level"), "*") for level, _, _ in tiles.LEVELS]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"WITH {ROADS} SELECT tier, lo, hi FROM roads WHERE {SEEN} AND tier >= 1")
+def roads_by_tiles(spark, d):
+    """Roads of the view at a zoom, through the tile index."""
+    road, points = _roads(spark, d)
+    road = storage.keep(road)
+    return tiles.draw_roads(tiles.tile_index(road, points), road, points, VIEW, 50_000.0).select("tier", "lo", "hi")
 
 
 CELLS = f"""WITH {ROADS}, g AS (SELECT *, greatest(greatest(max_x - min_x, max_y - min_y) / 350, 2e-5::DOUBLE) AS cell FROM box),
 cells AS (SELECT lo, hi, tier, """ + ", ".join(f"greatest(0, least(ceil((max_{a} - min_{a}) / cell), floor(({f}({a}1, {a}2) - min_{a}) / cell))) AS {a}_{n}" for a in "xy" for n, f in (("from", "least"), ("to", "greatest"))) + " FROM roads, g)"
-CLAMPED = "greatest(0, least(greatest(1, ceil((max_{0} - min_{0}) / {2})) - 1, floor(({1}::DOUBLE - min_{0}) / {2})))"
-COVERED = ", ".join(f"{CLAMPED.format(a, VIEW[i], 'cell')} AS {a}{n}" for i, (a, n) in enumerate((a, n) for n in (1, 2) for a in "xy"))
+COVERED = ", ".join(f"{CLAMP.format(a, VIEW[i], 'cell')} AS {a}{n}" for i, (a, n) in enumerate((a, n) for n in (1, 2) for a in "xy"))
 
 
 @query(f"{CELLS} SELECT tier, count(*) AS roads, CAST(sum((x_to - x_from + 1) * (y_to - y_from + 1)) AS BIGINT) AS entries FROM cells GROUP BY tier")
@@ -322,7 +423,7 @@ def drawn_roads(spark, d):
     return tiles.drawn_roads(_roads(spark, d)[0], VIEW, 200_000.0, 50, 20).select("tier", "lo", "hi")
 
 
-@query(f"WITH {MERCATOR} SELECT " + ", ".join(f"CAST({CLAMPED.format(a, VIEW[i], '(512 / 2000000::DOUBLE)')} AS INT) AS {a}_{n}" for i, (a, n) in enumerate((a, n) for n in ("from", "to") for a in "xy")) + f" FROM box WHERE max_x > min_x AND max_y > min_y AND max_x >= {VIEW[0]} AND min_x <= {VIEW[2]} AND max_y >= {VIEW[1]} AND min_y <= {VIEW[3]}")
+@query(f"WITH {MERCATOR} SELECT " + ", ".join(f"CAST({CLAMP.format(a, VIEW[i], '(512 / 2000000::DOUBLE)')} AS INT) AS {a}_{n}" for i, (a, n) in enumerate((a, n) for n in ("from", "to") for a in "xy")) + f" FROM box WHERE max_x > min_x AND max_y > min_y AND max_x >= {VIEW[0]} AND min_x <= {VIEW[2]} AND max_y >= {VIEW[1]} AND min_y <= {VIEW[3]}")
 def raster_tiles(spark, d):
     return tiles.raster_range(tiles.bounds(tiles.projected(graph(spark, d)[0])), VIEW, 2_000_000.0)
 
@@ -379,8 +480,136 @@ def legend_rest(spark, d):
     return overlay.legend_rest(_drawn(spark, d))
 
 
-@query("SELECT s_suppkey % 3 AS plan, s_suppkey AS seq, CAST(row_number() OVER w AS INT) AS number, chr((64 + row_number() OVER w)::INT) AS letter FROM supplier WHERE s_suppkey < 60 WINDOW w AS (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey)")
+def _letters(n: str) -> str:
+    return f"CASE WHEN {n} < 26 THEN chr((65 + {n})::INT) WHEN {n} < 702 THEN chr((64 + {n} // 26)::INT) || chr((65 + {n} % 26)::INT) ELSE chr((65 + ({n} - 702) // 676)::INT) || chr((65 + ({n} - 702) // 26 % 26)::INT) || chr((65 + ({n} - 702) % 26)::INT) END"
+
+
+@query(f"WITH w AS (SELECT s_suppkey % 3 AS plan, s_suppkey AS seq, row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) AS n FROM supplier) SELECT plan, seq, CAST(n AS INT) AS number, {_letters('(n - 1)')} AS letter FROM w")
 def waypoint_markers(spark, d):
-    """Three plans of at most twenty waypoints each."""
-    rows = fixtures._table(spark, d, "supplier").filter("s_suppkey < 60").select((F.col("s_suppkey") % 3).alias("plan"), F.col("s_suppkey").alias("seq"))
+    """Three plans, a waypoint for each supplier."""
+    rows = fixtures._table(spark, d, "supplier").select((F.col("s_suppkey") % 3).alias("plan"), F.col("s_suppkey").alias("seq"))
     return overlay.numbered_waypoints(rows)
+
+
+@query(f"{DRAWN}, c AS (SELECT lo, hi, 4.4::DOUBLE + (count(*) - 1) * 5.8::DOUBLE + 2.8::DOUBLE AS casing FROM e GROUP BY lo, hi), t AS (SELECT lo, hi, casing, row_number() OVER (ORDER BY casing DESC, lo, hi) AS place FROM c) SELECT place::INT AS place, lo, hi, round(casing, 6) AS casing FROM t WHERE place <= 50")
+def draw_order(spark, d):
+    """The fifty casings that are drawn first."""
+    casings, _ = overlay.draw_order(_drawn(spark, d))
+    first = casings.limit(50)
+    return first.select(F.row_number().over(Window.orderBy(F.desc("casing"), "lo", "hi")).alias("place"), "lo", "hi", F.round("casing", 6).alias("casing"))
+
+
+@query(f"WITH {fixtures.SQL}, p AS ({PLACED}), w AS (SELECT id AS waypoint, lon * (pi() / 180) AS x, -ln(tan(pi() / 4 + lat * (pi() / 360))) AS y FROM points), m AS (SELECT waypoint, arg_min(vid, ((p.x - w.x) * (p.x - w.x) + (p.y - w.y) * (p.y - w.y), vid)) AS vid, min((p.x - w.x) * (p.x - w.x) + (p.y - w.y) * (p.y - w.y)) AS d2 FROM w, p GROUP BY waypoint) SELECT waypoint, vid FROM m WHERE d2 < 1e-8::DOUBLE")
+def waypoint_leaders(spark, d):
+    """The node nearest to each customer on the map, within reach."""
+    way = tiles.projected(fixtures.points(spark, d).withColumnRenamed("id", "vid")).withColumnRenamed("vid", "waypoint")
+    return overlay.leaders(way, _placed(spark, d))
+
+
+ENDS = "SELECT s_suppkey % 7 AS plan, s_suppkey AS seq, (s_suppkey * 37 % 50)::DOUBLE * 0.00001::DOUBLE AS x, (s_suppkey * 53 % 40)::DOUBLE * 0.00001::DOUBLE AS y, s_suppkey % 5 = 0 AS depot, row_number() OVER (PARTITION BY s_suppkey % 7 ORDER BY s_suppkey) AS pos FROM supplier"
+HIT = "list_position(list_transform(s.places, lambda p: (p.x - e.x) * (p.x - e.x) + (p.y - e.y) * (p.y - e.y) < 5e-10::DOUBLE), true)"
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({ENDS}),
+s(plan, pos, seq, depot, places, cluster) AS (SELECT plan, pos, seq, depot, [{{'x': x, 'y': y}}], 0::BIGINT FROM e WHERE pos = 1
+UNION ALL SELECT e.plan, e.pos, e.seq, e.depot, CASE WHEN coalesce({HIT}, 0) > 0 THEN s.places ELSE list_append(s.places, {{'x': e.x, 'y': e.y}}) END, CASE WHEN coalesce({HIT}, 0) > 0 THEN {HIT} - 1 ELSE len(s.places) END FROM s JOIN e ON e.plan = s.plan AND e.pos = s.pos + 1)
+SELECT plan, seq, CAST(cluster AS INT) AS cluster, bool_or(depot) OVER (PARTITION BY plan, cluster) AS cluster_depot FROM s""")
+def endpoint_clusters(spark, d):
+    """Seven plans, an end for each supplier."""
+    k = F.col("s_suppkey")
+    ends = fixtures._table(spark, d, "supplier").select((k % 7).alias("plan"), k.alias("seq"), ((k * 37 % 50).cast("double") * 0.00001).alias("x"), ((k * 53 % 40).cast("double") * 0.00001).alias("y"), (k % 5 == 0).alias("depot"))
+    return overlay.clusters(ends).select("plan", "seq", "cluster", "cluster_depot")
+
+
+@query(f"WITH {fixtures.SQL}, p AS ({PLACED}), b AS (SELECT way_id AS route, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM way_nodes w JOIN p ON p.vid = w.osm_id GROUP BY way_id) SELECT route, " + ", ".join(f"round({a}{n} {s} greatest(({a}2 - {a}1) * 0.12::DOUBLE, 0.0005::DOUBLE), 9) AS {m}_{a}" for a in "xy" for n, s, m in ((1, "-", "min"), (2, "+", "max"))) + " FROM b")
+def route_bounds(spark, d):
+    return overlay.bounds(_drawn(spark, d), _placed(spark, d)).select("route", *[F.round(f"{n}_{a}", 9).alias(f"{n}_{a}") for a in "xy" for n in ("min", "max")])
+
+
+@query(f"""{DRAWN}, p AS ({PLACED}), s AS (SELECT route, lo, hi, a.x * 2000000 AS x1, a.y * 2000000 AS y1, (b.x - a.x) * 2000000 AS dx, (b.y - a.y) * 2000000 AS dy FROM e JOIN p a ON a.vid = lo JOIN p b ON b.vid = hi),
+h AS (SELECT *, x1 + dx * 0.6::DOUBLE AS hx, y1 + dy * 0.6::DOUBLE AS hy, atan2(dy, dx) AS angle FROM s WHERE sqrt(dx * dx + dy * dy) >= 28)
+SELECT route, lo, hi, round(hx, 4) AS head_x, round(hy - sin(angle + 0.5::DOUBLE) * 7, 4) AS left_y, round(hx - cos(angle - 0.5::DOUBLE) * 7, 4) AS right_x, round(hx - cos(angle) * 4.2::DOUBLE, 4) AS notch_x, round(hy - sin(angle) * 12.6::DOUBLE, 4) AS tail_y FROM h""")
+def route_arrows(spark, d):
+    """Arrows on the edges of all ways."""
+    points = _placed(spark, d)
+    at = lambda end, n: points.select(F.col("vid").alias(end), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    rows = overlay.route_edges(_drawn(spark, d)).join(at("lo", 1), "lo").join(at("hi", 2), "hi")
+    return overlay.arrows(rows, 2_000_000.0).select("route", "lo", "hi", *[F.round(c, 4).alias(c) for c in ("head_x", "left_y", "right_x", "notch_x", "tail_y")])
+
+
+@query(f"""WITH {fixtures.SQL}, w AS (SELECT way_id, count(*) AS n, list(osm_id - 1 ORDER BY pos) AS nodes FROM way_nodes GROUP BY way_id)
+SELECT way_id % 100 AS text, 'Route ' || row_number() OVER t AS label, CAST((row_number() OVER t - 1) % 10 AS INT) AS colour, n * 1111.5::DOUBLE AS time_s, n * 100.25::DOUBLE AS dist_m, nodes FROM w WINDOW t AS (PARTITION BY way_id % 100 ORDER BY way_id)""")
+def result_texts(spark, d):
+    """A hundred result texts of searches, a line for each way, read back."""
+    rows = _drawn(spark, d).select("route", F.size("path").alias("n_nodes"), (F.size("path") * 1111.5).alias("time_s"), (F.size("path") * 100.25).alias("dist_m"), F.transform("path", lambda v: v - 1).alias("path"), F.col("route").alias("qid"))
+    lines = files.search_lines(rows, full=True).withColumn("text", F.col("qid") % 100)
+    texts = lines.groupBy("text").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("qid", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    return files.parse_texts(texts).select("text", "label", "colour", "time_s", "dist_m", "nodes")
+
+
+@query(WITH + f"SELECT a.id AS qid, a.vid AS src, b.vid AS dst FROM {NEAREST.format('points')} a JOIN points p ON p.id = a.id JOIN {NEAREST.format('points')} b ON b.id = p.id * 7 % (SELECT count(*) FROM points)")
+def geocoded_pairs(spark, d):
+    """Pairs of places, a customer and another one, as pairs of vertices."""
+    here = fixtures.points(spark, d)
+    n = here.count()
+    there = here.select((F.col("id")).alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    pairs = here.withColumn("other", F.col("id") * 7 % n).join(there, "other").select(F.col("id").alias("qid"), "lat", "lon", "lat2", "lon2")
+    return RoadGraph(*graph(spark, d)).pairs(pairs)
+
+
+@query(WITH + "SELECT vid + 1 AS dense_id, osm_id, format('{:.6g}', lat + vid::DOUBLE / 7919) AS lat, format('{:.6g}', (lon - 37::DOUBLE) * (vid % 11)::DOUBLE / 977) AS lon FROM vertices")
+def id_map(spark, d):
+    """The id map of the vertices, moved so that their coordinates have many digits."""
+    vertex = graph(spark, d)[0]
+    moved = vertex.withColumn("lat", F.col("lat") + F.col("vid").cast("double") / 7919).withColumn("lon", (F.col("lon") - 37.0) * (F.col("vid") % 11).cast("double") / 977)
+    return files.id_map(moved)
+
+
+def _palette_sql(index: str, palette: list) -> str:
+    return "CASE " + index + " % " + str(len(palette)) + " " + " ".join(f"WHEN {i} THEN '{r},{g},{b}'" for i, (r, g, b) in enumerate(palette)) + " END"
+
+
+@query(f"WITH {fixtures.SQL} SELECT way_id, {_palette_sql('way_id', expr.ROUTE_PALETTE)} AS listed, {_palette_sql('way_id', expr.DRAWN_PALETTE)} AS drawn FROM way_tags")
+def route_colours(spark, d):
+    """The colour of each way in both palettes."""
+    rgb = lambda c: F.concat_ws(",", c["r"], c["g"], c["b"])
+    return fixtures.ways(spark, d).select("way_id", rgb(expr.palette_colour(F.col("way_id"))).alias("listed"), rgb(expr.palette_colour(F.col("way_id"), expr.DRAWN_PALETTE)).alias("drawn"))
+
+
+TIER = "CASE WHEN speed_mps * 3.6::FLOAT >= 90 THEN 4 WHEN speed_mps * 3.6::FLOAT >= 70 THEN 3 WHEN speed_mps * 3.6::FLOAT >= 50 THEN 2 WHEN speed_mps * 3.6::FLOAT >= 30 THEN 1 ELSE 0 END"
+
+
+@query(WITH + f"SELECT way_id, {TIER} AS tier, CASE {TIER} WHEN 4 THEN 90 WHEN 3 THEN 70 WHEN 2 THEN 50 WHEN 1 THEN 30 ELSE 0 END AS min_kph, CASE {TIER} WHEN 4 THEN 1.35::DOUBLE WHEN 3 THEN 1.15::DOUBLE WHEN 2 THEN 0.95::DOUBLE WHEN 1 THEN 0.78::DOUBLE ELSE 0.62::DOUBLE END AS width, CASE {TIER} " + " ".join(f"WHEN {k} THEN {c[0]}" for k, c in expr.TIER_COLOURS.items()) + " END AS red FROM drivable")
+def tier_styles(spark, d):
+    """Tier, least speed, width and colour of each drivable way."""
+    rows = build.drivable_ways(fixtures.ways(spark, d)).select("way_id", expr.speed_tier(F.col("speed_mps")).alias("tier"))
+    return rows.select("way_id", "tier", expr.tier_min_kph(F.col("tier")).alias("min_kph"), expr.tier_width(F.col("tier")).alias("width"), expr.tier_colour(F.col("tier"))["r"].alias("red"))
+
+
+@query(f"""WITH {MERCATOR} SELECT vid, round((x - 0.6459::DOUBLE) * 200000 + 400, 4) AS screen_x, round((x - 0.6459::DOUBLE) * 200000 + 400, 4) AS back_x, round((y - min_y) * 200000, 4) AS local_y, round((y - min_y) * 200000) + 0.5::DOUBLE AS pixel_y FROM pts, box""")
+def screen_places(spark, d):
+    """Vertices on screen and back, and in a raster tile that begins at the bounds, snapped to pixels."""
+    points = tiles.projected(graph(spark, d)[0])
+    both = points.join(F.broadcast(tiles.bounds(points)), F.lit(True))  # one row
+    screen = lambda c: expr.to_screen(c, 0.6459, 200_000.0, 800.0)
+    local = expr.tile_local(F.col("y"), F.col("min_y"), 200_000.0)
+    return both.select("vid", F.round(screen(F.col("x")), 4).alias("screen_x"), F.round(screen(expr.to_world(screen(F.col("x")), 0.6459, 200_000.0, 800.0)), 4).alias("back_x"), F.round(local, 4).alias("local_y"), expr.snapped(local).alias("pixel_y"))
+
+
+_TO = lambda a, b: HAVERSINE.replace("b.", "@").replace("a.l", f"{a}.l").replace("@", f"{b}.")
+
+
+@query(WITH + f"""SELECT src, dst, (least(src, dst) * 4294967296 + greatest(src, dst))::BIGINT AS key, round(to_goal, 3) AS metres, round(to_goal / 30.5::DOUBLE, 3) AS seconds, round((to_goal - from_start) * 0.5::DOUBLE, 3) AS potential
+FROM edges JOIN (SELECT v.vid, {_TO('v', 'g')} AS to_goal, {_TO('s', 'v')} AS from_start FROM vertices v, vertices g, vertices s WHERE g.vid = 0 AND s.vid = 1) h ON h.vid = src""")
+def search_bounds(spark, d):
+    """Each edge's undirected key, and the bounds and potential of its first end in a search from vertex 1 to vertex 0."""
+    vertex, edges = graph(spark, d)
+    at = lambda vid, n: vertex.filter(F.col("vid") == vid).select(F.col("lat").alias(f"{n}_lat"), F.col("lon").alias(f"{n}_lon"))
+    both = vertex.join(F.broadcast(at(0, "g")), F.lit(True)).join(F.broadcast(at(1, "s")), F.lit(True))  # a row each
+    metres = lambda a, b: expr.haversine(F.col(f"{a}lat"), F.col(f"{a}lon"), F.col(f"{b}lat"), F.col(f"{b}lon"))
+    bounds = both.select(F.col("vid").alias("src"), metres("", "g_").alias("to_goal"), metres("s_", "").alias("from_start"))
+    rows = edges.join(bounds, "src")
+    return rows.select(
+        "src", "dst", expr.undirected_key(F.col("src"), F.col("dst")).alias("key"), F.round(expr.heuristic(F.col("to_goal"), "distance"), 3).alias("metres"),
+        F.round(expr.heuristic(F.col("to_goal"), "time"), 3).alias("seconds"), F.round(expr.potential(F.col("to_goal"), F.col("from_start")), 3).alias("potential"),
+    )

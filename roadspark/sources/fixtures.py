@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLASSES = ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "residential", "unclassified", "road", "living_street", "service", "footway", "cycleway"]
+from roadspark.functions import expr
+
+#: All drivable classes, and two that aren't.
+CLASSES = [*expr.DEFAULT_KPH, "footway", "cycleway"]
 SPEEDS = [None, "60", "55 mph", "RU:urban", "none", "50;70", "130"]
 ONEWAYS = [None, "yes", "-1", "no", "true"]
 

@@ -380,3 +380,20 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize(("value", "want"), [(5.123456, "5.12346"), (100.0, "100"), (0.0, "0"), (-55.7558, "-55.7558"), (0.00001234567, "1.23457e-05"), (1234567.0, "1.23457e+06"), (37.0, "37"), (0.5, "0.5"), (123456.0, "123456"), (-0.000123456789, "-0.000123457")])
+def test_six_digits(spark, value, want):
+    assert one(spark, expr.six_digits(F.col("v")), v=value) == want == f"{value:.6g}"
+
+
+def test_default_outputs():
+    assert files.default_outputs("/maps/city.osm.pbf") == ("/maps/graph.bin", "/maps/id_map.csv")
+
+
+def test_view_keeps_its_index(spark, graph):
+    view = registry.VIEW
+    assert sorted((r.lo, r.hi) for r in graph.view(view, 1e6).collect()) == sorted((r.lo, r.hi) for r in graph.roads().filter(tiles.in_view(*view)).collect())
+    held = graph._drawn
+    graph.view(view, 5000.0).collect()
+    assert graph._drawn is held
