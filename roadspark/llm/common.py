@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Parts into which the rows of one key are spread in joins and minima.
 SALTS = 64
+#: Up to so many edges in all, the edges of one node fit in a task, and aren't spread.
+FEW_EDGES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,19 +129,21 @@ def spread_join(rows: DataFrame, unique: DataFrame, key: str | list[str], salt:
     return salted.join(parts, [*keys, "__salt"], how).drop("__salt")
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, spread: bool) -> DataFrame:
     """edges (u, v) with m, the least v of their u; a hot u is dealt over SALTS parts, each folded before they meet."""
+    if not spread:
+        return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy("u", "salt").agg(F.min("v").alias("part"))
     least = parts.groupBy("u").agg(F.min("part").alias("m"))
     return salted.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).select("u", "v", "m")
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, spread: bool = True) -> DataFrame:
     """One large-star and one small-star step over edges (u, v) with u > v."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-    small = _with_least(large)
+    large = _with_least(both, spread).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    small = _with_least(large, spread)
     return (
         small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .unionByName(small.select("u", F.col("m").alias("v")))
@@ -158,4 +162,4 @@ def components(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark, edges = now, keep(_star(edges), "edges")
+        mark, edges = now, keep(_star(edges, now[0] > FEW_EDGES), "edges")
