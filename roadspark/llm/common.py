@@ -99,10 +99,10 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def put(uri: str, write: Callable[[pa.NativeFile], None]) -> None:
-    """Write a file under another name and move it into place, so that repeated or lost task attempts leave whole files only."""
+    """Write a file under a name that readers pass over and move it into place, so that repeated or lost task attempts leave whole files only."""
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
+    part = f"{os.path.dirname(path)}/_{os.path.basename(path)}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(part) as out:
         write(out)
     fs.move(part, path)

@@ -2,13 +2,17 @@
 
 1. Map tasks fold equal texts of a bounded stretch of rows into one representative (hash, then bytes), so that a text
    with any number of copies reaches the index once per stretch, and not once per row.
-2. Owner tasks take key ranges: the leading bits of SHA-256. Each builds the extendible-hash directory of its range: a
+2. Representatives that share a SHA-256 with another are dealt by hash and part (SPREAD parts of each), and each part folds
+   them again by their bytes as they come. So a text with a third of all rows reaches its owner SPREAD times at most, and texts without any
+   copy aren't moved.
+3. Owner tasks take key ranges: the leading bits of SHA-256. Each builds the extendible-hash directory of its range: a
    bucket that overflows splits on its next bit, and the directory doubles when that bucket is as deep as the directory.
-   Entries with one hash but different bytes are chained. Bucket pages go to shared files.
-3. Every row reads its group from its representative.
+   Entries with one hash but different bytes are chained. Bucket pages go to shared files, and the groups are read back from them.
+4. Every row reads its group from its representative.
 
 Null text counts as empty. Of equal texts the row with the largest doc_id stays (null ids rank lowest; among rows with
-the same id one stays). Empty tables give empty results; extra columns, whatever their names, travel along untouched.
+the same id one stays). Repeated rows count as copies. Very long texts are held one by one where they are compared. Empty tables give empty
+results; extra columns, whatever their names, travel along untouched.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from roadspark.llm import common
 
 #: Bytes of distinct text that a map task holds before it passes its representatives on.
 STRETCH_BYTES = 24 << 20
-#: Bytes of text in one owner's key range, on average.
-OWNER_BYTES = 24 << 20
+#: Parts into which the representatives of one hash are dealt before they reach their owner.
+SPREAD = 16
+#: Entries in one owner's key range, on average.
+OWNER_ENTRIES = 100_000
 BUCKET = 512
 LOWEST = -(1 << 63)
 
@@ -139,35 +145,65 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Representatives sorted by (sha, part): for each its leader, the first with equal bytes in its part; leaders carry text and sums."""
+    key, chain = None, []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for text, best, n, members in chain:
+            first = [True] + [False] * (len(members) - 1)
+            pick = lambda v: [v if f else None for f in first]  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(members)), pa.array(pick(text), pa.string()), pa.array(pick(n), pa.int64()), pa.array(pick(best[0] if best[0] != LOWEST else None), pa.int64()), pa.array(pick(best[1]), pa.int64()), pa.array(members, pa.int64()), pa.array([members[0]] * len(members), pa.int64())], FOLDED)
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("sha", "part", "n", "best_id", "best_row", "rep")]
+        for i, (sha, part, n, best, row, rep) in enumerate(zip(*columns, strict=True)):
+            if key != (sha, part):
+                yield from flush()
+                key, chain = (sha, part), []
+            text, best = batch.column("text")[i].as_py(), (LOWEST if best is None else best, row)
+            for entry in chain:
+                if entry[0] == text:
+                    entry[1], entry[2] = max(entry[1], best), entry[2] + n
+                    entry[3].append(rep)
+                    break
+            else:
+                chain.append([text, best, n, [rep]])
+    if key is not None:
+        yield from flush()
+
+
+FOLDED = ["sha", "text", "n", "best_id", "best_row", "rep", "lead"]
+
+
 def _owner(folder: str, bits: int):
     def build(group: pa.Table) -> pa.Table:
         owner = group.column("owner")[0].as_py()
         index = ExtendibleIndex(bits)
-        for sha, text, n, best, row, rep in zip(*(group.column(c).to_pylist() for c in ("sha", "text", "n", "best_id", "best_row", "rep")), strict=True):
-            index.add(bytes.fromhex(sha), text.encode(), (LOWEST if best is None else best, row), n, rep)
-        out: dict[str, list] = {k: [] for k in ("rep", "keep_id", "keep_row", "group_size")}
-        page: dict[str, list] = {k: [] for k in ("slot", "depth", "sha", "chained", "n_bytes", "keep_id", "group_size")}
+        for sha, text, n, best, row, lead in zip(*(group.column(c).to_pylist() for c in ("sha", "text", "n", "best_id", "best_row", "lead")), strict=True):
+            index.add(bytes.fromhex(sha), text if text is None else text.encode(), (LOWEST if best is None else best, row), n, lead)
+        page: dict[str, list] = {k.name: [] for k in PAGE}
         for slot, bucket in index.buckets():
             for sha, chain in bucket["chains"].items():
-                for link, (text, (doc, row), size, members) in enumerate(chain):
-                    doc = None if doc == LOWEST else doc
-                    for k, v in zip(page, (slot, bucket["depth"], sha, link, len(text), doc, size), strict=True):
+                for link, (_, (doc, row), size, members) in enumerate(chain):
+                    for k, v in zip(page, (slot, bucket["depth"], sha, link, None if doc == LOWEST else doc, row, size, members), strict=True):
                         page[k].append(v)
-                    for rep in members:
-                        for k, v in zip(out, (rep, doc, row, size), strict=True):
-                            out[k].append(v)
         meta = {"owner": str(owner), "owner_bits": str(bits), "depth": str(index.depth)}
-        pages = pa.table(page, schema=pa.schema([("slot", pa.int64()), ("depth", pa.int32()), ("sha", pa.binary()), ("chained", pa.int32()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())], metadata=meta))
-        common.put(f"{folder}/owner-{owner:08d}.parquet", lambda to: pq.write_table(pages, to))
-        return pa.table(out, schema=pa.schema([(k, pa.int64()) for k in out]))
+        path = f"{folder}/owner-{owner:08d}.parquet"
+        common.put(path, lambda to: pq.write_table(pa.table(page, schema=PAGE.with_metadata(meta)), to))
+        return pa.table({"path": [path], "entries": [len(page["sha"])]}, schema=pa.schema([("path", pa.string()), ("entries", pa.int64())]))
 
     return build
 
 
+PAGE = pa.schema([("slot", pa.int64()), ("depth", pa.int32()), ("sha", pa.binary()), ("chained", pa.int32()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64()), ("members", pa.list_(pa.int64()))])
+PAGE_SQL = "slot long, depth int, sha binary, chained int, keep_id long, keep_row long, group_size long, members array<long>"
+
+
 def group_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", index_folder: str | None = None) -> DataFrame:
     """(row, sha, keep_id, group_size, kept): every row of docs as a struct, with its group of equal texts.
 
-    index_folder gets the bucket pages, one Parquet file for each key range: slot, depth, sha, chained, n_bytes, keep_id, group_size.
+    index_folder gets the bucket pages, one Parquet file for each key range: slot, depth, sha, chained, keep_id, keep_row, group_size, members.
     """
     spark = docs.sparkSession
     folder = index_folder or common.work_folder(spark, "exact-index")
@@ -176,13 +212,26 @@ def group_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", in
     kind = T.StructType([rows.schema["row"], rows.schema["sha"], *(T.StructField(c, T.LongType()) for c in ("rep", "n", "best_id", "best_row", "row_key"))])
     rows = common.keep(rows.mapInArrow(_combine, kind), "exact-rows")
 
-    reps = rows.filter("n is not null").withColumn("text", F.coalesce(F.col("row")[text], F.lit("")))
-    total = reps.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, (total // OWNER_BYTES).bit_length())
+    reps = rows.filter("n is not null")
+    part = F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).cast("int").alias("part")
+    often = reps.groupBy("sha", part).agg(F.count("*").alias("reps")).groupBy("sha").agg(F.sum("reps").alias("reps"))
+    often = common.keep(often, "exact-often")
+    several = common.spread_join(reps.withColumn("text", F.coalesce(F.col("row")[text], F.lit(""))).drop("row"), often.filter("reps > 1").select("sha"), "sha", F.col("rep"))
+    dealt = several.select("sha", part, "text", "n", "best_id", "best_row", "rep").repartition("sha", "part").sortWithinPartitions("sha", "part")
+    folded = common.keep(dealt.mapInArrow(_fold, "sha string, text string, n long, best_id long, best_row long, rep long, lead long"), "exact-folded")
+    alone = common.spread_join(reps.select("sha", "n", "best_id", "best_row", "rep"), often.filter("reps = 1").select("sha"), "sha", F.col("rep"))
+    entries = alone.select("sha", F.lit(None).cast("string").alias("text"), "n", "best_id", "best_row", F.col("rep").alias("lead"))
+    entries = entries.unionByName(folded.filter("n is not null").select("sha", "text", "n", "best_id", "best_row", "lead"))
+
+    bits = max(0, (often.count() // OWNER_ENTRIES).bit_length())
     owner = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
     owner = F.shiftright(owner, 60 - bits) if bits else F.lit(0).cast("long")
-    groups = reps.select(owner.alias("owner"), "sha", "text", "n", "best_id", "best_row", "rep").groupBy("owner")
-    found = groups.applyInArrow(_owner(folder, bits), "rep long, keep_id long, keep_row long, group_size long")
+    made = entries.withColumn("owner", owner).groupBy("owner").applyInArrow(_owner(folder, bits), "path string, entries long")
+    common.keep(made, "exact-pages")
+    pages = read_index(spark, folder) if often.limit(1).count() else spark.createDataFrame([], PAGE_SQL)
+    found = pages.select(F.explode("members").alias("lead"), "keep_id", "keep_row", "group_size")
+    led = folded.select("rep", "lead").join(found, "lead").drop("lead")
+    found = found.join(folded.select("lead").distinct(), "lead", "left_anti").withColumnRenamed("lead", "rep").unionByName(led.select("rep", "keep_id", "keep_row", "group_size"))
     return rows.select("row", "sha", "rep", "row_key").join(found, "rep").select("row", "sha", "keep_id", "group_size", (F.col("row_key") == F.col("keep_row")).alias("kept"))
 
 
@@ -193,7 +242,7 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def read_index(spark, folder: str) -> DataFrame:
     """The bucket pages written by group_copies(index_folder=...)."""
-    return spark.read.parquet(folder)
+    return spark.read.schema(PAGE_SQL).parquet(folder)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

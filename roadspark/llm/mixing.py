@@ -4,14 +4,14 @@ Every source has a target number of words: the total shared by weight, at most `
 the excess shared anew by weight among the others (water-filling, solved by one running sum over sources sorted by the
 level at which they are full). The source is then taken in complete epochs, and the rest of its target from documents
 in the order of -ln(u) / quality, where u is a seeded hash of doc_id and text: a weighted sample without replacement.
-The document at which the rest ends is taken in part.
+The document at which the rest ends is taken in part. The quality is a column, where one is named, else a function of the mean length of words.
 
 No source is sorted as a whole: its keys fall into buckets by value, sums per bucket find the one bucket in which the
 rest ends, and only that bucket's rows are put in order.
 
 Null text has size 0 and is taken zero times. Null sources form one source, last in order. Rows that repeat both id
-and text share a key and are ordered among themselves by size alone, so which of them is taken makes no difference.
-Empty tables give no row.
+and text share a key and are ordered among themselves by size alone, so which of them is taken makes no difference. Of a very long
+text only the size and a digest are kept. Empty tables give no row; other columns, whatever their names, travel along untouched.
 """
 
 from __future__ import annotations
@@ -58,14 +58,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return full.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * water), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
-    """(row, size, source_size, target, taken): every row of docs as a struct, with the words the mix takes from it, repeats counted."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED, quality: str | None = None) -> DataFrame:
+    """(row, size, source_size, target, taken): every row of docs as a struct, with the words the mix takes from it, repeats counted.
+
+    quality names a column with each document's quality weight (a classifier's score, say); what is null or not positive counts as 0.001.
+    """
     raw = common.packed_rows(docs)
     body = F.col("row")[text]
     rows = raw.withColumn("size", size_of(body))
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("row")[doc_id].cast("string"), F.lit("")), F.md5(F.coalesce(body, F.lit("")).cast("binary"))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
-    rows = rows.select("row", "size", F.col("row")[source].alias("source"), (-F.log(u) / quality_of(body, F.col("size"))).alias("key"), digest.alias("tie"))
+    good = quality_of(body, F.col("size")) if quality is None else F.greatest(F.coalesce(F.nanvl(F.col("row")[quality].cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.001))
+    rows = rows.select("row", "size", F.col("row")[source].alias("source"), (-F.log(u) / good).alias("key"), digest.alias("tie"))
 
     buckets = max(1, round(docs.count() ** 0.5))  # the sums of a source, and the rows of its last bucket, both grow with the root only
     rows = rows.withColumn("bucket", F.floor((1.0 - F.exp(-0.7 * F.col("key"))) * buckets))

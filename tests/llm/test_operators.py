@@ -179,6 +179,24 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.materialise(none).count() == 0
 
 
+def test_mixing_prefers_quality(spark):
+    data = [(i, "one two three four", "s" if i < 400 else "t", 1.0 if i % 2 else 0.05) for i in range(420)] + [(1000, "five words are in this", "t", None)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string, q double"), weights=(1.0, 20.0), quality="q").select("row.q", "row.source", "size", "taken").collect()
+    share = {q: sum(r.taken for r in got if r.source == "s" and r.q == q) / sum(r.size for r in got if r.source == "s" and r.q == q) for q in (1.0, 0.05)}
+    assert share[1.0] - int(share[1.0]) > 3 * (share[0.05] - int(share[0.05])) or share[1.0] > share[0.05] + 0.2
+
+
+def test_copies_over_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "STRETCH_BYTES", 200)
+    monkeypatch.setattr(exact_dedup, "OWNER_ENTRIES", 8)
+    data = [(i, "the same text " * (i % 3) if i % 2 else f"text {i}") for i in range(600)]
+    got = exact_dedup.group_copies(spark.createDataFrame(data, "doc_id long, text string").repartition(8)).select("row.doc_id", "row.text", "keep_id", "group_size", "kept").collect()
+    groups = collections.defaultdict(list)
+    for i, t in data:
+        groups[t].append(i)
+    assert len(got) == 600 and all((r.keep_id, r.group_size, r.kept) == (max(groups[r.text]), len(groups[r.text]), r.doc_id == max(groups[r.text])) for r in got)
+
+
 def test_pseudonyms(spark, docs, none):
     text = "+1 (988) 555-2485, 4041894974608795 not 4041894974608796; 42.144.35.254 not 300.1.1.1; a.b@c.com 1980-02-29 not 1981-02-29; GB82WEST12345698765432 123-45-6789 not 000-11-2222 4041-8949-7460-8795"
     df = spark.createDataFrame([(1, text), (2, "again 4041894974608795."), (3, None), (4, ""), (5, "plain. 12 words")], "doc_id long, text string")
