@@ -606,14 +606,3 @@ def test_query_equals_sql(spark, module):
     tidy = lambda v: round(v, 6) if isinstance(v, float) else v
     want = db.sql(module.SQL).select(*columns).fetchall()
     assert sorted(tuple(map(tidy, r)) for r in df.select(*columns).collect()) == sorted(tuple(map(tidy, r)) for r in want)
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    n, columns = docs.count(), docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = common.keep(stage(spark, docs, SMALL), name)
-        assert docs.columns == columns and 0.5 * n < docs.count() <= 1.5 * n
-    assert corpus_pipeline.run(spark, SMALL).count() > 0
