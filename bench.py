@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-QUERIES = ["edges_fastest", "edge_costs", "sssp_time", "route_batch", "nearest_vertex", "od_matrix", "tile_index", "roads_in_view", "shared_edges"]
+QUERIES = ["edges_fastest", "edge_costs", "sssp_time", "route_batch", "nearest_vertex", "od_matrix", "od_matrix_distance", "tile_index", "roads_in_view", "shared_edges"]
 
 
 def main() -> None:

@@ -7,6 +7,7 @@ import random
 import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,7 +282,7 @@ def test_pbf(spark, tmp_path):
     assert [(r.osm_id, round(r.lat, 7), round(r.lon, 7)) for r in pbf.read(spark, path, "node").collect()] == nodes
     assert {r.entity: r.rows for r in pbf.info(spark, path).collect()} == {"node": 3, "way": 3}
     g = RoadGraph.from_pbf(spark, path)
-    assert g.vertices.count() == 3 and sorted((r.src, r.dst) for r in g.edges.collect()) == [(0, 1), (1, 0), (1, 2), (2, 0), (2, 1)][:0] + sorted([(2, 0), (0, 1), (1, 0), (1, 2), (2, 1)])
+    assert g.vertices.count() == 3 and sorted((r.src, r.dst) for r in g.edges.collect()) == [(0, 1), (1, 0), (1, 2), (2, 0), (2, 1)]
 
 
 def test_lists(spark, tmp_path):
@@ -296,6 +297,37 @@ def test_lists(spark, tmp_path):
         files.read_coordinates(spark, str(tmp_path / "bad.txt"))
 
 
+def test_pairs_orders_and_fleets(spark, tmp_path):
+    (tmp_path / "pairs.csv").write_text("lat,lon,lat2,lon2\n52.595, 38.408,57.2603,32.7003\n55.555,35.555,56.666,34.444\n")
+    assert [tuple(r) for r in files.read_pairs(spark, str(tmp_path / "pairs.csv")).collect()] == [(52.595, 38.408, 57.2603, 32.7003), (55.555, 35.555, 56.666, 34.444)]
+    (tmp_path / "orders.csv").write_text("id,lat,lon,demand,tw_start,tw_end\n0,55.755826,37.617299,0,0,86400\n3, 55.741511,37.612033, 25,10000,50400\n")
+    assert [tuple(r) for r in files.read_orders(spark, str(tmp_path / "orders.csv")).collect()] == [(0, 55.755826, 37.617299, 0, 0, 86400), (3, 55.741511, 37.612033, 25, 10000, 50400)]
+    (tmp_path / "fleet.csv").write_text("vehicle_id,capacity\n1,50\n2, 100\n")
+    assert [tuple(r) for r in files.read_fleet(spark, str(tmp_path / "fleet.csv")).collect()] == [(1, 50), (2, 100)]
+
+
+def test_written_lists(spark, graph, tmp_path):
+    files.write_id_map(graph.vertices, str(tmp_path / "map"))
+    rows = [line for p in sorted((tmp_path / "map").glob("*.csv")) for line in p.read_text().splitlines() if not line.startswith("dense_id")]
+    assert len(rows) == graph.vertices.count() and rows[0].split(",")[0] == "1"
+    q = spark.createDataFrame([(2, 0, 50), (1, 7, 7), (3, 0, 10**9)], "qid long, src long, dst long")
+    files.write_search(graph.route(q, "distance", full=True), str(tmp_path / "found"), full=True)
+    lines = next((tmp_path / "found").glob("*.txt")).read_text().splitlines()
+    assert lines[0] == files.SEARCH_TITLE and lines[1] == "0.000000 0.000000 1 8" and lines[3] == "-1 -1 0"
+    assert [r.nodes[0] for r in files.read_results(spark, str(tmp_path / "found")).filter("size(nodes) > 0").collect()] == [7, 0]
+
+
+def test_old_graph_files_have_no_speeds(spark, tmp_path):
+    n = 2
+    body = (n).to_bytes(8, "little") + np.arange(n, dtype="<u4").tobytes() + np.array([[1.0, 1.0], [1.0, 1.1]], "<f8").tobytes() + np.array([1, 1], "<u4").tobytes() + np.array([1], "<u4").tobytes()
+    (tmp_path / "old.bin").write_bytes(body)
+    g = RoadGraph.read_binary(spark, str(tmp_path / "old.bin"))
+    q = spark.createDataFrame([(1, 0, 1)], "qid long, src long, dst long")
+    assert g.route(q, "distance").first().n_nodes == 2
+    with pytest.raises(ValueError, match="without speed"):
+        g.route(q, "time")
+
+
 def test_reports_are_read_back(spark, tmp_path):
     text = files.tour_report([(55.7, 37.6, 4), (55.5, 37.7, 9)], [0, 1], 12.5, 300.0, "time", [(6.0, 150.0, [4, 6, 9]), (6.5, 150.0, [9, 4])])
     routes = files.parse_results(text)
