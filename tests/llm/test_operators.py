@@ -23,7 +23,7 @@ def rows():
     rng = np.random.default_rng(5)
     words = "road bridge river stone lamp green walk quiet harbour seven".split()
     prose = [" ".join(rng.choice(words, n)) for n in (3, 40, 200, 900)]
-    texts = [None, "", "   ", "a", "a", "A", prose[0], prose[1], prose[1] + " end", prose[2], PASSAGE + prose[2], prose[0] + PASSAGE * 2, "x " * 4000, "é日本 ñ" * 30, prose[3], PASSAGE, prose[1], None]
+    texts = [None, "", "   ", "a", "a", "A", prose[0], prose[1], prose[1] + " end", prose[2], PASSAGE + prose[2], prose[0] + PASSAGE * 2, "x " * 600_000, "é日本 ñ" * 30, prose[3], PASSAGE, prose[1], None]
     ids = [*range(len(texts) - 2), 3, None]
     sources = ["s1", None, "s2", "s3", "s1", "s1"]
     out = [(i, t, sources[k % 6], "en") + ("x", 1, 0.5, 0.5, "r", 9) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
