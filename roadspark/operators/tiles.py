@@ -52,8 +52,8 @@ def roads(edges: DataFrame, points: DataFrame) -> DataFrame:
     return out.join(at("lo", 1), "lo").join(at("hi", 2), "hi").select("lo", "hi", "speed_mps", "tier", "x1", "y1", "x2", "y2")
 
 
-def tile_index(road: DataFrame, points: DataFrame) -> DataFrame:
-    """(level, tile_x, tile_y, lo, hi, tier): every tile that a road's bounding box touches, at each level that shows its tier."""
+def tile_runs(road: DataFrame, points: DataFrame) -> DataFrame:
+    """(level, tile_y, x_from, x_to, lo, hi, tier): the tiles that a road's bounding box touches, at each level that shows its tier, as a run for each row of tiles."""
     b = bounds(points).withColumn("longer", F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))
     levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(n).alias("tiles"), F.lit(t).alias("least")) for k, n, t in LEVELS])
     rows = road.join(F.broadcast(b), F.lit(True)).withColumn("l", F.explode(F.filter(levels, lambda k: k["least"] <= F.col("tier"))))
@@ -61,8 +61,13 @@ def tile_index(road: DataFrame, points: DataFrame) -> DataFrame:
     span = lambda low, high: F.greatest(F.lit(1), F.ceil((F.col(high) - F.col(low)) / size))
     place = lambda f, a, low, high: _index(f(F.col(f"{a}1"), F.col(f"{a}2")), F.col(low), size, span(low, high))
     rows = rows.select("lo", "hi", "tier", F.col("l.level").alias("level"), *[place(f, a, f"min_{a}", f"max_{a}").alias(n) for n, f, a in (("x_from", F.least, "x"), ("x_to", F.greatest, "x"), ("y_from", F.least, "y"), ("y_to", F.greatest, "y"))])
-    rows = rows.withColumn("tile_x", F.explode(F.sequence("x_from", "x_to"))).withColumn("tile_y", F.explode(F.sequence("y_from", "y_to")))
-    return rows.select("level", "tile_x", "tile_y", "lo", "hi", "tier")
+    return rows.select("level", F.explode(F.sequence("y_from", "y_to")).alias("tile_y"), "x_from", "x_to", "lo", "hi", "tier")
+
+
+def tile_index(road: DataFrame, points: DataFrame) -> DataFrame:
+    """(level, tile_x, tile_y, lo, hi, tier): the runs tile by tile."""
+    runs = tile_runs(road, points).withColumn("tile_x", F.explode(F.sequence("x_from", "x_to")))
+    return runs.select("level", "tile_x", "tile_y", "lo", "hi", "tier")
 
 
 def in_view(x1: float, y1: float, x2: float, y2: float) -> Column:
@@ -121,10 +126,10 @@ def range_of_view(box: DataFrame, view: tuple[float, float, float, float], cell:
     return box.select(at(view[0], "x").alias("x_from"), at(view[2], "x").alias("x_to"), at(view[1], "y").alias("y_from"), at(view[3], "y").alias("y_to"))
 
 
-def roads_by_tiles(index: DataFrame, road: DataFrame, tile_range: DataFrame, level: int, view: tuple[float, float, float, float]) -> DataFrame:
-    """Roads of a view through the index: the tiles of the range at one level, each road once, weak tiers first."""
-    r = F.broadcast(tile_range)  # one row
-    hits = index.filter(F.col("level") == level).join(r, F.col("tile_x").between(F.col("x_from"), F.col("x_to")) & F.col("tile_y").between(F.col("y_from"), F.col("y_to")))
+def roads_by_tiles(runs: DataFrame, road: DataFrame, tile_range: DataFrame, level: int, view: tuple[float, float, float, float]) -> DataFrame:
+    """Roads of a view through the tile runs: those that meet the range at one level, each road once, weak tiers first."""
+    r = F.broadcast(tile_range.select(*[F.col(c).alias(f"view_{c}") for c in ("x_from", "x_to", "y_from", "y_to")]))  # one row
+    hits = runs.filter(F.col("level") == level).join(r, F.col("tile_y").between(F.col("view_y_from"), F.col("view_y_to")) & (F.col("x_from") <= F.col("view_x_to")) & (F.col("x_to") >= F.col("view_x_from")))
     return hits.select("lo", "hi").distinct().join(road, ["lo", "hi"]).filter(in_view(*view)).orderBy("tier", "lo", "hi")
 
 
@@ -135,11 +140,11 @@ def tile_range(points: DataFrame, view: tuple[float, float, float, float], level
     return range_of_view(bounds(points), view, F.greatest(longer / tiles, F.lit(1e-12)))
 
 
-def draw_roads(index: DataFrame, road: DataFrame, points: DataFrame, view: tuple[float, float, float, float], zoom: float, has_speeds: bool = True) -> DataFrame:
+def draw_roads(runs: DataFrame, road: DataFrame, points: DataFrame, view: tuple[float, float, float, float], zoom: float, has_speeds: bool = True) -> DataFrame:
     """The roads of a view at a zoom, weak tiers first: the zoom picks the level, the view its tiles, and these the roads."""
     level = next((k for k, edge in enumerate(expr.LEVEL_ZOOMS) if zoom < edge), 4) if has_speeds else 4
     least = next(t for k, _, t in LEVELS if k == level)
-    return roads_by_tiles(index.filter(F.col("tier") >= least), road, tile_range(points, view, level), level, view)
+    return roads_by_tiles(runs.filter(F.col("tier") >= least), road, tile_range(points, view, level), level, view)
 
 
 def raster_range(box: DataFrame, view: tuple[float, float, float, float], zoom: float, pixels: int = 512) -> DataFrame:

@@ -345,8 +345,10 @@ i AS (SELECT level, lo, hi, tier, CAST(greatest(0, least(greatest(1, ceil((max_x
 CAST(greatest(0, least(greatest(1, ceil((max_y - min_y) / size)) - 1, floor((least(y1, y2) - min_y) / size))) AS INT) AS ya, CAST(greatest(0, least(greatest(1, ceil((max_y - min_y) / size)) - 1, floor((greatest(y1, y2) - min_y) / size))) AS INT) AS yb FROM s)
 SELECT level, tier, count(*) AS roads, CAST(sum((xb - xa + 1) * (yb - ya + 1)) AS BIGINT) AS entries FROM i GROUP BY level, tier""")
 def tile_index(spark, d):
+    """Roads and index entries of each level and tier; runs are counted by their length."""
     road, points = _roads(spark, d)
-    return tiles.tile_index(road, points).groupBy("level", "tier", "lo", "hi").agg(F.count("*").alias("n")).groupBy("level", "tier").agg(F.count("*").alias("roads"), F.sum("n").alias("entries"))
+    each = tiles.tile_runs(road, points).groupBy("level", "tier", "lo", "hi").agg(F.sum(F.col("x_to") - F.col("x_from") + 1).alias("n"))
+    return each.groupBy("level", "tier").agg(F.count("*").alias("roads"), F.sum("n").alias("entries"))
 
 
 @query(f"WITH {ROADS} SELECT tier, lo, hi FROM roads WHERE {SEEN} AND tier >= 2")
@@ -392,7 +394,7 @@ def roads_by_tiles(spark, d):
     """Roads of the view at a zoom, through the tile index."""
     road, points = _roads(spark, d)
     road = storage.keep(road)
-    return tiles.draw_roads(tiles.tile_index(road, points), road, points, VIEW, 50_000.0).select("tier", "lo", "hi")
+    return tiles.draw_roads(tiles.tile_runs(road, points), road, points, VIEW, 50_000.0).select("tier", "lo", "hi")
 
 
 CELLS = f"""WITH {ROADS}, g AS (SELECT *, greatest(greatest(max_x - min_x, max_y - min_y) / 350, 2e-5::DOUBLE) AS cell FROM box),

@@ -358,7 +358,9 @@ def test_view_through_tiles(spark, graph):
     view, box = registry.VIEW, tiles.bounds(tiles.projected(graph.vertices))
     b = box.first()
     size = max(b.max_x - b.min_x, b.max_y - b.min_y) / 256
-    found = tiles.roads_by_tiles(tiles.tile_index(road, points), road, tiles.range_of_view(box, view, size), 4, view)
+    runs = tiles.tile_runs(road, points)
+    assert tiles.tile_index(road, points).count() == runs.selectExpr("sum(x_to - x_from + 1) as n").first().n
+    found = tiles.roads_by_tiles(runs, road, tiles.range_of_view(box, view, size), 4, view)
     assert sorted((r.lo, r.hi) for r in found.collect()) == sorted((r.lo, r.hi) for r in road.filter(tiles.in_view(*view)).collect())
     one = spark.createDataFrame([(0.0, 10.0, 0.0, 1.0)], "min_x double, max_x double, min_y double, max_y double")
     assert [tuple(r) for r in tiles.raster_range(one, (0.6, -3.0, 20.0, 0.9), 1024.0).collect()] == [(1, 19, 0, 1)]
