@@ -13,7 +13,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadspark.functions import expr
@@ -167,19 +167,20 @@ def fits_kernel(costed: DataFrame, vertex: DataFrame | None = None) -> bool:
     return costed.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES and (vertex is None or vertex.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES)
 
 
-def check_metric(costed: DataFrame, metric: str) -> None:
-    """Times need speeds: an edge without one makes a search by time an error."""
+def stored(costed: DataFrame, metric: str) -> DataFrame:
+    """costed written once, as it is counted and read several times. Times need speeds: an edge without one makes a search by time an error."""
     if metric not in COST:
         raise ValueError("metric is time or distance")
-    if metric == "time" and "speed_mps" in costed.columns and not costed.filter("speed_mps is null").isEmpty():
+    speed = ["speed_mps"] if "speed_mps" in costed.columns else []
+    out = storage.keep(costed.select("src", "dst", "dist_m", "time_s", *speed))
+    if metric == "time" and speed and not out.filter("speed_mps is null").isEmpty():
         raise ValueError("the graph has edges without speed, so only distance can be searched")
+    return out.drop(*speed)
 
 
 def from_sources(costed: DataFrame, sources: DataFrame, metric: str = "time", method: str = "auto", goals: DataFrame | None = None) -> DataFrame:
     """(src, v, cost, time_s, dist_m): the least cost from each of sources(src) to every vertex it reaches, or to goals(v) alone, and both totals of the same path."""
-    check_metric(costed, metric)
-    spark = costed.sparkSession
-    costed = storage.keep(costed.select("src", "dst", "dist_m", "time_s"))
+    costed = stored(costed, metric)
     wanted = None if goals is None else goals.select("v").distinct()
     if method == "parts" or method == "auto" and (not fits_kernel(costed) or wanted is not None and wanted.limit(GOALS_A_TASK + 1).count() > GOALS_A_TASK):
         state = by_parts(costed, sources, metric)
@@ -205,7 +206,7 @@ def from_sources(costed: DataFrame, sources: DataFrame, metric: str = "time", me
     return spread.repartition(tasks, "src").mapInPandas(run, "src long, v long, cost double, time_s double, dist_m double")
 
 
-def _parts(spark: SparkSession, costed: DataFrame, vertex: DataFrame | None) -> DataFrame:
+def _parts(costed: DataFrame, vertex: DataFrame | None) -> DataFrame:
     """(vid, part): parts of PART_VERTICES vertices along the Z-order of their places, or of their numbers where no places are given."""
     if vertex is None:
         ends = costed.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
@@ -269,9 +270,8 @@ def by_parts(costed: DataFrame, sources: DataFrame, metric: str = "time", vertex
 
     Each round searches every part that got offers, and writes its labels; a part without offers is carried over as it is.
     """
-    spark = costed.sparkSession
-    store = storage.Store(spark)
-    parts = store.keep(_parts(spark, costed, vertex))
+    store = storage.Store(costed.sparkSession)
+    parts = store.keep(_parts(costed, vertex))
     at = lambda end, name: parts.select(F.col("vid").alias(end), F.col("part").alias(name))
     edges = costed.filter("src <> dst").select("src", "dst", F.col(COST[metric]).alias("cost"), "time_s", "dist_m").join(at("src", "part"), "src").join(at("dst", "to"), "dst")
     edges = store.keep(edges.select("part", *EDGES))
@@ -317,9 +317,8 @@ def _far_routes(costed: DataFrame, known: DataFrame, metric: str, full: bool, ve
 
 def routes(costed: DataFrame, vertex: DataFrame, queries: DataFrame, metric: str = "time", full: bool = True) -> DataFrame:
     """(qid, src, dst, time_s, dist_m, n_nodes, path) for queries(qid, src, dst); nulls where there is no route or an id is unknown."""
-    check_metric(costed, metric)
+    costed = stored(costed, metric)
     known = queries.join(vertex.select(F.col("vid").alias("src")), "src", "left_semi").join(vertex.select(F.col("vid").alias("dst")), "dst", "left_semi")
-    costed = storage.keep(costed.select("src", "dst", "dist_m", "time_s"))  # counted and then read again
     if not fits_kernel(costed, vertex):
         found = _far_routes(costed, known, metric, full, vertex)
         return queries.join(found, "qid", "left").select("qid", "src", "dst", "time_s", "dist_m", "n_nodes", "path")
