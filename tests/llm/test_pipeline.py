@@ -65,8 +65,8 @@ def plain_pipeline(docs, network):
         for i, t, x in docs:
             if x == s:
                 tie = hashlib.md5(f"mix-1|{i}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()
-                score = max(float(network.score([(t or "").encode()])[0]), 0.001)
-                keys.append((-math.log((int(tie[:12], 16) + 0.5) / 16**12) / score, tie, size[i], i, t))
+                good = 0.5 if t is None else 1 / (1 + min(abs((len(t) + 1) / (size[i] + 1) - 7) / 7, 1))
+                keys.append((-math.log((int(tie[:12], 16) + 0.5) / 16**12) / good, tie, size[i], i, t))
         for _, _, n, i, t in sorted(keys, key=lambda k: k[:3]):
             more = min(n, rest)
             rest -= more
