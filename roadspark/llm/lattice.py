@@ -33,7 +33,7 @@ TABLES, POINTS, SCALE = 5, 2, 0.45
 SEED = 17
 SMALL_BLOCK = 12
 #: Entries of one cell that are compared in one block.
-PART_ROWS = 256
+PART_ROWS = 128
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
