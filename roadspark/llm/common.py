@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +118,19 @@ def packed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def rows_and_text(docs: DataFrame, text: str, columns: list[str] | None = None) -> tuple[DataFrame, int | None]:
+    """docs (or some of its columns) as a struct `row`, and the text beside it unless it is in there; where it is, its number among the fields."""
+    names = columns or docs.columns
+    field = names.index(text) if text in names else None
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    return docs.select(row, *([] if field is not None else [F.col(f"`{text}`").alias("text")])), field
+
+
+def texts_of(batch: pa.RecordBatch, field: int | None) -> pa.Array:
+    """The texts of a batch of rows_and_text(); null is empty."""
+    return pc.fill_null(batch.column("text") if field is None else batch.column("row").field(field), "")
+
+
 def spread_join(rows: DataFrame, unique: DataFrame, key: str | list[str], salt: Column, how: str = "inner") -> DataFrame:
     """rows joined to unique, which has one row for each key. The rows of a hot key are dealt over SALTS parts.
 

@@ -18,6 +18,7 @@ results; extra columns, whatever their names, travel along untouched.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -88,8 +89,8 @@ class ExtendibleIndex:
             last = bucket
 
 
-def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds rep, n, best_id, best_row to (row, sha, text, id); text stays on representatives only."""
+def _combine(field: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds rep, n, best_id, best_row to (row, sha, id), where row has the text; all but rep stand on representatives only."""
     context = TaskContext.get()
     serial = ((context.partitionId() if context else 0) << 36) + 1
 
@@ -118,7 +119,7 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own_rows: list = []
     size, first_row = 0, serial
     for batch in batches:
-        shas, texts, ids = batch.column("sha").to_pylist(), batch.column("text"), batch.column("id").to_pylist()
+        shas, texts, ids = batch.column("sha").to_pylist(), common.texts_of(batch, field), batch.column("id").to_pylist()
         for i, (sha, doc) in enumerate(zip(shas, ids, strict=True)):
             best = (LOWEST if doc is None else doc, serial)
             own_rows.append(serial)
@@ -143,6 +144,7 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from flush()
             held, chains, stats, reps, own_rows, size, first_row = [], {}, [], [], [], 0, serial
     yield from flush()
+    pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
 
 def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +209,10 @@ def group_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", in
     """
     spark = docs.sparkSession
     folder = index_folder or common.work_folder(spark, "exact-index")
-    rows = common.packed_rows(docs).withColumn("text", F.coalesce(F.col("row")[text], F.lit("")))
-    rows = rows.select("row", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text", F.col("row")[doc_id].cast("long").alias("id"))
+    rows, field = common.rows_and_text(docs, text)
+    rows = rows.select("row", F.sha2(F.coalesce(F.col("row")[text], F.lit("")).cast("binary"), 256).alias("sha"), F.col("row")[doc_id].cast("long").alias("id"))
     kind = T.StructType([rows.schema["row"], rows.schema["sha"], *(T.StructField(c, T.LongType()) for c in ("rep", "n", "best_id", "best_row", "row_key"))])
-    rows = common.keep(rows.mapInArrow(_combine, kind), "exact-rows")
+    rows = common.keep(rows.mapInArrow(partial(_combine, field), kind), "exact-rows")
 
     reps = rows.filter("n is not null")
     part = F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).cast("int").alias("part")

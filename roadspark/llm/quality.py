@@ -171,18 +171,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, sa
 def score(docs: DataFrame, network: Network, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """(row, score): every row of docs (or some of its columns) as a struct with the probability of label 1."""
     weights = pickle.dumps(network)
+    rows, field = common.rows_and_text(docs, text, columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(weights)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                scores = own.score([t.encode() for t in part.column("text").to_pylist()])
+                scores = own.score([t.encode() for t in common.texts_of(part, field).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), common.text_or_empty(f"`{text}`").alias("text"))
-    kind = rows.select("row", F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, rows.select("row", F.lit(0.0).alias("score")).schema)
 
 
 def keep_good(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:

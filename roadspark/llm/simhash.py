@@ -83,10 +83,10 @@ def _majority(hashes: np.ndarray) -> int:
     return int(more)
 
 
-def _print(shingle: int):
+def _print(shingle: int, field: int | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.encode(), shingle) for t in batch.column("text").to_pylist()], np.uint64)
+            prints = np.array([fingerprint(t.as_py().encode(), shingle) for t in common.texts_of(batch, field)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints.view(np.int64)), pa.array(np.arange(len(prints)))], ["row", "print", "serial"])
 
     return run
@@ -133,9 +133,9 @@ def link_prints(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 def group_near(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, text: str = "text", doc_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """(row, print, root, component_id): every row of docs (or some of its columns) as a struct, with its group of near-duplicates: a fingerprint that stands for it, and its smallest doc_id."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), common.text_or_empty(f"`{text}`").alias("text"))
+    rows, field = common.rows_and_text(docs, text, columns)
     kind = T.StructType([rows.schema["row"], T.StructField("print", T.LongType()), T.StructField("serial", T.LongType())])
-    rows = common.keep(rows.mapInArrow(_print(shingle), kind), "prints")
+    rows = common.keep(rows.mapInArrow(_print(shingle, field), kind), "prints")
     entries = common.keep(rows.groupBy("print").agg(F.min(F.col("row")[doc_id]).alias("least_id")), "entries")
     label = common.components(link_prints(entries))
     entries = entries.join(label, F.col("print") == F.col("node"), "left").withColumn("root", F.coalesce("component", "print"))
