@@ -41,10 +41,11 @@ def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
     The ranges come from a sample of the keys, so they are even however the keys are spread. Equal keys stay in one range.
     """
     inside = lambda w: F.row_number().over(w.orderBy(key))
-    if rows.limit(BUCKET_ROWS + 1).count() <= BUCKET_ROWS:
-        return rows.withColumn(name, (inside(Window.partitionBy()) - 1).cast("long"))
     rows = storage.keep(rows)
-    ranged = storage.keep(rows.repartitionByRange(-(-rows.count() // BUCKET_ROWS), key).withColumn("__range", F.spark_partition_id()))
+    n = rows.count()
+    if n <= BUCKET_ROWS:
+        return rows.withColumn(name, (inside(Window.partitionBy()) - 1).cast("long"))
+    ranged = storage.keep(rows.repartitionByRange(-(-n // BUCKET_ROWS), key).withColumn("__range", F.spark_partition_id()))
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size"))
     before = sizes.select("__range", F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     ranked = ranged.withColumn("__inside", inside(Window.partitionBy("__range"))).join(before, "__range")

@@ -141,13 +141,13 @@ class Csr:
 
 
 def _broadcast_graph(costed: DataFrame, metric: str, vertex: DataFrame | None = None):
-    pdf = costed.filter("src <> dst").select("src", "dst", "dist_m", "time_s").toPandas()
-    arrays = [pdf[c].to_numpy() for c in ("src", "dst", COST[metric], "dist_m", "time_s")]
+    edges = costed.filter("src <> dst").select("src", "dst", "dist_m", "time_s").toArrow()
+    arrays = [edges.column(c).to_numpy() for c in ("src", "dst", COST[metric], "dist_m", "time_s")]
     if vertex is not None:
-        place = vertex.select("vid", "lat", "lon").toPandas()
+        place = vertex.select("vid", "lat", "lon").toArrow()
         timed = arrays[4] > 0
         fastest = float((arrays[3][timed] / arrays[4][timed]).max(initial=expr.MIN_SPEED_MPS)) * (1 + 1e-9)
-        arrays += [tuple(place[c].to_numpy() for c in ("vid", "lat", "lon")), fastest]
+        arrays += [tuple(place.column(c).to_numpy() for c in ("vid", "lat", "lon")), fastest]
     return uuid.uuid4().hex, costed.sparkSession.sparkContext.broadcast(arrays)
 
 
