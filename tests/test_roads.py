@@ -411,9 +411,8 @@ def test_query_equals_sql(spark, name):
     assert sorted((tuple(map(tidy, r)) for r in got), key=repr) == sorted((tuple(map(tidy, r)) for r in want), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_other_queries_run(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
 
 
 @pytest.mark.parametrize(("value", "want"), [(5.123456, "5.12346"), (100.0, "100"), (0.0, "0"), (-55.7558, "-55.7558"), (0.00001234567, "1.23457e-05"), (1234567.0, "1.23457e+06"), (37.0, "37"), (0.5, "0.5"), (123456.0, "123456"), (-0.000123456789, "-0.000123457")])
