@@ -615,3 +615,24 @@ def search_bounds(spark, d):
         "src", "dst", expr.undirected_key(F.col("src"), F.col("dst")).alias("key"), F.round(expr.heuristic(F.col("to_goal"), "distance"), 3).alias("metres"),
         F.round(expr.heuristic(F.col("to_goal"), "time"), 3).alias("seconds"), F.round(expr.potential(F.col("to_goal"), F.col("from_start")), 3).alias("potential"),
     )
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS pos, TRUE AS begins, TRUE AS leads_on, TRUE AS same_time FROM nation")
+def tsp_legs(spark, d):
+    """Whether each leg of the tour of all stops begins at its stop, leads to the next one, and takes the time that its edges add up to."""
+    road = RoadGraph(*graph(spark, d))
+    tour = storage.keep(road.tsp(fixtures.stops(spark, d), full=True))
+    after = tour.select(F.pmod(F.col("pos") - 1, F.lit(tour.count())).cast("int").alias("pos"), F.col("vid").alias("next"))
+    summed = paths.path_totals(tour.select(F.col("pos").alias("qid"), "path"), road.costed()).select(F.col("qid").alias("pos"), "time_s")
+    rows = tour.join(after, "pos").join(summed, "pos")
+    last = F.element_at("path", -1)
+    return rows.select("pos", (F.get("path", F.lit(0)) == F.col("vid")).alias("begins"), (last == F.col("next")).alias("leads_on"), (F.abs(F.col("leg_time_ms") - F.col("time_s") * 1000) <= 1.001).alias("same_time"))
+
+
+@query("SELECT count(*) - 1 AS visited, TRUE AS closed, TRUE AS timed FROM nation")
+def plan_texts(spark, d):
+    """The text of the plan for all orders, read back: its visits, and whether each route ends where it begins and has its time."""
+    text = RoadGraph(*graph(spark, d)).vrp_report(fixtures.vrp_orders(spark, d), fixtures.fleet(spark, d))
+    routes = files.parse_texts(spark.createDataFrame([(text,)], "value string"))
+    visits = F.size(F.filter("targets", lambda t: ~t["depot"]))
+    return routes.agg(F.sum(visits).alias("visited"), F.every(F.get("nodes", F.lit(0)) == F.element_at("nodes", -1)).alias("closed"), F.every(F.col("time_s") > 0).alias("timed"))
