@@ -171,9 +171,9 @@ class Parse:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
     def pieces_of(self, chosen: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each piece of the chosen phrases whose string is shared (phrase, slot): number of the phrase, first byte, windows, hash of the string, record; and how many there are in each segment."""
+        """For each piece of the chosen phrases whose string is shared (phrase, slot): number of the phrase, first byte, windows, hash of the string, hash of it all, record; and how many there are in each segment."""
         width = self.length + STEP - 1
-        out, counts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros((0, width + 2), np.uint8))], []
+        out, counts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros((0, width + 2), np.uint8))], []
         for own, data, sums in self._chosen(chosen & shared.any(axis=1)):
             counts.append(0)
             for slot in range(self.slots):
@@ -186,7 +186,8 @@ class Parse:
                 record[:, 0], record[:, 1] = begin - (at - STEP + 1), windows
                 inside = place < (windows + self.length - 1)[:, None]
                 record[:, 2:] = np.where(inside, data[np.minimum(begin[:, None] + place, len(data) - 1)], 0)
-                out.append((own[rows], begin, windows, _mix(sums[0].of(at, at + self.length - STEP + 1) ^ U(slot + 1)), record))
+                string, whole = sums[0].of(at, at + self.length - STEP + 1), sums[1].of(begin, begin + windows + self.length - 1)
+                out.append((own[rows], begin, windows, _mix(string ^ U(slot + 1)), _mix(whole + string * U(BASES[0]) + (at - begin).astype(U)), record))
                 counts[-1] += len(rows)
         return *(np.concatenate(c) for c in zip(*out, strict=True)), np.array(counts, np.int64)
 
@@ -492,12 +493,18 @@ class Pieces:
         number, slot, key, check = p.strings_of(compare)
         shared = np.zeros((len(compare), p.slots), bool)
         shared[number, slot] = _told(group, SHARED, key, check)
-        number, self.begin, self.windows, key, record, self.counts = p.pieces_of(compare, shared)
+        number, self.begin, self.windows, key, whole, record, self.counts = p.pieces_of(compare, shared)
         self.docs = p.doc_id[number]
-        self.record, self.of = ranks(record)
-        order = np.lexsort((self.docs, self.of))
-        first = order[np.flatnonzero(np.diff(self.of[order], prepend=-1))]
-        self.least, self.key = self.docs[first], key[first]
+        # Sorted by hash, told apart by bytes: equal hashes of unlike pieces can only make a piece be sent twice.
+        order = np.argsort(whole)
+        sorted_ = record[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (sorted_[1:] != sorted_[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.record, self.key = sorted_[first], key[order][first]
+        self.least = np.minimum.reduceat(self.docs[order], first) if len(order) else self.docs
 
     def removed(self, group: pa.Table) -> np.ndarray:
         """For each piece and window whether it goes."""
