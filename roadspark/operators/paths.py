@@ -286,9 +286,11 @@ def by_parts(costed: DataFrame, sources: DataFrame, metric: str = "time", vertex
         labels = state.filter("inner")
         open_parts = offers.select("part", chunk.alias("chunk")).distinct()
         work = labels.unionByName(offers).withColumn("chunk", chunk)
-        busy = work.join(F.broadcast(open_parts) if open_parts.limit(100_001).count() <= 100_000 else open_parts, ["part", "chunk"], "left_semi")
+        searched = open_parts.count()
+        tasks = max(1, min(4096, searched))  # work is much for its bytes, so tasks aren't put together by size
+        busy = work.join(F.broadcast(open_parts) if searched <= 100_000 else open_parts, ["part", "chunk"], "left_semi").repartition(tasks, "part", "chunk")
         idle = labels.withColumn("chunk", chunk).join(open_parts, ["part", "chunk"], "left_anti").drop("chunk")
-        spread = open_parts.select(F.col("part").alias("of"), F.col("chunk").alias("of_chunk")).join(edges.withColumnRenamed("part", "of"), "of")
+        spread = open_parts.select(F.col("part").alias("of"), F.col("chunk").alias("of_chunk")).join(edges.withColumnRenamed("part", "of"), "of").repartition(tasks, "of", "of_chunk")
         done = busy.groupBy("part", "chunk").cogroup(spread.groupBy("of", "of_chunk")).applyInPandas(_search_part, STATE)
         state = store.keep(idle.unionByName(done), instead_of=state)
     return state.select("src", "v", "u", "cost", "time_s", "dist_m")
@@ -336,7 +338,8 @@ def routes(costed: DataFrame, vertex: DataFrame, queries: DataFrame, metric: str
     # A source with very many goals is split by goals; few goals of one source stay together.
     many = known.groupBy("src").agg(F.ceil(F.count("*") / GOALS_A_TASK).cast("int").alias("splits"))
     dealt = known.join(many, "src").withColumn("split", F.pmod(F.xxhash64("dst"), F.col("splits")).cast("int"))
-    found = dealt.groupBy("src", "split").applyInPandas(run, "qid long, time_s double, dist_m double, n_nodes int, path array<long>")
+    tasks = min(4096, max(1, many.agg(F.sum("splits")).first()[0] or 0))  # rows are few and work is much, so tasks aren't put together by size
+    found = dealt.repartition(tasks, "src", "split").groupBy("src", "split").applyInPandas(run, "qid long, time_s double, dist_m double, n_nodes int, path array<long>")
     return queries.join(found, "qid", "left").select("qid", "src", "dst", "time_s", "dist_m", "n_nodes", "path")
 
 
