@@ -5,15 +5,17 @@ import math
 import os
 import random
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from roadspark.functions import expr
 from roadspark.graph import RoadGraph
-from roadspark.operators import build, overlay, paths, tiles, tours
+from roadspark.operators import build, overlay, paths, storage, tiles, tours
 from roadspark.plans import registry
 from roadspark.sources import files, fixtures, pbf
 
@@ -430,3 +432,60 @@ def test_view_keeps_its_index(spark, graph):
     held = graph._drawn
     graph.view(view, 5000.0).collect()
     assert graph._drawn is held
+
+
+def test_edges_find_their_ends_without_a_shuffle(spark, graph, monkeypatch):
+    """od_matrix and what is built like it: edges were shuffled four times for the numbers and places of their ends."""
+    arcs = spark.createDataFrame([(r.osm_id, r.osm_id + 7, 1.0) for r in graph.vertices.collect()] + [(5, 6, 1.0), (None, 6, 1.0)], "from_osm long, to_osm long, speed_mps float")
+
+    def made():
+        edges = build.fastest_edges(arcs, graph.vertices)
+        return edges, build.with_costs(graph.edges, graph.vertices)
+
+    edges, cost = made()
+    assert not any("Join" in df._jdf.queryExecution().sparkPlan().toString() for df in (edges, cost))
+    want = [sorted(map(tuple, df.collect())) for df in (edges, cost)]
+    monkeypatch.setattr(build, "BROADCAST_VERTICES", 10)
+    assert [sorted(map(tuple, df.collect())) for df in made()] == want and len(want[0]) > 100 and len(want[1]) == graph.edges.count()
+
+
+def test_shuffle_files_go_with_a_write(spark):
+    top = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    files_of = lambda: {f for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before = files_of()
+    kept = storage.keep(spark.range(1000).withColumn("k", F.col("id") % 10).groupBy("k").count())
+    deadline = time.time() + 10
+    while files_of() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files_of() - before and kept.count() == 10
+
+
+def test_a_part_holds_few_bytes_a_label():
+    """route_batch, route_totals: labels were Python objects of some 500 bytes each."""
+    n, m = 4000, 16
+    rng = np.random.default_rng(1)
+    src, dst = np.repeat(np.arange(n), 5), rng.integers(0, n, 5 * n)
+    edges = pa.table({"src": src, "dst": dst, "to": np.zeros(5 * n, np.int64), "cost": rng.random(5 * n), "other": np.ones(5 * n)})
+    none = pa.array([None] * m, pa.int64())
+    state = pa.table({"src": np.arange(m), "v": np.arange(m), "u": none, "cost": np.zeros(m), "other": np.zeros(m), "hops": np.zeros(m, np.int32), "inner": np.zeros(m, bool)})
+    tracemalloc.start()
+    out = paths._search_part((pa.scalar(0),), state, edges)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows > 0.9 * n * m and peak < 300 * n * m
+    for r in out.filter(pa.array(np.arange(out.num_rows) % 501 == 0)).to_pylist():
+        assert r["other"] == r["hops"] and r["inner"]
+
+
+def test_totals_read_few_edges(spark, graph):
+    q = spark.createDataFrame([(1, 0, 50), (2, 7, 7)], "qid long, src long, dst long")
+    found = graph.route(q, "time", full=True)
+    totals = paths.path_totals(found, graph.costed())
+    assert "BroadcastHashJoin" in totals._jdf.queryExecution().sparkPlan().toString()
+    assert {r.qid: r.time_s for r in totals.collect()} == pytest.approx({r.qid: r.time_s for r in found.collect()})
+
+
+def test_a_graph_is_written_and_cut_once(spark, graph):
+    """od_matrix_totals, tsp_legs, plan_texts: each search wrote the edges again."""
+    cost = RoadGraph(graph.vertices, graph.edges).costed()
+    assert paths.stored(cost, "time") is cost and paths._parted(cost, "time", None)[1] is paths._parted(cost, "time", graph.vertices)[1]
