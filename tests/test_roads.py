@@ -489,3 +489,13 @@ def test_a_graph_is_written_and_cut_once(spark, graph):
     """od_matrix_totals, tsp_legs, plan_texts: each search wrote the edges again."""
     cost = RoadGraph(graph.vertices, graph.edges).costed()
     assert paths.stored(cost, "time") is cost and paths._parted(cost, "time", None)[1] is paths._parted(cost, "time", graph.vertices)[1]
+
+
+def test_a_task_looks_up_once(spark, graph, monkeypatch):
+    """route_totals: a task with two Python steps has two workers, which stay beside those of later steps."""
+    plans, keep = [], storage.Store.keep
+    monkeypatch.setattr(storage.Store, "keep", lambda self, df, **old: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or keep(self, df, **old))
+    vertex = storage.Store(spark).keep(graph.vertices)
+    plans.clear()
+    cost = build.written_costs(build.fastest_edges(spark.createDataFrame([(1000000007, 1000000014, 1.0)], "from_osm long, to_osm long, speed_mps float"), vertex), vertex)
+    assert [p.count("MapInArrow") for p in plans] == [1, 1] and cost.count() == 1
