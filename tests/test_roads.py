@@ -499,3 +499,9 @@ def test_a_task_looks_up_once(spark, graph, monkeypatch):
     plans.clear()
     cost = build.written_costs(build.fastest_edges(spark.createDataFrame([(1000000007, 1000000014, 1.0)], "from_osm long, to_osm long, speed_mps float"), vertex), vertex)
     assert [p.count("MapInArrow") for p in plans] == [1, 1] and cost.count() == 1
+
+
+@pytest.mark.parametrize(("number", "want"), [(18_277, "ZZZ"), (18_278, "AAAA"), (18_304, "AABA")])
+def test_marker_label_has_no_bound(spark, number, want):
+    """As the reference's marker_label."""
+    assert one(spark, expr.marker_label(F.col("n")), n=number) == want
