@@ -16,6 +16,12 @@ The rows of a posting are compared with one of them, its leader (the least hash)
 which takes out large groups of copies at one comparison a text; then those that are left with their other leaders, TUPLES at most; and what is
 near none of them is tallied in blocks of bounded size, where only pairs that pass the count are sent on. As a group's texts spread over TUPLES postings, and
 over several lists of each, no list holds more than a small part of all rows. Texts are fetched once, for those that share a posting with another.
+
+What the index leaves out is found exactly. In one order of all shingles, rare ones first, two sets of similarity 0.8 share a shingle among the first fifth
+of each, and so many of these that the rest can't make up for it. Texts of different groups that meet in such a list are counted, and whole shingle sets
+decide again. So the groups are those of all pairs of similarity 0.8, however these were found. The order is learnt from a bounded sample of texts,
+which changes the length of lists but no result; long lists are compared in blocks.
+
 Texts of equal words are one entry, known by a 64-bit hash. Null text counts as empty, and texts without words are alike. Repeated rows and null
 ids are kept apart as rows; other columns, whatever their names, travel along untouched. An empty table gives no row. A very long text costs
 memory in proportion to its own length alone.
@@ -41,6 +47,10 @@ LEAST = (4, 5)
 POSITIONS, EACH = 128, 128
 WIDTH, TUPLES = 4, 160
 LEAST_EQUAL = 30
+#: Texts on average that tell which shingles are frequent, and frequent ones that every task knows (16 bytes each).
+SAMPLE_TEXTS, FREQUENT = 16_000, 1 << 17
+#: Pairs that are looked at together.
+PAIRS = 1 << 20
 #: Texts whose counters are computed together.
 TOGETHER = 32
 _DRAWN = np.random.default_rng(8)
@@ -137,12 +147,12 @@ def _count_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
 
-def _verify(shingle: int, least: tuple[int, int]):
+def _verify(shingle: int, least: tuple[int, int], equal: int):
     """The pairs with enough equal positional bytes whose shingle sets are at least as similar as the bound."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = (_as_bytes(batch.column("u_print")) == _as_bytes(batch.column("v_print"))).sum(axis=1) >= LEAST_EQUAL
+            near = (_as_bytes(batch.column("u_print")) == _as_bytes(batch.column("v_print"))).sum(axis=1) >= equal
             for at in np.flatnonzero(near).tolist():  # a pair at a time, as texts may be long
                 x, y = (shingles(batch.column(c)[at].as_py().encode(), shingle) for c in ("u_text", "v_text"))
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -152,29 +162,139 @@ def _verify(shingle: int, least: tuple[int, int]):
     return run
 
 
-def similar_pairs(entries: DataFrame, rows: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Verified pairs (u, v) of nodes that connect the near-duplicates among entries (node, print), whose texts are in rows (node, text)."""
+def _near(pairs: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, int], equal: int = LEAST_EQUAL) -> DataFrame:
+    """The pairs (u, v) that _verify() keeps; texts has (node, print, text)."""
+    side = lambda end: texts.select(F.col("node").alias(end), F.col("print").alias(f"{end}_print"), F.col("text").alias(f"{end}_text"))
+    both = common.spread_join(pairs.join(side("u"), "u"), side("v"), "v", F.xxhash64("u"))  # a v in very many pairs is spread
+    return common.keep(both.select("u", "v", "u_print", "v_print", "u_text", "v_text").mapInArrow(_verify(shingle, least, equal), "u long, v long"), "near")
+
+
+def _texts(pairs: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, print, text) of the nodes in pairs."""
+    used = common.keep(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "used")
+    texts = rows.join(used, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return common.keep(texts.join(entries.select("node", "print"), "node"), "texts")
+
+
+def indexed_pairs(entries: DataFrame, rows: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Verified pairs (u, v) of nodes among entries (node, print) that the inverted index finds; their texts are in rows (node, text)."""
     posted = entries.select("print", "node").mapInArrow(_post, "key long, node long").repartition("key")
     first = posted.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).filter("n > 1").select("key", "v")
     stars = common.keep(posted.join(first, "key").filter("node <> v").select("key", F.col("node").alias("u"), "v"), "stars")
     shared = common.keep(stars.groupBy("u", "v").agg(F.count("*").alias("n")), "shared")
-    used = shared.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = rows.join(common.keep(used, "used"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).join(entries.select("node", "print"), "node")
-    texts = common.keep(texts, "texts")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        side = lambda end: texts.select(F.col("node").alias(end), F.col("print").alias(f"{end}_print"), F.col("text").alias(f"{end}_text"))
-        both = common.spread_join(pairs.join(side("u"), "u"), side("v"), "v", F.xxhash64("u"))  # a v in very many pairs is spread
-        return common.keep(both.select("u", "v", "u_print", "v_print", "u_text", "v_text").mapInArrow(_verify(shingle, least), "u long, v long"), "near")
-
+    texts = _texts(shared, entries, rows)
     most = shared.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    found = near(most)
+    found = _near(most, texts, shingle, least)
     left = shared.select("u", "v").join(found.select("u"), "u", "left_anti").join(most, ["u", "v"], "left_anti")
-    found = found.unionByName(near(left))
+    found = found.unionByName(_near(left, texts, shingle, least))
     alone = stars.select("key", "u").join(found.select("u").distinct(), "u", "left_anti").select("key", F.col("u").alias("node"))
     dealt = blocks.dealt(alone, "key", "node").select("key", "left", "right", "node").join(texts.select("node", "print"), "node")
     dealt = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return found.unionByName(near(common.keep(dealt.mapInArrow(_count_blocks, "u long, v long").distinct(), "counted")))
+    return found.unionByName(_near(common.keep(dealt.mapInArrow(_count_blocks, "u long, v long").distinct(), "counted"), texts, shingle, least))
+
+
+def _rest(size: int, least: tuple[int, int]) -> int:
+    """Of a set of a size, how many of its last shingles need no list: one less than it shares at least with a set as similar as the bound."""
+    return -(-size * least[0] // least[1]) - 1
+
+
+def _hash_all(shingle: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = [shingles(t.as_py().encode(), shingle) for t in batch.column("text").slice(at, 512)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64))], ["key"])
+
+    return run
+
+
+def _list_first(shingle: int, least: tuple[int, int], frequent):
+    """A row for each text, once in a task, and shingle that comes first in it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = frequent.value
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys, nodes, sizes = [], [], []
+                for node, text in zip(part.column("node").to_pylist(), part.column("text"), strict=True):
+                    if node in seen:
+                        continue
+                    seen.add(node)
+                    hashes = shingles(text.as_py().encode(), shingle).view(np.int64)
+                    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    often = np.where(known[place] == hashes, counts[place], 0)
+                    keys.append(hashes[np.lexsort((hashes, often))[: len(hashes) - _rest(len(hashes), least)]])
+                    nodes.append(node)
+                    sizes.append(len(hashes))
+                if nodes:
+                    each = [len(k) for k in keys]
+                    columns = [np.concatenate(keys), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int32), each)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size"])
+
+    return run
+
+
+def _across(least: tuple[int, int]):
+    """Of the rows of each block, sorted by group, the pairs of different groups whose sizes allow the bound."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in blocks.by_block(batches, ["key", "left", "right"]):
+            n = table.num_rows
+            node, size, group, part, left, right = (table.column(c).to_numpy() for c in ("node", "size", "group", "part", "left", "right"))
+            end = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
+            new = np.append(True, group[1:] != group[:-1])
+            new[begins] = True
+            starts = np.flatnonzero(new)
+            after = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))  # where the next group begins
+            step = np.cumsum(end - after) // PAIRS
+            for rows in np.split(np.arange(n), np.flatnonzero(np.diff(step)) + 1):
+                each = (end - after)[rows]
+                a = np.repeat(rows, each)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(each) - each - after[rows], each)
+                fit = (left[a] == right[a]) | (part[a] != part[b])
+                fit &= np.minimum(size[a], size[b]).astype(np.int64) * least[1] >= np.maximum(size[a], size[b]).astype(np.int64) * least[0]
+                a, b = a[fit], b[fit]
+                if len(a):
+                    a, b = np.where(node[a] > node[b], a, b), np.where(node[a] > node[b], b, a)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], size[a], size[b])], ["u", "v", "u_size", "v_size"])
+
+    return run
+
+
+def other_pairs(entries: DataFrame, rows: DataFrame, label: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """All pairs (u, v) at least as similar as the bound of nodes in different groups of label (node, component); a node without a row there is its own."""
+    every = max(1, -(-entries.count() // SAMPLE_TEXTS))
+    counted = rows.filter(F.pmod("node", F.lit(every)) == 0).select("text").mapInArrow(_hash_all(shingle), "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    often = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow().sort_by("key")
+    # A shingle that no text has stands where none is frequent, so that there is always one to compare with: its count is that of unknown ones.
+    known, counts = (often[c].to_numpy() for c in ("key", "n")) if often.num_rows else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+    frequent = rows.sparkSession.sparkContext.broadcast((known, counts))
+    posted = rows.select("node", "text").mapInArrow(_list_first(shingle, least, frequent), "key long, node long, size int").repartition("key")
+    one = F.struct("node", "size")  # all columns, so that both sides of the join read one exchange
+    several = posted.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b")).filter("a <> b").select("key")
+    met = common.keep(posted.join(several, "key").join(label.select("node", "component"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("group")), "met")
+    dealt = blocks.dealt(met, "key", "node", useful=F.min("group") != F.max("group")).select("key", "left", "right", "part", "group", "node", "size")
+    dealt = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "group")
+    shared = dealt.mapInArrow(_across(least), "u long, v long, u_size int, v_size int").groupBy("u", "v", "u_size", "v_size").agg(F.count("*").alias("n"))
+    a, b = least
+    total = F.col("u_size").cast("long") + F.col("v_size")
+    needed = F.floor((total * a + (a + b - 1)) / (a + b))
+    rest = F.ceil(F.greatest("u_size", "v_size").cast("long") * a / b) - 1  # the larger set has the larger rest
+    pairs = common.keep(shared.filter(F.col("n") + rest >= needed).select("u", "v"), "others")
+    return _near(pairs, _texts(pairs, entries, rows), shingle, least, equal=0)
+
+
+def similar_pairs(entries: DataFrame, rows: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Pairs (u, v) of nodes that connect what all pairs at least as similar as the bound connect, among entries (node, print) with texts in rows (node, text)."""
+    work = common.Workspace(rows.sparkSession)
+    with common.inside(work):
+        found = indexed_pairs(entries, rows, shingle, least)
+        label = common.components(found)
+    label = common.keep(label, "indexed")
+    work.close()
+    return label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(other_pairs(entries, rows, label, shingle, least))
 
 
 def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:

@@ -349,6 +349,49 @@ def test_near_copies_of_five_word_shingles(spark, none):
     assert wide_simhash.drop_near(none).count() == 0
 
 
+def similar(texts):
+    """The pairs of numbers of texts whose sets of five-word shingles have similarity 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def roots(n, pairs):
+    parent = list(range(n))
+    for i, j in pairs:
+        x, y = find(parent, i), find(parent, j)
+        parent[max(x, y)] = min(x, y)
+    return [find(parent, k) for k in range(n)]
+
+
+def test_near_copies_in_a_chain(spark):
+    """Each text has similarity 0.8, and no more, to the next, so every link counts."""
+    texts = [" ".join(f"c{c}w{k}" for k in range(10 * i, 10 * i + 94)) for c in range(4) for i in range(60)]
+    texts += ["a b c d e f", "a b c d e", "", " ", "A B  c d e f g h", "x " * 40, "x " * 50]
+    want = roots(len(texts), similar(texts))
+    assert len(set(want)) == 9
+    got = wide_simhash.drop_near(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
+
+
+@pytest.mark.parametrize("part_rows", [2048, 5])
+def test_pairs_beside_the_index(spark, monkeypatch, part_rows):
+    """All pairs of different groups, whatever groups are known, with long lists cut into parts."""
+    monkeypatch.setattr(blocks, "PART_ROWS", part_rows)
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(f"x{i}" if rng.random() < 0.012 else w for w in base[: int(rng.integers(90, 121))]) for i in range(60)] + ["one alone", "two alone"]
+    entries = spark.createDataFrame([(i, bytes(wide_simhash.POSITIONS)) for i in range(len(texts))], "node long, print binary")
+    rows = spark.createDataFrame([*enumerate(texts)], "node long, text string")
+    label = {i: i % 3 for i in range(3, 30)}
+    known = spark.createDataFrame([*label.items()], "node long, component long")
+    got = wide_simhash.other_pairs(entries, rows, known).collect()
+    want = {(i, j) for i, j in similar(texts) if label.get(i, i) != label.get(j, j)}
+    assert len(want) > 100 and sorted((r.u, r.v) for r in got) == sorted(want)
+
+
 def test_links_of_crowded_lists(spark, monkeypatch):
     monkeypatch.setattr(blocks, "PART_ROWS", 16)
     rng = np.random.default_rng(4)
