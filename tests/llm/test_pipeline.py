@@ -124,6 +124,19 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
 
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    """Also those of the last stage, which is computed when its result is read; a smaller number that is set already stays."""
+    folder = awkward(spark, str(tmp_path), AWKWARD)
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    try:
+        for asked, used in ((10_000, corpus_pipeline.BATCH_ROWS), (0, corpus_pipeline.BATCH_ROWS), (50, 50)):
+            spark.conf.set(corpus_pipeline.BATCH, str(asked))
+            corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            assert int(spark.conf.get(corpus_pipeline.BATCH)) == used
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
+
+
 def test_empty_tables(spark, tmp_path):
     folder = awkward(spark, str(tmp_path), [])
     docs = spark.read.parquet(f"{folder}/documents.parquet")
