@@ -505,3 +505,21 @@ def test_a_task_looks_up_once(spark, graph, monkeypatch):
 def test_marker_label_has_no_bound(spark, number, want):
     """As the reference's marker_label."""
     assert one(spark, expr.marker_label(F.col("n")), n=number) == want
+
+
+def test_costs_take_no_disk_beside_edges(spark):
+    """Only edges are written, what they are made from goes, and searches by parts and totals of paths are those of written costs."""
+    d = "/root/testdata/sf0.001"
+    vertex, edges = registry.graph(spark, d)
+    made_from = edges.made_from.kept_in.removeprefix("file:")
+    whole = storage.keep(build.with_costs(edges, vertex))
+    cost = build.searchable(edges, vertex, for_good=True)
+    assert not os.path.exists(made_from)
+    assert spark.read.parquet(cost.kept_in).columns == ["src", "dst", "speed_mps"]
+    sources = spark.createDataFrame([(0,), (7,)], "src long")
+    found = lambda c, metric: sorted(paths.by_parts(c, sources, metric, vertex).select("src", "v", "cost", "time_s", "dist_m").collect())
+    for metric in ("time", "distance"):
+        assert found(cost, metric) == found(whole, metric)
+    way = whole.select(F.lit(1).cast("long").alias("qid"), F.array("src", "dst").alias("path")).limit(1)
+    way = spark.createDataFrame(way.collect(), way.schema)
+    assert paths.path_totals(way, cost).collect() == paths.path_totals(way, whole).collect()
