@@ -15,6 +15,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadspark.operators import storage
+
 #: Parts into which the rows of one key are spread in joins and minima.
 SALTS = 64
 #: Up to so many edges in all, the edges of one node fit in a task, and aren't spread.
@@ -84,10 +86,17 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return work.folder(name)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """df written once to shared storage and read back: cuts the lineage and outlives lost executors."""
-    folder = work_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+def keep(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """df written once to shared storage and read back: cuts the lineage and outlives lost executors. tidy: its shuffle files go at once."""
+    folder, conf = work_folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(storage.CLEANUP, None)
+    if tidy:
+        conf.set(storage.CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if tidy:
+            conf.unset(storage.CLEANUP) if before is None else conf.set(storage.CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -17,7 +17,8 @@ which takes out large groups of copies at one comparison a text; then those that
 near none of them is tallied in blocks of bounded size, where only pairs that pass the count are sent on. As a group's texts spread over TUPLES postings, and
 over several lists of each, no list holds more than a small part of all rows. Texts are fetched once, for those that share a posting with another.
 
-What the index leaves out is found exactly. In one order of all shingles, rare ones first, two sets of similarity 0.8 share a shingle among the first fifth
+What the index leaves out is found exactly. A text of which more than a fifth of the shingles stand in no other text is similar to none, and needs no further look: the
+shingles that a hash picks, a third, are enough to tell this of most texts (short ones post all of theirs). For those that are left: in one order of all shingles, rare ones first, two sets of similarity 0.8 share a shingle among the first fifth
 of each, and so many of these that the rest can't make up for it. Texts of different groups that meet in such a list are counted, and whole shingle sets
 decide again. So the groups are those of all pairs of similarity 0.8, however these were found. The order is learnt from a bounded sample of texts,
 which changes the length of lists but no result; long lists are compared in blocks.
@@ -49,6 +50,8 @@ WIDTH, TUPLES = 4, 160
 LEAST_EQUAL = 30
 #: Texts on average that tell which shingles are frequent, and frequent ones that every task knows (16 bytes each).
 SAMPLE_TEXTS, FREQUENT = 16_000, 1 << 17
+#: One shingle in so many tells whether a text has too many of its own to be similar to another; texts with fewer shingles than SHORT tell it by all.
+PICKED, SHORT = 3, 60
 #: Pairs that are looked at together.
 PAIRS = 1 << 20
 #: Texts whose counters are computed together.
@@ -208,6 +211,36 @@ def _hash_all(shingle: int):
     return run
 
 
+def _pick(shingle: int):
+    """A row for each text and picked shingle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingles(t.as_py().encode(), shingle).view(np.int64) for t in part.column("text")]
+                sizes = np.array([len(s) for s in sets], np.int32)
+                picked = [s if len(s) < SHORT else s[s % PICKED == 0] for s in sets]
+                each = [len(s) for s in picked]
+                columns = [np.concatenate(picked), np.repeat(part.column("node").to_numpy(), each), np.repeat(sizes, each)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size"])
+
+    return run
+
+
+def _settled(rows: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+    """(node) of rows (node, text) whose own shingles, which no other text has, are too many for any text to be as similar as the bound.
+
+    Of a text that is not short, only picked shingles count, which every text posts. A short one counts all, as each text of a size that the bound
+    allows beside it is shorter than SHORT and posts all.
+    """
+    a, b = least
+    posted = rows.select("node", "text").mapInArrow(_pick(shingle), "key long, node long, size int").repartition("key")
+    own = posted.groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.max("size").alias("size")).filter("node = last")
+    own = own.filter((F.pmod("key", F.lit(PICKED)) == 0) | (F.col("size") * b < SHORT * a)).groupBy("node", "size").agg(F.count("*").alias("n"))
+    return own.filter(F.col("size") - F.col("n") < F.ceil(F.col("size").cast("long") * a / b)).select("node")
+
+
 def _list_first(shingle: int, least: tuple[int, int], frequent):
     """A row for each text, once in a task, and shingle that comes first in it."""
 
@@ -266,12 +299,14 @@ def _across(least: tuple[int, int]):
 def other_pairs(entries: DataFrame, rows: DataFrame, label: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """All pairs (u, v) at least as similar as the bound of nodes in different groups of label (node, component); a node without a row there is its own."""
     every = max(1, -(-entries.count() // SAMPLE_TEXTS))
+    settled = common.keep(_settled(rows, shingle, least), "settled", tidy=True)
+    still = common.keep(entries.select("node").join(settled, "node", "left_anti"), "still")
     counted = rows.filter(F.pmod("node", F.lit(every)) == 0).select("text").mapInArrow(_hash_all(shingle), "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     often = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow().sort_by("key")
     # A shingle that no text has stands where none is frequent, so that there is always one to compare with: its count is that of unknown ones.
     known, counts = (often[c].to_numpy() for c in ("key", "n")) if often.num_rows else (np.zeros(1, np.int64), np.zeros(1, np.int64))
     frequent = rows.sparkSession.sparkContext.broadcast((known, counts))
-    posted = rows.select("node", "text").mapInArrow(_list_first(shingle, least, frequent), "key long, node long, size int").repartition("key")
+    posted = rows.join(still, "node", "left_semi").select("node", "text").mapInArrow(_list_first(shingle, least, frequent), "key long, node long, size int").repartition("key")
     one = F.struct("node", "size")  # all columns, so that both sides of the join read one exchange
     several = posted.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b")).filter("a <> b").select("key")
     met = common.keep(posted.join(several, "key").join(label.select("node", "component"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("group")), "met")
@@ -286,15 +321,21 @@ def other_pairs(entries: DataFrame, rows: DataFrame, label: DataFrame, shingle:
     return _near(pairs, _texts(pairs, entries, rows), shingle, least, equal=0)
 
 
-def similar_pairs(entries: DataFrame, rows: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Pairs (u, v) of nodes that connect what all pairs at least as similar as the bound connect, among entries (node, print) with texts in rows (node, text)."""
+def groups(entries: DataFrame, rows: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(node, component) as components() gives it, of all pairs at least as similar as the bound, among entries (node, print) with texts in rows (node, text)."""
     work = common.Workspace(rows.sparkSession)
     with common.inside(work):
         found = indexed_pairs(entries, rows, shingle, least)
         label = common.components(found)
     label = common.keep(label, "indexed")
     work.close()
-    return label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(other_pairs(entries, rows, label, shingle, least))
+    # Further pairs connect groups, so only their least nodes are looked at again.
+    pairs = other_pairs(entries, rows, label, shingle, least)
+    for end in ("u", "v"):
+        pairs = pairs.join(label.withColumnsRenamed({"node": end, "component": f"{end}_root"}), end, "left")
+    moved = common.components(pairs.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")))
+    after = label.join(moved.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    return after.select("node", F.coalesce("root", "component").alias("component")).unionByName(moved)
 
 
 def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -304,7 +345,7 @@ def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shing
     rows = common.keep(rows.mapInArrow(_sign(shingle, field), kind), "signs")
     entries = common.keep(rows.groupBy("node").agg(F.min("print").alias("print"), F.count("*").alias("n")), "entries")
     texts = rows.select("node", F.coalesce(F.col("row")[text], F.lit("")).alias("text"))
-    label = common.keep(common.components(similar_pairs(entries, texts, shingle, least)), "labels")
+    label = common.keep(groups(entries, texts, shingle, least), "labels")
 
     # Only rows of groups with several rows can go: few columns of those find the ones that do.
     several = label.select("node", F.col("component").alias("root")).unionByName(label.select(F.col("component").alias("node"), F.col("component").alias("root")).distinct())

@@ -392,6 +392,34 @@ def test_pairs_beside_the_index(spark, monkeypatch, part_rows):
     assert len(want) > 100 and sorted((r.u, r.v) for r in got) == sorted(want)
 
 
+def test_texts_with_shingles_of_their_own_are_settled(spark):
+    """No settled text is similar to another, whatever its length, and most unlike texts are settled, so they aren't compared."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for i, n in enumerate(rng.integers(5, 150, 150).tolist()):
+        words = [f"t{i}w{k}" for k in range(n)]
+        texts.append(" ".join(words))
+        texts.append(" ".join([*words[: n - int(rng.integers(1, 4) * n // 20)], *(f"o{i}w{k}" for k in range(int(rng.integers(0, 3))))]))
+    passage = [f"p{k}" for k in range(40)]
+    unlike = [" ".join([*passage, *(f"u{i}w{k}" for k in range(200))]) for i in range(200)]
+    rows = spark.createDataFrame([*enumerate(texts + unlike), (0, texts[0])], "node long, text string")
+    settled = {r.node for r in wide_simhash._settled(rows, 5, (4, 5)).collect()}
+    pairs = similar(texts)
+    assert len(pairs) > 50 and not settled & {k for p in pairs for k in p}
+    assert len([k for k in settled if k >= len(texts)]) > 190
+
+
+def test_groups_are_connected_by_their_roots(spark, monkeypatch):
+    """What is found beside the index connects groups, whose members aren't looked at again."""
+    counted, components = [], common.components
+    monkeypatch.setattr(common, "components", lambda edges: components(counted.append(edges.count()) or edges))
+    monkeypatch.setattr(wide_simhash, "indexed_pairs", lambda *a: spark.createDataFrame([*[(k, 10) for k in range(11, 90)], *[(k, 100) for k in range(101, 180)]], "u long, v long"))
+    monkeypatch.setattr(wide_simhash, "other_pairs", lambda *a: spark.createDataFrame([(150, 20), (200, 5), (50, 5), (301, 300)], "u long, v long"))
+    found = {r.node: r.component for r in wide_simhash.groups(spark.range(1).select(F.col("id").alias("node")), spark.range(1)).collect()}
+    assert counted[1] <= 4
+    assert found == {**{k: 5 for k in [*range(10, 90), *range(100, 180), 200]}, 301: 300}
+
+
 def test_links_of_crowded_lists(spark, monkeypatch):
     monkeypatch.setattr(blocks, "PART_ROWS", 16)
     rng = np.random.default_rng(4)
