@@ -19,8 +19,9 @@ over several lists of each, no list holds more than a small part of all rows. Te
 
 What the index leaves out is found exactly. A text of which more than a fifth of the shingles stand in no other text is similar to none, and needs no further look: the
 shingles that a hash picks, a third, are enough to tell this of most texts (short ones post all of theirs). For those that are left: in one order of all shingles, rare ones first, two sets of similarity 0.8 share a shingle among the first fifth
-of each, and so many of these that the rest can't make up for it. Texts of different groups that meet in such a list are counted, and whole shingle sets
-decide again. So the groups are those of all pairs of similarity 0.8, however these were found. The order is learnt from a bounded sample of texts,
+of each, and so many of these that the rest can't make up for it. Texts of different groups that meet in such a list are compared by parity bits, one for each
+remainder of the shingles' hashes: two sets differ in as many shingles at least as in bits, so no pair goes that the bound allows, and of most families of texts with much, but less, in
+common none is sent on. What is left is counted, and whole shingle sets decide again. So the groups are those of all pairs of similarity 0.8, however these were found. The order is learnt from a bounded sample of texts,
 which changes the length of lists but no result; long lists are compared in blocks.
 
 Texts of equal words are one entry, known by a 64-bit hash. Null text counts as empty, and texts without words are alike. Repeated rows and null
@@ -52,8 +53,10 @@ LEAST_EQUAL = 30
 SAMPLE_TEXTS, FREQUENT = 16_000, 1 << 17
 #: One shingle in so many tells whether a text has too many of its own to be similar to another; texts with fewer shingles than SHORT tell it by all.
 PICKED, SHORT = 3, 60
-#: Pairs that are looked at together.
-PAIRS = 1 << 20
+#: Pairs that are looked at together, and those whose parity bits are.
+PAIRS, PAIRS_OF_BITS = 1 << 20, 1 << 14
+#: Parity bits of a text. The more, the longer the texts of which unlike pairs are told; no number changes a result.
+BITS = 2048
 #: Texts whose counters are computed together.
 TOGETHER = 32
 _DRAWN = np.random.default_rng(8)
@@ -241,8 +244,13 @@ def _settled(rows: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame
     return own.filter(F.col("size") - F.col("n") < F.ceil(F.col("size").cast("long") * a / b)).select("node")
 
 
+def _parity(hashes: np.ndarray) -> bytes:
+    """BITS bits: whether the shingles of each remainder are odd in number. What two sets share changes the same bits of both, so they differ in as many shingles at least as in bits."""
+    return np.packbits(np.bincount((hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _list_first(shingle: int, least: tuple[int, int], frequent):
-    """A row for each text, once in a task, and shingle that comes first in it."""
+    """For each text, once in a task, the shingles that come first in it, and its parity bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
@@ -250,7 +258,7 @@ def _list_first(shingle: int, least: tuple[int, int], frequent):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys, nodes, sizes = [], [], []
+                keys, nodes, sizes, bits = [], [], [], []
                 for node, text in zip(part.column("node").to_pylist(), part.column("text"), strict=True):
                     if node in seen:
                         continue
@@ -261,21 +269,23 @@ def _list_first(shingle: int, least: tuple[int, int], frequent):
                     keys.append(hashes[np.lexsort((hashes, often))[: len(hashes) - _rest(len(hashes), least)]])
                     nodes.append(node)
                     sizes.append(len(hashes))
+                    bits.append(_parity(hashes))
                 if nodes:
-                    each = [len(k) for k in keys]
-                    columns = [np.concatenate(keys), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int32), each)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(k) for k in keys])), pa.int32()), pa.array(np.concatenate(keys)))
+                    columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "size", "bits", "keys"])
 
     return run
 
 
 def _across(least: tuple[int, int]):
-    """Of the rows of each block, sorted by group, the pairs of different groups whose sizes allow the bound."""
+    """Of the rows of each block, sorted by group, the pairs of different groups whose sizes and parity bits allow the bound."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begins in blocks.by_block(batches, ["key", "left", "right"]):
             n = table.num_rows
             node, size, group, part, left, right = (table.column(c).to_numpy() for c in ("node", "size", "group", "part", "left", "right"))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(n, -1)
             end = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
             new = np.append(True, group[1:] != group[:-1])
             new[begins] = True
@@ -289,6 +299,13 @@ def _across(least: tuple[int, int]):
                 fit = (left[a] == right[a]) | (part[a] != part[b])
                 fit &= np.minimum(size[a], size[b]).astype(np.int64) * least[1] >= np.maximum(size[a], size[b]).astype(np.int64) * least[0]
                 a, b = a[fit], b[fit]
+                total = size[a].astype(np.int64) + size[b]
+                differ = total - 2 * ((total * least[0] + sum(least) - 1) // sum(least))  # the most shingles that are in one of both alone
+                fit = np.zeros(len(a), bool)
+                for k in range(0, len(a), PAIRS_OF_BITS):
+                    some = np.s_[k : k + PAIRS_OF_BITS]
+                    fit[some] = np.bitwise_count(bits[a[some]] ^ bits[b[some]]).sum(axis=1, dtype=np.int64) <= differ[some]
+                a, b = a[fit], b[fit]
                 if len(a):
                     a, b = np.where(node[a] > node[b], a, b), np.where(node[a] > node[b], b, a)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], size[a], size[b])], ["u", "v", "u_size", "v_size"])
@@ -306,11 +323,14 @@ def other_pairs(entries: DataFrame, rows: DataFrame, label: DataFrame, shingle:
     # A shingle that no text has stands where none is frequent, so that there is always one to compare with: its count is that of unknown ones.
     known, counts = (often[c].to_numpy() for c in ("key", "n")) if often.num_rows else (np.zeros(1, np.int64), np.zeros(1, np.int64))
     frequent = rows.sparkSession.sparkContext.broadcast((known, counts))
-    posted = rows.join(still, "node", "left_semi").select("node", "text").mapInArrow(_list_first(shingle, least, frequent), "key long, node long, size int").repartition("key")
+    first = rows.join(still, "node", "left_semi").select("node", "text").mapInArrow(_list_first(shingle, least, frequent), "node long, size int, bits binary, keys array<long>")
+    first = common.keep(first, "first", tidy=True)
+    posted = first.select(F.explode("keys").alias("key"), "node", "size").repartition("key")
     one = F.struct("node", "size")  # all columns, so that both sides of the join read one exchange
     several = posted.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b")).filter("a <> b").select("key")
     met = common.keep(posted.join(several, "key").join(label.select("node", "component"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("group")), "met")
     dealt = blocks.dealt(met, "key", "node", useful=F.min("group") != F.max("group")).select("key", "left", "right", "part", "group", "node", "size")
+    dealt = dealt.join(first.groupBy("node").agg(F.first("bits").alias("bits")), "node")
     dealt = dealt.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "group")
     shared = dealt.mapInArrow(_across(least), "u long, v long, u_size int, v_size int").groupBy("u", "v", "u_size", "v_size").agg(F.count("*").alias("n"))
     a, b = least

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -409,6 +410,22 @@ def test_texts_with_shingles_of_their_own_are_settled(spark):
     assert len([k for k in settled if k >= len(texts)]) > 190
 
 
+def test_few_pairs_below_the_bound_leave_their_lists():
+    """Of a list of a family with much in common, all pairs of the bound come out, and of the others few."""
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(f"x{i}y{k}" if rng.random() < 0.04 else w for k, w in enumerate(base)) for i in range(100)]
+    texts += [" ".join([*texts[i].split()[:380], f"z{i}"]) for i in range(10)]
+    sets = [wide_simhash.shingles(t.encode()) for t in texts]
+    n, zero = len(texts), np.zeros(len(texts), np.int64)
+    columns = {"key": zero, "left": zero, "right": zero, "part": zero, "group": np.arange(n), "node": np.arange(n), "size": np.array([len(s) for s in sets], np.int32)}
+    batch = pa.RecordBatch.from_pydict(columns | {"bits": [wide_simhash._parity(s) for s in sets]})
+    made = [p for out in wide_simhash._across((4, 5))([batch]) for p in zip(out["u"].to_pylist(), out["v"].to_pylist(), strict=True)]
+    want = set(similar(texts))
+    assert len(want) >= 10 and want <= set(made)
+    assert len(made) < len(want) + n * (n - 1) // 2 // 20
+
+
 def test_groups_are_connected_by_their_roots(spark, monkeypatch):
     """What is found beside the index connects groups, whose members aren't looked at again."""
     counted, components = [], common.components
