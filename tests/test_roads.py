@@ -525,6 +525,19 @@ def test_costs_take_no_disk_beside_edges(spark):
     assert paths.path_totals(way, cost).collect() == paths.path_totals(way, whole).collect()
 
 
+def test_a_plan_keeps_its_matrix_alone(spark):
+    """The graph, its edges by parts and labels go once the matrix is written, and so do the arrays of numbers once the edges are."""
+    at = storage.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    plan, cells, _, _ = registry._plan(spark, DATA)
+    held = {n for n in set(os.listdir(at)) - before if not n.startswith(".")}
+    assert len(held) == 2 and all(any(n in t.kept_in for t in (plan, cells)) for n in held)
+    assert plan.filter("stop <> 0").count() == 24 and cells.count() == 625
+    vertex, edges = registry.graph(spark, DATA)
+    build.searchable(edges, vertex, for_good=True)
+    assert ("osm_id", "vid") not in vertex.arrays
+
+
 def test_edges_of_parts_take_no_costs_to_disk(spark, monkeypatch):
     """The edges by parts are written once for both metrics, without costs, and places are fetched for their ends once."""
     vertex, edges = registry.graph(spark, DATA)
