@@ -177,7 +177,8 @@ def _near(pairs: DataFrame, texts: DataFrame, shingle: int, least: tuple[int, in
 
 def _texts(pairs: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, print, text) of the nodes in pairs."""
-    used = common.keep(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "used")
+    ends = [pairs.select(F.col(end).alias("node")).distinct() for end in ("u", "v")]  # each first by itself, as a v is in many pairs
+    used = common.keep(ends[0].unionByName(ends[1]).distinct(), "used")
     texts = rows.join(used, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     return common.keep(texts.join(entries.select("node", "print"), "node"), "texts")
 
